@@ -1,0 +1,32 @@
+"""Written intermediate tables: lineage is cut by Parquet files in the shared folder of the session."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (`spark.checkpoint.dir`); a temporary one where it is unset (tests, local mode)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="tidewire-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to the shared folder and read it again; survives the loss of any executor."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
