@@ -58,13 +58,17 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_
     return [math.log((x + 1) / (total + len(domains))) for x in n], like
 
 
+def _add(held: Column):
+    return lambda acc, b: acc + F.element_at(held, b)
+
+
 def posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]], domains: list[str], text: str = "text") -> DataFrame:
     """`docs` with n_tokens and p_<domain> of each row; a text without words has the priors and no tokens."""
     priors, like = model
     out = docs.withColumn("_words", _tokens(F.col(text))).withColumn("n_tokens", F.size("_words").cast("long")).withColumn("_at", _buckets(F.col("_words")))
     for d, prior, ratios in zip(domains, priors, like, strict=True):
         held = F.split(F.lit(" ".join(f"{x:.4g}" for x in ratios)), " ").cast("array<double>")  # folded to one constant
-        out = out.withColumn(f"_l_{d}", F.aggregate("_at", F.lit(prior), lambda acc, b, held=held: acc + F.element_at(held, b)))
+        out = out.withColumn(f"_l_{d}", F.aggregate("_at", F.lit(prior), _add(held)))
     top = F.greatest(*(F.col(f"_l_{d}") for d in domains)) if len(domains) > 1 else F.col(f"_l_{domains[0]}")
     out = out.withColumn("_sum", sum((F.exp(F.col(f"_l_{d}") - top) for d in domains[1:]), F.exp(F.col(f"_l_{domains[0]}") - top)))
     out = out.withColumns({f"p_{d}": F.exp(F.col(f"_l_{d}") - top) / F.col("_sum") for d in domains})
