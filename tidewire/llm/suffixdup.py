@@ -381,7 +381,7 @@ def _runs(joined: DataFrame, ranges: int) -> DataFrame:
         if held:
             yield from send(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    return joined.select("th", "text", "places").mapInArrow(run, "part long, kind byte, th long, start long, stop long, block binary")
+    return joined.select("th", "text", "places", "did").mapInArrow(run, "part long, kind byte, th long, start long, stop long, block binary")
 
 
 def _merged(runs: DataFrame, n: int) -> DataFrame:
