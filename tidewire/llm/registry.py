@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+from tidewire.llm import chat, warc
+from tidewire.llm.chat import op2_chat_formatting
 from tidewire.llm.decontaminate import op5_decontamination
+from tidewire.llm.langid import op9_language_id
+from tidewire.llm.licences import op4_license_scan
 from tidewire.llm.mixing import op7_mixing
 from tidewire.llm.neardup import op3_minhash_near_dedup
 from tidewire.llm.quality import op6_quality_rules
 from tidewire.llm.suffixdup import op1_suffix_array_dedup
+from tidewire.llm.urls import op8_url_filter
+from tidewire.llm.warc import op10_warc
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
+    "op8_url_filter": op8_url_filter,
+    "op9_language_id": op9_language_id,
+    "op10_warc": op10_warc,
+}
+
+#: SQL for DuckDB; op7, op8 and op9 are fitted models, which SQL doesn't express: they are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op2_chat_formatting": chat.ORACLE_SQL,
+    "op10_warc": warc.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {}
