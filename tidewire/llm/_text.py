@@ -54,7 +54,7 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def pieces(batch: pa.RecordBatch, name: str, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(batch: pa.RecordBatch, name: str, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows in runs of about `most` bytes of text: first row, end row, bytes, offsets. A longer text is a run of its own."""
     buf, off = column(batch, name)
     i, n = 0, len(off) - 1

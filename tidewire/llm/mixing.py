@@ -1,14 +1,14 @@
 """Mixing to target weights with soft membership; DataFrame functions only.
 
-A naive Bayes classifier, fitted on labelled rows, gives every document posteriors of its domains. Document rates
+A naive Bayes classifier, fitted on labelled rows by the presence of telling words, gives every document posteriors of its domains. Document rates
 are then the nonnegative solution of least squares: the expected token totals of the domains are to be the targets.
-Projected gradient descent starts at rate 1; each step is one distributed sum of as many numbers as there are
-domains, and the rate of a document is a closed expression of its posteriors and the steps so far.
+Projected gradient descent starts at rate 1; each step is one distributed sum of a few numbers for each domain, and the rate of a document is a closed expression of its posteriors and the steps so far.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +17,13 @@ from tidewire.llm._store import save
 
 #: Domains by their labels, and the share of tokens that each is to have.
 TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
-#: Labelled documents on which the classifier is fitted, about; buckets of the hashed words; pseudo-count of a bucket.
-FIT_ROWS, BUCKETS, PSEUDO = 20_000, 1 << 15, 3.0
+#: Labelled documents on which the classifier is fitted, about; buckets of the hashed words; pseudo-documents of a
+#: domain; standard deviations that make a bucket telling.
+FIT_ROWS, BUCKETS, PSEUDO, SURE = 20_000, 1 << 15, 2.0, 4.0
+#: Log-likelihood ratios are kept as whole numbers of this part.
+GRAIN = 100
+#: A domain is drawn at most this often on average: an aim above that is lowered to it, for the tokens aren't there.
+REPEATS = 1.0
 #: Steps of projected gradient descent at most, and the relative miss of the targets at which it ends.
 STEPS, ENOUGH = 25, 1e-6
 
@@ -37,8 +42,8 @@ def _buckets(tokens: Column) -> Column:
     return F.array_distinct(F.transform(tokens, lambda w: (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) + 1).cast("int")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> tuple[list[float], list[list[float]]]:
-    """Log priors of the domains, and for each domain BUCKETS log-likelihood ratios, whatever the size of the input.
+def fit(docs: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> tuple[list[float], list[array]]:
+    """Log priors of the domains (of a text without any word), and for each domain BUCKETS log odds, whatever the size of the input.
 
     Fitted on the labelled documents whose hash is below the quantile that leaves about `rows`. Contradictory
     labels of a document count each; a word counts once a document. Without labelled rows every domain is as likely.
@@ -47,27 +52,51 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_
     there = known.count()
     known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < math.ceil(1e6 * rows / max(there, rows)))
     seen = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id")  # bounded by `rows`
-    counts = seen.select("domain", F.explode(F.concat(F.array(F.lit(0)), _buckets(_tokens(F.col("_text"))))).alias("bucket")).groupBy("domain", "bucket").count().collect()
-    table = [[0.0] * (BUCKETS + 1) for _ in domains]  # at 0 the documents
-    for r in counts:
-        table[domains.index(r["domain"])][r["bucket"]] = float(r["count"])
-    n = [t[0] for t in table]
-    every = [sum(c) for c in zip(*table, strict=True)]
-    total = max(every[0], 1.0)
-    like = [[math.log((t[b] + PSEUDO) / (every[b] * t[0] / total + PSEUDO)) for b in range(1, BUCKETS + 1)] for t in table]
-    return [math.log((x + 1) / (total + len(domains))) for x in n], like
+    counts = seen.select("domain", F.explode(F.concat(F.array(F.lit(0)), _buckets(_tokens(F.col("_text"))))).alias("bucket")).groupBy("domain", "bucket").count()
+    packed = counts.groupBy("domain", F.floor(F.col("bucket") / 1024)).agg(F.collect_list(F.struct("bucket", "count")).alias("c")).select("domain", F.col("c.bucket").alias("b"), F.col("c.count").alias("n"))
+    table = [array("d", bytes(8 * (BUCKETS + 1))) for _ in domains]  # at 0 the documents
+    for r in packed.toLocalIterator():
+        mine = table[domains.index(r["domain"])]
+        for bucket, n in zip(r["b"], r["n"], strict=True):
+            mine[bucket] = n
+    return _bernoulli(table)
+
+
+def _bernoulli(table: list[array]) -> tuple[list[float], list[array]]:
+    """Bernoulli model of counts: of each domain its documents (at 0) and those with each bucket.
+
+    Only telling buckets count, for thousands of slight ones would add up to certainty: those that in some domain come
+    at least twice or at most half as often as its share of words lets expect, by SURE standard deviations.
+    """
+    docs_of = [max(t[0], 0.0) for t in table]
+    total = sum(docs_of)
+    words_of = [sum(t) - t[0] for t in table]
+    share = [w / max(sum(words_of), 1.0) for w in words_of]
+    base = [math.log((n + 1) / (total + len(table))) for n in docs_of]
+    like = [array("d", bytes(8 * BUCKETS)) for _ in table]
+    for b in range(1, BUCKETS + 1):
+        every = sum(t[b] for t in table)
+        if not any(abs(t[b] - every * q) >= SURE * math.sqrt(every * q + 1) and not 0.5 < t[b] / (every * q) < 2 for t, q in zip(table, share, strict=True) if q):
+            continue
+        for d, (t, n) in enumerate(zip(table, docs_of, strict=True)):
+            p = (t[b] + PSEUDO * every / total) / (n + PSEUDO)
+            p = min(max(p, 1e-9), 1 - 1e-9)
+            like[d][b - 1] = math.log(p / (1 - p))
+            base[d] += math.log(1 - p)
+    top = max(base)
+    return [x - top for x in base], like
 
 
 def _add(held: Column):
-    return lambda acc, b: acc + F.element_at(held, b)
+    return lambda acc, b: acc + F.element_at(held, b) / GRAIN
 
 
-def posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]], domains: list[str], text: str = "text") -> DataFrame:
+def posteriors(docs: DataFrame, model: tuple[list[float], list[array]], domains: list[str], text: str = "text") -> DataFrame:
     """`docs` with n_tokens and p_<domain> of each row; a text without words has the priors and no tokens."""
     priors, like = model
     out = docs.withColumn("_words", _tokens(F.col(text))).withColumn("n_tokens", F.size("_words").cast("long")).withColumn("_at", _buckets(F.col("_words")))
     for d, prior, ratios in zip(domains, priors, like, strict=True):
-        held = F.split(F.lit(" ".join(f"{x:.4g}" for x in ratios)), " ").cast("array<double>")  # folded to one constant
+        held = F.split(F.lit(" ".join(str(round(x * GRAIN)) for x in ratios)), " ").cast("array<smallint>")  # folded to one constant
         out = out.withColumn(f"_l_{d}", F.aggregate("_at", F.lit(prior), _add(held)))
     top = F.greatest(*(F.col(f"_l_{d}") for d in domains)) if len(domains) > 1 else F.col(f"_l_{domains[0]}")
     out = out.withColumn("_sum", sum((F.exp(F.col(f"_l_{d}") - top) for d in domains[1:]), F.exp(F.col(f"_l_{domains[0]}") - top)))
@@ -96,25 +125,39 @@ def rates(table: DataFrame, targets: dict[str, float], steps: int = STEPS, enoug
     """The rate of each row of `table` (n_tokens, p_<domain>) as an expression.
 
     The aim of a domain is its share of the total at which the domain with the largest share keeps its expected
-    tokens. The objective is the squared miss of the aims in the metric of the Gram matrix, and rates are scaled by
-    token counts, so that they depend on what a document is and not on how long it is.
+    tokens, but no more than REPEATS times what it has. The objective is the squared miss of the aims; a step goes down
+    its gradient in the metric of the Gram matrix of the rows that are free to move, and is projected on rates of 0 or more.
+    Rates are scaled by token counts, so that they depend on what a document is and not on how long it is. Aims that soft
+    members of other domains can't meet are met as nearly as nonnegative rates allow.
     """
     names = list(targets)
     n, p = F.col("n_tokens"), [F.coalesce(F.col(f"p_{d}"), F.lit(0.0)) for d in names]
     k = range(len(names))
-    first = table.agg(*(F.coalesce(F.sum(n * p[i]), F.lit(0.0)).alias(f"t{i}") for i in k), *(F.coalesce(F.sum(n * p[i] * p[j]), F.lit(0.0)).alias(f"m{i}_{j}") for i in k for j in k)).first()
-    gram = [[first[f"m{i}_{j}"] for j in k] for i in k]
-    now = [first[f"t{i}"] for i in k]
-    lead = max(k, key=lambda i: targets[names[i]])
-    aim = [now[lead] * targets[d] / targets[names[lead]] for d in names]
+
+    def sums(rate: Column):
+        """Expected tokens of the domains, and the Gram matrix of the rows whose rate isn't held at 0."""
+        own = [F.coalesce(F.sum(n * p[i] * rate), F.lit(0.0)) for i in k]
+        free = [F.coalesce(F.sum(F.when(rate > 0, n * p[i] * p[j])), F.lit(0.0)) for i in k for j in k]
+        got = list(table.agg(*own, *free).first())
+        return got[: len(names)], [[got[len(names) * (1 + i) + j] for j in k] for i in k]
+
     rate: Column = F.lit(1.0)
+    now, gram = sums(rate)
+    lead = max(k, key=lambda i: targets[names[i]])
+    aim = [min(now[lead] * targets[d] / targets[names[lead]], REPEATS * x) for d, x in zip(names, now, strict=True)]
+    size, last = 1.0, None
     for _ in range(steps):
         miss = [x - y for x, y in zip(now, aim, strict=True)]
         if max(abs(x) for x in miss) <= enough * max(1.0, *aim):
             break
-        step = _solve(gram, miss)
-        rate = F.greatest(F.lit(0.0), rate - sum((p[i] * step[i] for i in k[1:]), p[0] * step[0]))
-        now = list(table.agg(*(F.coalesce(F.sum(n * p[i] * rate), F.lit(0.0)) for i in k)).first())
+        step = [size * x for x in _solve(gram, miss)]
+        tried = F.greatest(F.lit(0.0), rate - sum((p[i] * step[i] for i in k[1:]), p[0] * step[0]))
+        then, after = sums(tried)
+        worth = sum((x - y) ** 2 for x, y in zip(then, aim, strict=True))
+        if last is not None and worth >= last:
+            size /= 2  # too far: a shorter step from the same place
+            continue
+        rate, now, gram, last, size = tried, then, after, worth, min(1.0, 2 * size)
     return rate
 
 

@@ -25,7 +25,7 @@ _ALPHA[[*range(65, 91), *range(97, 123), *range(0xC3, 0x100)]] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 #: Rows of the sample on which costs and selectivities are estimated.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1000
 
 
 def _per_text(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -167,7 +167,7 @@ def estimate(texts: list[str | None], using: list[Rule]) -> list[Estimate]:
     found = []
     for rule in using:
         spent, bad, n = 0.0, 0, 0
-        for _, _, buf, off in X.pieces(column, "text"):
+        for _, _, buf, off in X.pieces(column, "text", 1 << 18):
             batch = Batch(buf, off)
             t = time.perf_counter()
             ok = rule.passes(batch)
