@@ -121,7 +121,7 @@ BUDGET_KEYS = ["p", "ok", "ms", "cpuMs", "n", "bytes", "rcW", "rcR", "kvCmd"]
 SSVC_STATES = ["assessed", "not-assessed", "failed"]
 GAP_REASONS = ["cli-exit", "timeout", "excluded", "truncated", "missed-poll"]
 #: Whitespace as feeds' tools see it, as a character class body.
-SPACE = "\\t\\n\\x0B\\f\\r    -     　﻿"
+SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
 def sources() -> list[dict]:

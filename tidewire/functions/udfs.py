@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewire import config as C
 
 _ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});", re.A)
-_WS = "\t\n\x0b\f\r                  　﻿"
+_WS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def decode(text: str | None) -> str | None:
