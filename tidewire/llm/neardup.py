@@ -221,11 +221,6 @@ def verify(members: DataFrame) -> DataFrame:
     return members.select("grp", "skey", "text").repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
 
 
-def _with_text(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """`rows` (row, skey, grp) with their texts. What is looked up grows with the corpus, so it is never broadcast."""
-    return texts.join(rows.hint("merge"), "row").select("grp", "skey", "text")
-
-
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, row, n_shingles, component_id, kept) of every row: near-duplicate groups by links of Jaccard 0.75 or more.
 
@@ -243,19 +238,21 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     where = clusters.join(sizes, "root").join(classes.select(F.col("skey").alias("v"), "row"), "v").select("row", F.col("v").alias("skey"), "root", blocks.alias("nb"))
     where = save(where.withColumn("b", F.pmod(F.xxhash64("skey"), F.col("nb")).cast("int")), "members")
     texts = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
+    # what is looked up grows with the corpus, so it is never broadcast; texts are fetched once for both passes
+    held = save(texts.join(where.hint("merge"), "row").select("skey", "root", "nb", "b", "text"), "texts")
     # within blocks first; the least document of a cluster visits all its blocks
     every = F.sequence(F.lit(0), F.col("nb") - 1)
-    first = where.select("row", "skey", "root", F.explode(F.when(F.col("skey") == F.col("root"), every).otherwise(F.array("b"))).alias("b"))
-    links = save(verify(_with_text(texts, first.select("row", "skey", F.xxhash64("root", "b").alias("grp")))), "confirmed")
+    first = held.withColumn("b", F.explode(F.when(F.col("skey") == F.col("root"), every).otherwise(F.array("b"))))
+    links = save(verify(first.select("skey", "text", F.xxhash64("root", "b").alias("grp"))), "confirmed")
     parts = components(links)
     if where.agg(F.max("nb")).first()[0] not in (None, 1):
         # then all pairs of blocks, but only of large clusters that aren't one component by now
         named = where.where("nb > 1").join(parts.select(F.col("v").alias("skey"), F.col("root").alias("part")), "skey", "left").withColumn("part", F.coalesce("part", "skey"))
-        open_ = named.groupBy("root").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("root")
-        rest = save(where.join(open_, "root", "left_semi"), "open")
-        if not rest.isEmpty():
-            pairs = rest.select("row", "skey", "root", "b", F.explode(every).alias("o")).select("row", "skey", F.xxhash64("root", F.least("b", "o"), F.greatest("b", "o"), F.lit("pair")).alias("grp"))
-            parts = components(links.unionByName(save(verify(_with_text(texts, pairs)), "confirmed")))
+        open_ = save(named.groupBy("root").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("root"), "open")
+        if not open_.isEmpty():
+            pairs = held.where("nb > 1").join(open_, "root", "left_semi").withColumn("o", F.explode(every))
+            pairs = pairs.select("skey", "text", F.xxhash64("root", F.least("b", "o"), F.greatest("b", "o"), F.lit("pair")).alias("grp"))
+            parts = components(links.unionByName(save(verify(pairs), "confirmed")))
     least = classes.select("skey", "least").join(parts.select(F.col("v").alias("skey"), "root"), "skey", "left").select("skey", "least", F.coalesce("root", "skey").alias("root"))
     least = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("skey", "component_id")
     out = sig.select("id", "row", "n", F.when(F.col("n") > 0, F.col("skey")).alias("skey")).join(least, "skey", "left")
