@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tidewire.plans import edition_queries, serving_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**edition_queries.QUERIES, **serving_queries.QUERIES}
+ORACLES: dict[str, str] = {**edition_queries.ORACLES, **serving_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The composed edition."""
+    return edition_queries.q14(spark, sf_dir)

@@ -18,6 +18,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def trim(c: Column | str) -> Column:
     """Without whitespace (of any script) at both ends."""
     return F.regexp_replace(col(c), f"^[{C.SPACE}]+|[{C.SPACE}]+$", "")
@@ -55,10 +60,14 @@ def classify(title: Column | str, summary: Column | str) -> Column:
     return F.coalesce(_first(col(title), tried), _first(col(summary), tried), F.lit(C.REST))
 
 
-def importance(title: Column | str, summary: Column | str, section: Column | str, cves: Column | str) -> tuple[Column, Column]:
-    """(importance, reason) of an article; the reason of a normal one is null."""
-    text = F.concat(col(title), F.lit("\n"), col(summary))
-    critical, high, n = _first(text, C.CRITICAL), _first(text, C.HIGH), F.size(col(cves))
+def signals(text: Column | str) -> tuple[Column, Column]:
+    """The critical and the high signal of a text; null where there is none."""
+    return _first(col(text), C.CRITICAL), _first(col(text), C.HIGH)
+
+
+def importance(critical: Column | str, high: Column | str, section: Column | str, cves: Column | str) -> tuple[Column, Column]:
+    """(importance, reason) of an article by its signals; the reason of a normal one is null."""
+    critical, high, n = col(critical), col(high), F.size(col(cves))
     breach = col(section) == "Breaches"
     level = F.when(critical.isNotNull(), "critical").when(high.isNotNull() | (n > 0) | breach, "high").otherwise("normal")
     counted = F.when(n == 1, "CVE assigned").when(n > 1, F.concat(n.cast("string"), F.lit(" CVEs"))).when(breach, "Breach")
@@ -85,13 +94,14 @@ def nvd_url(c: Column | str) -> Column:
 
 def truncate_summary(c: Column | str) -> Column:
     """At most SUMMARY_CHARS code points: cut at the last whitespace if that isn't too early, closed with an ellipsis."""
-    t, budget = col(c), C.SUMMARY_CHARS - 1
-    cut = F.substring(t, 1, budget)
-    head = F.regexp_extract(cut, f"(?s)^(.*)[{C.SPACE}][^{C.SPACE}]*$", 1)
-    at = F.when(cut.rlike(f"[{C.SPACE}]"), F.octet_length(F.encode(head, "UTF-16BE")) / 2).otherwise(-1)
-    cut = F.when(at >= int(budget * 0.6), head).otherwise(cut)
-    cut = F.regexp_replace(F.regexp_replace(cut, f"[{C.SPACE}]+$", ""), "[,;:]+$", "")
-    return F.when(F.length(t) <= C.SUMMARY_CHARS, t).otherwise(F.concat(cut, F.lit("…")))
+    budget = C.SUMMARY_CHARS - 1
+
+    def shorten(cut: Column) -> Column:
+        head = F.regexp_extract(cut, f"(?s)^(.*)[{C.SPACE}][^{C.SPACE}]*$", 1)
+        return let(head, lambda h: F.when(cut.rlike(f"[{C.SPACE}]") & (F.octet_length(F.encode(h, "UTF-16BE")) / 2 >= int(budget * 0.6)), h).otherwise(cut))
+
+    closed = F.regexp_replace(F.regexp_replace(let(F.substring(col(c), 1, budget), shorten), f"[{C.SPACE}]+$", ""), "[,;:]+$", "")
+    return F.when(F.length(col(c)) <= C.SUMMARY_CHARS, col(c)).otherwise(F.concat(closed, F.lit("…")))
 
 
 def title_key(c: Column | str) -> Column:
@@ -102,29 +112,31 @@ def title_key(c: Column | str) -> Column:
 
 def url_key(c: Column | str) -> Column:
     """Host, path and the query without tracking fields, sorted by name; for clean ASCII URLs. Others as they are, trimmed."""
-    t = trim(c)
     parts = r"^(?i:https?)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
-    host = F.regexp_replace(F.lower(F.regexp_extract(t, parts, 1)), r":(?:80|443)$", "")
-    path = F.regexp_replace(F.regexp_extract(t, parts, 2), "/+$", "")
     name = lambda x: F.lower(F.split(x, "=", 2)[0])
-    fields = F.filter(F.split(F.regexp_extract(t, parts, 3), "&"), lambda x: (x != "") & ~name(x).startswith("utm_") & ~name(x).isin(C.TRACKING))
-    by = F.transform(F.array_sort(F.transform(fields, lambda x, i: F.struct(F.split(x, "=", 2)[0].alias("n"), i.alias("i"), x.alias("f")))), lambda s: F.when(F.contains(s.f, F.lit("=")), s.f).otherwise(F.concat(s.f, F.lit("="))))
-    query = F.array_join(by, "&")
-    key = F.concat(host, F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(t.rlike(parts), key).otherwise(t)
+
+    def key(t: Column) -> Column:
+        host = F.regexp_replace(F.lower(F.regexp_extract(t, parts, 1)), r":(?:80|443)$", "")
+        path = F.regexp_replace(F.regexp_extract(t, parts, 2), "/+$", "")
+        fields = F.filter(F.split(F.regexp_extract(t, parts, 3), "&"), lambda x: (x != "") & ~name(x).startswith("utm_") & ~name(x).isin(C.TRACKING))
+        by = F.array_sort(F.transform(fields, lambda x, i: F.struct(F.split(x, "=", 2)[0].alias("n"), i.alias("i"), x.alias("f"))))
+        query = F.array_join(F.transform(by, lambda x: F.when(F.contains(x.f, F.lit("=")), x.f).otherwise(F.concat(x.f, F.lit("=")))), "&")
+        return F.when(t.rlike(parts), F.concat(host, let(path, lambda p: F.when(p == "", "/").otherwise(p)), let(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")))).otherwise(t)
+
+    return let(trim(c), key)
 
 
 def feed_date(c: Column | str) -> Column:
     """A timestamp from an RFC 822 or ISO 8601 date; zones by name; null for what can't be read or is longer than 64."""
-    t = trim(c)
-    zone = F.upper(F.regexp_extract(t, r"\s([A-Za-z]{1,5})$", 1))
-    offset = None
-    for name, value in {**C.ZONES, **C.US_ZONES}.items():
-        offset = F.when(zone == name, value) if offset is None else offset.when(zone == name, value)
-    t2 = F.when(offset.isNotNull(), F.concat(F.regexp_replace(t, r"\s[A-Za-z]{1,5}$", " "), offset)).otherwise(t)
-    t2 = F.regexp_replace(t2, r"^[A-Za-z]{3,9},\s*", "")
+    zones = F.create_map(*(F.lit(x) for z in {**C.ZONES, **C.US_ZONES}.items() for x in z))
     tried = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy"]
-    return F.when((t != "") & (F.length(t) <= 64), F.coalesce(*(F.try_to_timestamp(t2, F.lit(p)) for p in tried), t2.try_cast("timestamp")))
+
+    def read(t: Column) -> Column:
+        offset = F.try_element_at(zones, F.upper(F.regexp_extract(t, r"\s([A-Za-z]{1,5})$", 1)))
+        named = let(offset, lambda o: F.when(o.isNotNull(), F.concat(F.regexp_replace(t, r"\s[A-Za-z]{1,5}$", " "), o)).otherwise(t))
+        return let(F.regexp_replace(named, r"^[A-Za-z]{3,9},\s*", ""), lambda x: F.when((t != "") & (F.length(t) <= 64), F.coalesce(*(F.try_to_timestamp(x, F.lit(p)) for p in tried), x.try_cast("timestamp"))))
+
+    return let(trim(c), read)
 
 
 def published(iso: Column | str, pub: Column | str) -> Column:

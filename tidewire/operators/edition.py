@@ -64,7 +64,7 @@ def newest(articles: DataFrame) -> DataFrame:
     """The newest max_items of each source that has such a cap; those are in the order of time from then on."""
     order = Window.partitionBy("source_id").orderBy(F.desc("published_ms"), "idx")
     first = F.min("idx").over(Window.partitionBy("source_id"))
-    capped = articles.where("max_items > 0").withColumn("r", F.row_number().over(order)).where("r <= max_items").withColumn("idx", first + F.col("r") - 1).drop("r")
+    capped = articles.where("max_items > 0").withColumns({"r": F.row_number().over(order), "lo": first}).where("r <= max_items").withColumn("idx", F.col("lo") + F.col("r") - 1)
     return articles.where("max_items is null or max_items <= 0").unionByName(capped.select(*articles.columns))
 
 
@@ -104,8 +104,10 @@ def dedupe(articles: DataFrame, exact: bool = False) -> DataFrame:
 def derive(articles: DataFrame) -> DataFrame:
     """Section, importance and its reason, id and CVE ids of each article."""
     rows = articles.withColumn("cves", S.cves("title", "summary")).withColumn("section", S.classify("title", "summary")).withColumn("id", S.article_id("url"))
-    level, reason = S.importance("title", "summary", "section", "cves")
-    return rows.withColumn("importance", level).withColumn("importance_reason", reason)
+    critical, high = S.signals("_text")
+    rows = rows.withColumn("_text", F.concat("title", F.lit("\n"), "summary")).withColumns({"_critical": critical, "_high": high})
+    level, reason = S.importance("_critical", "_high", "section", "cves")
+    return rows.withColumns({"importance": level, "importance_reason": reason}).drop("_text", "_critical", "_high")
 
 
 def ranked(articles: DataFrame, now_ms: int) -> DataFrame:

@@ -73,7 +73,7 @@ def epss_states(selected: DataFrame, answers: DataFrame) -> DataFrame:
     good = doc.join(sizes, "batch").join(count, "batch", "left").where((_text("doc", "$.status") == "OK") & is_array & (_type("doc", "$.total") == "BIGINT") & (_get("doc", "$.total", "long") == F.coalesce("n", F.lit(0))) & (F.coalesce("n", F.lit(0)) <= F.col("asked"))).select("batch")
     number = F.when(F.col("raw").rlike(r"^\d+(\.\d+)?\z") & F.col("kind").isin("STRING", "BIGINT", "DOUBLE") | F.col("kind").startswith("DECIMAL"), F.col("raw").try_cast("double"))
     asked = selected.where("batch is not null").select("batch", "cve")
-    valid = rows.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))).withColumn("valid", F.col("score").isNotNull() & F.coalesce(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.lit(False)))
+    valid = rows.withColumn("score", F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))).withColumn("valid", F.col("score").isNotNull() & F.coalesce(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.lit(False)))
     seen = valid.join(asked, ["batch", "cve"]).groupBy("batch", "cve").agg(F.min_by(F.when(F.col("valid"), F.struct("score", "date")), F.when(F.col("valid"), F.col("pos"))).alias("hit"), F.count("*").alias("k"))
     out = selected.join(good.withColumn("answered", F.lit(True)), "batch", "left").join(seen, ["batch", "cve"], "left")
     state = F.when(F.col("answered").isNull(), "unavailable").when(F.col("hit").isNotNull(), "scored").when(F.col("k").isNotNull(), "unavailable").otherwise("no-row")

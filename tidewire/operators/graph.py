@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewire.plans.store import save
@@ -13,6 +13,13 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
+def _saved(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as written, and what tells them from others: their number and the hashes of all, counted while they are written."""
+    seen = Observation()
+    out = save(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")), "links")
+    return out, (seen.get["n"], seen.get["h"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(v, root) of every vertex that has an edge in `edges` (a, b: long); root is the least vertex of its component.
 
@@ -21,15 +28,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Null ends and self links are ignored.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct()
-    e = save(e, "links")
-    last = None
+    e, last = _saved(e)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         m = _least(large)
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = save(small, "links")
-        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        e, now = _saved(small)
         if now == last:
             break
         last = now

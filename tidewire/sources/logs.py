@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire import config as C
+from tidewire.functions import scalars as S
 
 PREFIX = "budget "
 _SAFE = (1 << 53) - 1
@@ -26,29 +27,31 @@ def _whole(v: Column, path: str) -> Column:
 
 def format_line(p: Column, ok: Column, numbers: dict[str, Column], st: Column) -> Column:
     """One line of a producer's costs; keys in their fixed order, `st` only for ssvc."""
-    from tidewire.functions.scalars import count_of
-
-    body = F.concat(F.lit('{"p":"'), p, F.lit('","ok":'), F.when(ok == 1, "1").otherwise("0"), *(x for k in C.BUDGET_KEYS[2:] for x in (F.lit(f',"{k}":'), count_of(numbers[k]).cast("string"))))
+    body = F.concat(F.lit('{"p":"'), p, F.lit('","ok":'), F.when(ok == 1, "1").otherwise("0"), *(x for k in C.BUDGET_KEYS[2:] for x in (F.lit(f',"{k}":'), S.count_of(numbers[k]).cast("string"))))
     state = F.when(st.isin(*C.SSVC_STATES), st).otherwise("failed")
     return F.concat(F.lit(PREFIX), body, F.when(p == "ssvc", F.concat(F.lit(',"st":"'), state, F.lit('"}'))).otherwise("}"))
 
 
 def parse_line(message: Column) -> Column:
     """The struct of a line that `format_line` writes; null for anything else, be it the order of its keys."""
-    text = F.regexp_replace(message, f"[{C.SPACE}]+$", "")
-    body = F.when(text.startswith(PREFIX), F.substr(text, F.lit(len(PREFIX) + 1)))
-    v = F.try_parse_json(body)
-    keys = F.json_object_keys(body)
-    p = _text(v, "$.p")
     want = F.array(*(F.lit(k) for k in C.BUDGET_KEYS))
-    st = _text(v, "$.st")
-    shape = F.when(p == "ssvc", (keys == F.array_append(want, F.lit("st"))) & st.isin(*C.SSVC_STATES)).otherwise(keys == want)
-    ok = _whole(v, "$.ok")
-    numbers = {k: _whole(v, f"$.{k}") for k in C.BUDGET_KEYS[2:]}
-    whole = shape & p.isin(*C.PRODUCERS) & ok.isin(0, 1)
-    for n in numbers.values():
-        whole = whole & n.isNotNull()
-    return F.when(F.coalesce(whole, F.lit(False)), F.struct(p.alias("p"), ok.cast("int").alias("ok"), *(n.alias(k) for k, n in numbers.items()), F.when(p == "ssvc", st).alias("st")))
+
+    def fields_of(v: Column) -> Column:
+        return F.struct(_text(v, "$.p").alias("p"), *(_whole(v, f"$.{k}").alias(k) for k in C.BUDGET_KEYS[1:]), _text(v, "$.st").alias("st"))
+
+    def whole(keys: Column, f: Column) -> Column:
+        ssvc = f.p == "ssvc"
+        shape = F.when(ssvc, (keys == F.array_append(want, F.lit("st"))) & f.st.isin(*C.SSVC_STATES)).otherwise(keys == want)
+        fine = shape & f.p.isin(*C.PRODUCERS) & f.ok.isin(0, 1)
+        for k in C.BUDGET_KEYS[2:]:
+            fine = fine & f.getField(k).isNotNull()
+        return F.when(F.coalesce(fine, F.lit(False)), F.struct(f.p.alias("p"), f.ok.cast("int").alias("ok"), *(f.getField(k).alias(k) for k in C.BUDGET_KEYS[2:]), F.when(ssvc, f.st).alias("st")))
+
+    def parsed(text: Column) -> Column:
+        body = F.when(text.startswith(PREFIX), F.substr(text, F.lit(len(PREFIX) + 1)))
+        return S.let(body, lambda b: S.let(F.try_parse_json(b), lambda v: S.let(fields_of(v), lambda f: whole(F.json_object_keys(b), f))))
+
+    return S.let(F.regexp_replace(message, f"[{C.SPACE}]+$", ""), parsed)
 
 
 def cut_query(c: Column) -> Column:
