@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import _text as X
-from tidewire.llm._components import components
-from tidewire.llm._store import save, tasks
+from tidewire.operators.graph import components
+from tidewire.plans.store import save, tasks
 
 #: Shingle length in words and the similarity of a link, in hundredths.
 WORDS, SIMILAR = 5, 75

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import _text as X
-from tidewire.llm._store import tasks
+from tidewire.plans.store import tasks
 
 #: Bytes of a repeated string; bytes of an anchor's fingerprint.
 LEAST, K = 200, 48

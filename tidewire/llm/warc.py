@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm._store import new_path, save
+from tidewire.plans.store import new_path, save
 
 #: Bytes from which equal payloads are stored once; records of one archive at most; deflate level of members.
 REVISIT_BYTES, RECORDS, LEVEL = 1000, 20_000, 6
