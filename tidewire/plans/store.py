@@ -30,3 +30,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of `df` has, whatever their case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
