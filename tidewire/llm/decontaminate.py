@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.llm import _text as X
+from tidewire.plans.store import fresh
 
 #: Words of a window.
 WINDOW = 10
@@ -19,6 +20,10 @@ WINDOW = 10
 BLOCK_BYTES = 16 << 20
 
 
+#: Columns that a scan adds.
+ADDED = ("n_words", "spans", "items")
+
+
 def _norm(buf: np.ndarray, off: np.ndarray):
     low = X.LOWER[buf]
     starts, ends, at = X.words(low, off, X.ALNUM)
@@ -54,13 +59,13 @@ def _blocks(benchmark: DataFrame, item: str, text: str, most: int) -> list[DataF
     return [benchmark.where(F.pmod(F.xxhash64(item, text), F.lit(n)) == b) if n > 1 else benchmark for b in range(n)]
 
 
-def _scan(docs: DataFrame, grams: dict, text: str) -> DataFrame:
+def _scan(docs: DataFrame, grams: dict, text: str, added: tuple[str, str, str] = ADDED) -> DataFrame:
     """`docs` with n_words, spans (maximal hit runs: first word, end word, first byte, end byte) and items."""
     held = docs.sparkSession.sparkContext.broadcast(grams)
-    added = "n_words long, spans array<struct<w0:long,w1:long,b0:long,b1:long>>, items array<string>"
-    own = docs.drop("n_words", "spans", "items")
-    schema = T.StructType(own.schema.fields + T.StructType.fromDDL(added).fields)
-    names = [*own.columns, "n_words", "spans", "items"]
+    own = docs.drop(*added)
+    kinds = ("long", "array<struct<w0:long,w1:long,b0:long,b1:long>>", "array<string>")
+    schema = T.StructType(own.schema.fields + T.StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k in zip(added, kinds, strict=True))).fields)
+    names = schema.names
     span = pa.list_(pa.struct([(k, pa.int64()) for k in ("w0", "w1", "b0", "b1")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +104,7 @@ def _scan(docs: DataFrame, grams: dict, text: str) -> DataFrame:
     return own.mapInArrow(run, schema)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", k: int = WINDOW, block_bytes: int = BLOCK_BYTES, key: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", k: int = WINDOW, block_bytes: int = BLOCK_BYTES, key: list[str] | None = None, added: tuple[str, str, str] = ADDED) -> DataFrame:
     """Every row of `docs` with `n_words`, `spans` of hit words and the `items` (strings) that occur in it.
 
     A benchmark of over `block_bytes` is scanned in blocks, each of a bounded broadcast; the spans of the blocks are then
@@ -111,12 +116,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     for part in parts:
         rows = part.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null").collect()
         grams = windows([r.t for r in rows], [r.i for r in rows], k)
-        found = _scan(docs, grams, text)
+        found = _scan(docs, grams, text, added)
         if len(parts) == 1:
             return found
         out = found if out is None else out.unionByName(found)
-    own = key or [c for c in docs.columns if c not in ("n_words", "spans", "items")]
-    return out.groupBy(*own).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).withColumn("spans", _union_spans("s")).drop("s")
+    own = key or [c for c in docs.columns if c not in added]
+    n_words, spans, items = added
+    return out.groupBy(*own).agg(F.max(n_words).alias(n_words), F.flatten(F.collect_list(spans)).alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items)).withColumn(spans, _union_spans(spans))
 
 
 def _union_spans(name: str):
@@ -134,13 +140,14 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", drop_shar
     Spans are byte ranges from the first to the last hit word of a run; what is cut is replaced by one space.
     """
     own = docs.columns
-    found = scan(docs, benchmark, text, **how)
+    n_words, spans, items, hit_words = fresh(docs, "n_words", "spans", "items", "hit_words")
+    found = scan(docs, benchmark, text, added=(n_words, spans, items), **how)
     cut = F.expr(
-        f"concat_ws(' ', transform(sequence(0, size(spans)), i -> decode(substring(encode(`{text}`, 'utf-8'),"
-        " cast(if(i = 0, 0, spans[i - 1].b1) + 1 as int), cast(if(i = size(spans), octet_length(`" + text + "`), spans[i].b0) - if(i = 0, 0, spans[i - 1].b1) as int)), 'utf-8')))"
+        f"concat_ws(' ', transform(sequence(0, size(`{spans}`)), i -> decode(substring(encode(`{text}`, 'utf-8'),"
+        f" cast(if(i = 0, 0, `{spans}`[i - 1].b1) + 1 as int), cast(if(i = size(`{spans}`), octet_length(`{text}`), `{spans}`[i].b0) - if(i = 0, 0, `{spans}`[i - 1].b1) as int)), 'utf-8')))"
     )
-    hit = F.expr("aggregate(spans, 0L, (a, s) -> a + s.w1 - s.w0)")
-    return found.withColumn("_hit", hit).where(F.col("_hit") <= drop_share * F.col("n_words")).withColumn(text, F.when(F.size("spans") > 0, cut).otherwise(F.col(text))).select(*own)
+    hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s.w1 - s.w0)
+    return found.withColumn(hit_words, hit).where(F.col(hit_words) <= drop_share * F.col(n_words)).withColumn(text, F.when(F.size(spans) > 0, cut).otherwise(F.col(text))).select(*own)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,3 +158,17 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, least(10, len(ws)) AS k, ws[i:i + least(10, len(ws)) - 1] AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+dw AS (SELECT doc_id, k, i, ws[i:i + k - 1] AS g FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw))),
+h AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw USING (k, g)),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""

@@ -170,8 +170,9 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     domains = list(targets)
     own = [c for c in (carry or docs.columns) if c not in ("n_tokens", "rate", *(f"p_{d}" for d in domains))]
     model = fit(docs, labels, domains, key, text)
-    table = save(posteriors(docs.select(*dict.fromkeys([*own, text])), model, domains, text).select(*own, "n_tokens", *(f"p_{d}" for d in domains)), "posteriors")
-    return table.withColumn("rate", rates(table, targets))
+    packed = docs.select(F.struct(*own).alias("own"), F.col(text).alias("text"))
+    table = save(posteriors(packed, model, domains).drop("text"), "posteriors")
+    return table.withColumn("rate", rates(table, targets)).select("own.*", "n_tokens", *(f"p_{d}" for d in domains), "rate")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

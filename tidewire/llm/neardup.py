@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import _text as X
 from tidewire.operators.graph import components
-from tidewire.plans.store import save, tasks
+from tidewire.plans.store import fresh, save, tasks
 
 #: Shingle length in words and the similarity of a link, in hundredths.
 WORDS, SIMILAR = 5, 75
@@ -263,9 +263,22 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each near-duplicate group (that of the least id), with the columns of `docs`."""
     keep = groups(docs, key, text).where("kept").select(F.col("row").alias("_row")).distinct()
-    return docs.withColumn("_row", F.xxhash64(F.col(key), F.col(text))).join(keep, "_row", "left_semi").drop("_row")
+    (row,) = fresh(docs, "_row")
+    return docs.withColumn(row, F.xxhash64(F.col(key), F.col(text))).join(keep.withColumnRenamed("_row", row), row, "left_semi").drop(row)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return groups(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, ws[i:i + 4] AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r AS (SELECT DISTINCT a AS doc_id, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id),
+c AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, doc_id) AS component_id, coalesce(c.c, doc_id) = doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.llm import _text as X
+from tidewire.plans.store import fresh
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -212,8 +213,8 @@ class _View(Batch):
         return self.whole.take(self.rows[rows])
 
 
-def judged(docs: DataFrame, text: str = "text", using: list[Rule] | None = None, report: bool = False, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Every row of `docs` with `failed_rule` (null: kept) after its own columns; with `report` the base measures too.
+def judged(docs: DataFrame, text: str = "text", using: list[Rule] | None = None, report: bool = False, sample_rows: int = SAMPLE_ROWS, name: str = "failed_rule") -> DataFrame:
+    """Every row of `docs` with `failed_rule` (or another `name`; null: kept) after its own columns; with `report` the base measures too.
 
     With `report` the measures are computed for every text, so rules that need them cost nothing more.
     Null and empty texts have no words and fail `min_words`. Repeated rows are judged one by one. Columns of the
@@ -221,7 +222,7 @@ def judged(docs: DataFrame, text: str = "text", using: list[Rule] | None = None,
     """
     using = rules() if using is None else using
     ordered = plan(docs, using, text, sample_rows)
-    added = [T.StructField("failed_rule", T.StringType())]
+    added = [T.StructField(name, T.StringType())]
     measures = ["n_words", "n_word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"] if report else []
     added += [T.StructField(m, T.LongType()) for m in measures] + ([T.StructField("base_ok", T.BooleanType())] if report else [])
     own = docs.drop(*[f.name for f in added])
@@ -248,12 +249,29 @@ def judged(docs: DataFrame, text: str = "text", using: list[Rule] | None = None,
 
 def kept(docs: DataFrame, text: str = "text", using: list[Rule] | None = None) -> DataFrame:
     """The rows of `docs` that no rule rejects, with their own columns."""
-    return judged(docs, text, using).where("failed_rule is null").drop("failed_rule")
+    (why,) = fresh(docs, "failed_rule")
+    return judged(docs, text, using, name=why).where(F.col(why).isNull()).drop(why)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return judged(docs, report=True).select(
         "doc_id", "n_words", F.col("n_word_chars").alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~F.col("base_ok")).alias("base_failed"), F.col("failed_rule").isNull().alias("kept"), "failed_rule",
+        (~F.col("base_ok")).alias("base_failed"), F.col("failed_rule").isNull().alias("kept"),
     )
+
+
+_W = "[^\\x20\\x09-\\x0D]+"
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{_W}') AS ws FROM d),
+g AS (SELECT doc_id, i, list_slice(ws, i, i + 2) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+ln AS (SELECT doc_id, count(*) AS n, count(DISTINCT l) AS k FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{_W}') GROUP BY doc_id),
+f AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(ln.n, 0) AS n_lines, coalesce(ln.n - ln.k, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+  length(regexp_replace(t, '[^A-Za-z\x{{C0}}-\x{{10FFFF}}]+', '', 'g')) AS alpha, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS upper FROM w LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 10 * n_symbols <= n_words AND 2 * upper <= alpha AND 2 * alpha >= word_chars AND 2 * n_dup_lines <= greatest(1, n_lines) AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words AS kept
+FROM f
+"""

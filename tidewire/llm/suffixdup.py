@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import _text as X
-from tidewire.plans.store import tasks
+from tidewire.plans.store import fresh, tasks
 
 #: Bytes of a repeated string; bytes of an anchor's fingerprint.
 LEAST, K = 200, 48
@@ -478,7 +478,8 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """`docs` with the repeated bytes cut out of `text`; bytes of a character cut in two are dropped, and so is a row of which nothing is left."""
     own = docs.columns
     _, ranges = repeated(docs, key, text)
-    joined = docs.withColumn("th", F.xxhash64(F.col(key), F.col(text))).join(ranges, "th", "left").select(*own, "ranges")
+    th, found_in = fresh(docs, "th", "ranges")
+    joined = docs.withColumn(th, F.xxhash64(F.col(key), F.col(text))).join(ranges.select(F.col("th").alias(th), F.col("ranges").alias(found_in)), th, "left").select(*own, found_in)
     where = own.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -505,3 +506,16 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return removed(docs).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS p FROM d WHERE n >= 200)),
+t AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+o AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM t),
+i AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM o),
+s AS (SELECT doc_id, g, min(p) AS a, max(p) + 200 AS b FROM i GROUP BY doc_id, g),
+x AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM s),
+k AS (SELECT doc_id, sum(b - a)::BIGINT AS r, count(*) AS c, max(b) AS e, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS rest FROM x JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(r, 0) AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(coalesce(rest, '') || substr(h, 2 * coalesce(e, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
