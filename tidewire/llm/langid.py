@@ -118,9 +118,9 @@ class Model:
             c = col[start[:m] + j][None, :]
             now = self.table[state[:, :m] * w + c]
             stop = now == 0
+            if j:  # a phrase starts where the last one has no way on, or was a symbol that the language doesn't have
+                count[:, :m] += stop | (state[:, :m] == roots)
             if stop.any():
-                if j:
-                    count[:, :m] += stop
                 now = np.where(stop, self.table[roots * w + c], now)
                 now = np.where(now == 0, roots, now)
             state[:, :m] = now
