@@ -155,7 +155,7 @@ def iso(ms: Column | str) -> Column:
 
 def score(weight: Column | str, published_ms: Column | str, now_ms: int) -> Column:
     """Tier weight, halved every HALF_LIFE hours of age; the future is as now, an unknown date is 0."""
-    age = F.greatest(F.lit(0), F.lit(now_ms) - col(published_ms)) / 3600000.0
+    age = F.when(col(published_ms).isNotNull(), F.greatest(F.lit(0), F.lit(now_ms) - col(published_ms)) / 3600000.0)
     return F.coalesce(col(weight) * F.pow(F.lit(0.5), age / C.HALF_LIFE), F.lit(0.0))
 
 
