@@ -122,6 +122,8 @@ SSVC_STATES = ["assessed", "not-assessed", "failed"]
 GAP_REASONS = ["cli-exit", "timeout", "excluded", "truncated", "missed-poll"]
 #: Whitespace as feeds' tools see it, as a character class body.
 SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: The same characters as text.
+SPACES = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def sources() -> list[dict]:

@@ -25,7 +25,7 @@ def let(value: Column, f) -> Column:
 
 def trim(c: Column | str) -> Column:
     """Without whitespace (of any script) at both ends."""
-    return F.regexp_replace(col(c), f"^[{C.SPACE}]+|[{C.SPACE}]+$", "")
+    return F.btrim(col(c), F.lit(C.SPACES))
 
 
 def keyword(word: str) -> str:
@@ -100,7 +100,7 @@ def truncate_summary(c: Column | str) -> Column:
         head = F.regexp_extract(cut, f"(?s)^(.*)[{C.SPACE}][^{C.SPACE}]*$", 1)
         return let(head, lambda h: F.when(cut.rlike(f"[{C.SPACE}]") & (F.octet_length(F.encode(h, "UTF-16BE")) / 2 >= int(budget * 0.6)), h).otherwise(cut))
 
-    closed = F.regexp_replace(F.regexp_replace(let(F.substring(col(c), 1, budget), shorten), f"[{C.SPACE}]+$", ""), "[,;:]+$", "")
+    closed = F.rtrim(F.rtrim(let(F.substring(col(c), 1, budget), shorten), F.lit(C.SPACES)), F.lit(",;:"))
     return F.when(F.length(col(c)) <= C.SUMMARY_CHARS, col(c)).otherwise(F.concat(closed, F.lit("…")))
 
 

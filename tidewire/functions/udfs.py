@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tidewire import config as C
 
 _ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});", re.A)
-_WS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def decode(text: str | None) -> str | None:
@@ -34,14 +33,14 @@ def key_of_title(title: str | None) -> str | None:
     if title is None:
         return None
     low = unicodedata.normalize("NFKC", title).lower()
-    return " ".join("".join(c if unicodedata.category(c)[0] in "LMN" or c in _WS else " " for c in low).split())
+    return " ".join("".join(c if unicodedata.category(c)[0] in "LMN" or c in C.SPACES else " " for c in low).split())
 
 
 def key_of_url(url: str | None) -> str | None:
     """Host, path and sorted query without tracking fields; what isn't a web URL is only trimmed."""
     if url is None:
         return None
-    said = url.strip(_WS)
+    said = url.strip(C.SPACES)
     try:
         u = urlsplit(said)
         host = (u.hostname or "").encode("idna").decode() if not (u.hostname or "").isascii() else (u.hostname or "")

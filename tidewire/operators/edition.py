@@ -12,6 +12,7 @@ from tidewire import config as C
 from tidewire.functions import scalars as S
 from tidewire.functions import udfs as U
 from tidewire.operators.graph import components
+from tidewire.plans.store import save
 
 #: Room for items of one source in `idx`.
 STRIDE = 1 << 32
@@ -90,15 +91,16 @@ def dedupe(articles: DataFrame, exact: bool = False) -> DataFrame:
     A key's articles link to its first one: as many links as articles, whatever the size of a group. An empty title key
     joins nothing. The survivor is unchanged; a component's articles meet by a pre-aggregated minimum, not in a window.
     """
-    keyed = with_keys(articles, exact)
+    keyed = save(with_keys(articles, exact), "keyed")  # read four times from here on
     link = lambda key: keyed.where(F.col(key) != "").groupBy(key).agg(F.min("idx").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     links = None
     for key in ("url_key", "title_key"):
         some = keyed.select(key, F.col("idx").alias("a")).join(link(key), key).select("a", "b").where("a <> b")
         links = some if links is None else links.unionByName(some)
-    grouped = articles.join(components(links), articles["idx"] == F.col("v"), "left").withColumn("c", F.coalesce("root", "idx")).drop("v", "root")
+    own = keyed.select(*articles.columns)
+    grouped = own.select("idx", "published_ms", "tier").join(components(links).withColumnRenamed("v", "idx"), "idx", "left").withColumn("c", F.coalesce("root", "idx"))
     best = grouped.groupBy("c").agg(F.min(F.struct(F.coalesce("published_ms", F.lit((1 << 63) - 1)).alias("t"), (-tier_weight()).alias("w"), F.col("idx").alias("i"))).alias("best"))
-    return articles.join(best.select(F.col("best.i").alias("idx")), "idx", "left_semi")
+    return own.join(best.select(F.col("best.i").alias("idx")), "idx", "left_semi")
 
 
 def derive(articles: DataFrame) -> DataFrame:
@@ -124,7 +126,8 @@ def compose(windowed: DataFrame, now_ms: int, exact: bool = False) -> DataFrame:
 
 
 def admitted(edition: DataFrame) -> DataFrame:
-    """The edition, or an error if it has no article: the last good one is then to stay."""
+    """The edition, written, or an error if it has no article: the last good one is then to stay."""
+    edition = save(edition, "edition")
     if edition.isEmpty():
         raise ValueError("an edition without articles is not published")
     return edition

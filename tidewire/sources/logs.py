@@ -51,7 +51,15 @@ def parse_line(message: Column) -> Column:
         body = F.when(text.startswith(PREFIX), F.substr(text, F.lit(len(PREFIX) + 1)))
         return S.let(body, lambda b: S.let(F.try_parse_json(b), lambda v: S.let(fields_of(v), lambda f: whole(F.json_object_keys(b), f))))
 
-    return S.let(F.regexp_replace(message, f"[{C.SPACE}]+$", ""), parsed)
+    def usual(text: Column) -> Column:
+        """A line just as it is written: its values by position."""
+        at = lambda k: lambda v: F.get(v, F.lit(k))
+        return S.let(F.regexp_extract_all(text, F.lit(r'":"?([a-z0-9-]+)'), F.lit(1)), lambda v: F.struct(at(0)(v).alias("p"), at(1)(v).cast("int").alias("ok"), *(at(k)(v).cast("long").alias(n) for k, n in enumerate(C.BUDGET_KEYS) if k > 1), at(9)(v).alias("st")))
+
+    number = "(?:0|[1-9][0-9]{0,14})"
+    fields = ",".join(f'"{k}":{number}' for k in C.BUDGET_KEYS[2:])
+    as_written = rf'^{PREFIX}\{{"p":"(?:(?:{"|".join(p for p in C.PRODUCERS if p != "ssvc")})","ok":[01],{fields}|ssvc","ok":[01],{fields},"st":"(?:{"|".join(C.SSVC_STATES)})")\}}\z'
+    return S.let(F.rtrim(message, F.lit(C.SPACES)), lambda t: F.when(t.rlike(as_written), usual(t)).otherwise(parsed(t)))
 
 
 def cut_query(c: Column) -> Column:
