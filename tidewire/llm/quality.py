@@ -25,8 +25,8 @@ _ALPHA = np.zeros(256, bool)
 _ALPHA[[*range(65, 91), *range(97, 123), *range(0xC3, 0x100)]] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
-#: Rows of the sample on which costs and selectivities are estimated.
-SAMPLE_ROWS = 1000
+#: Rows of the sample on which costs and selectivities are estimated, and bytes of a text in it, at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 1000, 1 << 16
 
 
 def _per_text(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -179,8 +179,8 @@ def estimate(texts: list[str | None], using: list[Rule]) -> list[Estimate]:
 
 
 def plan(docs: DataFrame, using: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules in the order of rejections per cost on at most `sample_rows` rows."""
-    sample = [r[0] for r in docs.select(text).limit(sample_rows).collect()]
+    """The rules in the order of rejections per cost on at most `sample_rows` rows, none of them very long."""
+    sample = [r[0] for r in docs.select(text).where(F.coalesce(F.octet_length(text), F.lit(0)) <= SAMPLE_BYTES).limit(sample_rows).collect()]
     by = {r.name: r for r in using}
     return [by[e.name] for e in estimate(sample, using)]
 
