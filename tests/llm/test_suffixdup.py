@@ -133,3 +133,13 @@ def test_reach_is_brute_force(seed):
             if i != j:
                 ds |= set(range(D.LEAST - common(ri, rj), common(li, lj) + 1))
         assert (first[i], last[i]) == ((min(ds), max(ds)) if ds else (D.LEAST, -1))
+
+
+def test_hot_passages(spark, make, prose, monkeypatch):
+    monkeypatch.setattr(D, "HOT", 5)
+    line = prose(99, 45)
+    assert 200 < len(line) < 330
+    rows = [(i, prose(10 + i, 30 + i) + line + prose(90 + i, 25)) for i in range(12)] + [(50, prose(70)), (51, prose(70) + "x"), (52, line[:210] + "é"), (53, "ab" * 150 + line[60:]), (54, None)]
+    check(spark, make, rows)
+    monkeypatch.setattr(D, "HOT_LIST", 0)
+    check(spark, make, rows)

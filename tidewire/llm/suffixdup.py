@@ -5,6 +5,8 @@ is an anchor, so two equal strings of LEAST bytes have an anchor at the same pla
 
 1. Anchors whose first k bytes occur once in the corpus can't be in a repeat. A fingerprint of these bytes is
    exchanged (as in prefix-doubling string sorting); each batch sends a fingerprint once however often it holds it.
+   A passage in a large part of all texts would still meet in one task later on; the few fingerprints that come that often are
+   settled by hashes of the windows around them, counted with the same pre-aggregation.
 2. The other anchors get their suffix (LEAST bytes) and the bytes before it. Each batch sorts its suffixes and sends
    the sorted run front-coded (length of the prefix in common with the suffix before, and the rest), cut by range.
 3. Each range merges its runs with a loser tree that keeps the known common prefix of every contender, so no byte is
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import _text as X
-from tidewire.plans.store import fresh, tasks
+from tidewire.plans.store import fresh, save, tasks
 
 #: Bytes of a repeated string; bytes of an anchor's fingerprint.
 LEAST, K = 200, 48
@@ -34,6 +36,12 @@ LEAST, K = 200, 48
 WIDTH, BEFORE = LEAST - K + 1, LEAST - K
 _BASE = X.U(0xD6E8FEB86659FD93)
 _WEIGHT = np.array([pow(int(_BASE), K - 1 - j, 1 << 64) for j in range(K)], np.uint64)
+#: Places of one fingerprint beyond which it isn't settled in one task: the windows around them are then asked for one by one.
+HOT = 200_000
+#: Hot fingerprints that are broadcast at most.
+HOT_LIST = 500_000
+#: Another reading of the bytes, for a second hash.
+_TURNED = np.random.default_rng(200).permutation(256).astype(np.uint8)
 #: Documents' bytes of one sorted run; ranges of the exchange for each shuffle partition.
 RUN_BYTES, RANGES = 8 << 20, 4
 
@@ -88,8 +96,25 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("did"), F.xxhash64(F.col(key), F.col(text)).alias("th"), F.col(text).alias("text"))
 
 
+def _asked(fp: np.ndarray, fp2: np.ndarray, who: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """(pk, pk2, th, pos, m) of a batch's fingerprints, so that each is asked for once: m is -1 for a place that is known to repeat
+    within the batch, 1 for one that asks, and the number of its places for the one that stands for a known fingerprint."""
+    order = np.lexsort((fp2, fp))
+    f, g = fp[order], fp2[order]
+    first = np.concatenate([[True], (f[1:] != f[:-1]) | (g[1:] != g[:-1])]) if len(f) else np.zeros(0, bool)
+    at = np.flatnonzero(first)
+    size = np.diff(np.concatenate([at, [len(f)]]))
+    known = np.repeat(size > 1, size) if len(f) else first
+    rows = np.concatenate([order[known], order[at]])
+    m = np.concatenate([np.full(int(known.sum()), -1), size]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(fp[rows].view(np.int64)), pa.array(fp2[rows].view(np.int64)), pa.array(who[rows]), pa.array(pos[rows].astype(np.int32)), pa.array(m)], names=["pk", "pk2", "th", "pos", "m"])
+
+
+_ASKED = "pk long, pk2 long, th long, pos int, m int"
+
+
 def _fingerprints(rows: DataFrame) -> DataFrame:
-    """(pk, th, pos, kind) of anchors: kind 0 asks, 1 is known to repeat, 2 only bears witness for others."""
+    """What is asked for the anchors of all texts: the hash of an anchor's first K bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -101,57 +126,72 @@ def _fingerprints(rows: DataFrame) -> DataFrame:
                 fps.append(fp)
                 who.append(ths[i + d])
                 pos.append(at - off[d])
-            if not fps:
-                continue
-            fp, who, pos = np.concatenate(fps), np.concatenate(who), np.concatenate(pos)
-            order = np.argsort(fp, kind="stable")
-            f = fp[order]
-            same = f[1:] == f[:-1]
-            first = np.concatenate([[True], ~same]) if len(f) else np.zeros(0, bool)
-            more = np.concatenate([same, [False]]) & first if len(f) else first
-            many = ~first | more  # in a run of two or more
-            know = order[many]
-            kind = np.concatenate([np.zeros((first & ~more).sum(), np.int8), np.ones(len(know), np.int8), np.full(more.sum(), 2, np.int8)])
-            rows = np.concatenate([order[first & ~more], know, order[more]])
-            pk = np.where(kind == 1, who[rows], fp[rows].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(pk), pa.array(who[rows]), pa.array(pos[rows].astype(np.int32)), pa.array(kind)], names=["pk", "th", "pos", "kind"])
+            if fps:
+                fp = np.concatenate(fps)
+                yield _asked(fp, np.zeros_like(fp), np.concatenate(who), np.concatenate(pos))
 
-    return rows.select("th", "text").mapInArrow(run, "pk long, th long, pos int, kind byte")
+    return rows.select("th", "text").mapInArrow(run, _ASKED)
 
 
-def _repeated(found: DataFrame) -> DataFrame:
-    """(th, pos) of the anchors whose fingerprint comes at least twice; at most one row of a fingerprint from each batch."""
+def _repeated(asked: DataFrame, hot: int) -> DataFrame:
+    """(th, pos, fp) of the places whose fingerprint comes at least twice, and a row without a place for each fingerprint of over `hot` places.
+
+    At most one row of a fingerprint comes from each batch; known places don't travel to where their fingerprint is settled.
+    """
+
+    def settled(c: list[np.ndarray]) -> pa.RecordBatch:
+        pk, pk2, th, pos, m = c
+        first = np.concatenate([[True], (pk[1:] != pk[:-1]) | (pk2[1:] != pk2[:-1])])
+        at = np.flatnonzero(first)
+        size = np.diff(np.concatenate([at, [len(pk)]]))
+        keep = np.repeat(size > 1, size) & (m == 1)
+        over = pk[at[np.add.reduceat(m.astype(np.int64), at) > hot]]
+        n = len(over)
+        return pa.RecordBatch.from_arrays([pa.array([*th[keep].tolist(), *[None] * n], pa.int64()), pa.array([*pos[keep].tolist(), *[None] * n], pa.int32()), pa.array(np.concatenate([pk[keep], over]))], names=["th", "pos", "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
+        for rb in batches:
+            c = [x.to_numpy() for x in rb.columns]
+            known = c[4] < 0
+            if known.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[2][known]), pa.array(c[3][known]), pa.array(c[0][known])], names=["th", "pos", "fp"])
+            c = [x[~known] for x in c]
+            if rest is not None:
+                c = [np.concatenate([a, b]) for a, b in zip(rest, c, strict=True)]
+            if not len(c[0]):
+                continue
+            last = int(np.searchsorted(c[0], c[0][-1]))  # this key may go on
+            if last:
+                yield settled([x[:last] for x in c])
+            rest = [x[last:] for x in c]
+        if rest is not None and len(rest[0]):
+            yield settled(rest)
+
+    n = tasks(asked.sparkSession)
+    where = F.when(F.col("m") < 0, F.col("th")).otherwise(F.col("pk"))
+    return asked.repartition(n, where).sortWithinPartitions("pk", "pk2").mapInArrow(run, "th long, pos int, fp long")
 
-        def out(pk, th, pos, kind):
-            asks = kind != 1
-            run_of = np.zeros(len(pk), bool)
-            idx = np.flatnonzero(asks)
-            p = pk[idx]
-            same = p[1:] == p[:-1]
-            hit = np.zeros(len(idx), bool)
-            hit[1:] |= same
-            hit[:-1] |= same
-            run_of[idx[hit]] = True
-            keep = (kind == 1) | (run_of & (kind == 0))
-            return pa.RecordBatch.from_arrays([pa.array(th[keep]), pa.array(pos[keep])], names=["th", "pos"])
 
+def _windows(joined: DataFrame) -> DataFrame:
+    """What is asked for every window around anchors (th, text, places): 128 bits of hash of its LEAST bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            if not rb.num_rows:
-                continue
-            now = [c.to_numpy() for c in rb.columns]
-            if rest is not None:
-                now = [np.concatenate([a, b]) for a, b in zip(rest, now, strict=True)]
-            last = int(np.searchsorted(now[0], now[0][-1]))  # this key may go on
-            yield out(*(c[:last] for c in now))
-            rest = [c[last:] for c in now]
-        if rest is not None:
-            yield out(*rest)
+            ths = rb.column(0).to_numpy()
+            for i, j, buf, off in X.pieces(rb, "text"):
+                starts, who = [], []
+                for d, places in zip(range(j - i), rb.column(2).slice(i, j - i), strict=True):
+                    near = np.unique((places.values.to_numpy().astype(np.int64)[:, None] - np.arange(BEFORE + 1)[None, :]).ravel())
+                    near = near[(near >= 0) & (near + LEAST <= off[d + 1] - off[d])]
+                    starts.append(near + off[d])
+                    who.append(np.full(len(near), ths[i + d]))
+                at, who_ = np.concatenate(starts), np.concatenate(who)
+                own = off[np.searchsorted(off, at, "right") - 1]
+                h = X.spans_hash(buf, at, at + LEAST)
+                yield _asked(h, X.spans_hash(_TURNED[buf], at, at + LEAST), who_, at - own)
 
-    n = tasks(found.sparkSession)
-    return found.repartition(n, "pk").sortWithinPartitions("pk").mapInArrow(run, "th long, pos int")
+    return joined.select("th", "text", "places", "did").mapInArrow(run, _ASKED)
 
 
 def _gather(buf: np.ndarray, starts: np.ndarray, size: np.ndarray, wide: int, back: bool) -> np.ndarray:
@@ -432,12 +472,22 @@ def _union(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(did, th, text) of every row, and (th, ranges) with the repeated byte ranges of the rows that have any."""
-    n = tasks(docs.sparkSession)
+    spark = docs.sparkSession
+    n = tasks(spark)
     rows = _keyed(docs, key, text)
-    found = _repeated(_fingerprints(rows.where(F.octet_length("text") >= LEAST)))
-    places = found.groupBy("th").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    joined = rows.join(places, "th")
-    ranges = _merged(_runs(joined, RANGES * n), n)
+    found = save(_repeated(_fingerprints(rows.where(F.octet_length("text") >= LEAST)), HOT), "anchors")
+    hot = found.where("th is null").select("fp")
+    many = hot.count()
+    found = found.where("th is not null")
+    together = lambda part: rows.join(part.groupBy("th").agg(F.sort_array(F.collect_list("pos")).alias("places")), "th")
+    if many:
+        hot = save(hot, "hot")
+        listed = F.broadcast(hot) if many <= HOT_LIST else hot
+        ask = _windows(together(found.join(listed, "fp", "left_semi")))
+        more = _repeated(ask, 1 << 62).where("th is not null").select("th", F.col("pos").cast("long").alias("start"), (F.col("pos") + LEAST).cast("long").alias("stop"))
+        found = found.join(listed, "fp", "left_anti")
+    ranges = _merged(_runs(together(found), RANGES * n), n)
+    ranges = ranges.unionByName(more) if many else ranges
     return rows, ranges.groupBy("th").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
 
