@@ -8,7 +8,7 @@ Projected gradient descent starts at rate 1; each step is one distributed sum of
 from __future__ import annotations
 
 import math
-from array import array
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +17,12 @@ from tidewire.plans.store import save
 
 #: Domains by their labels, and the share of tokens that each is to have.
 TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
-#: Labelled documents on which the classifier is fitted, about; buckets of the hashed words; pseudo-documents of a
-#: domain; standard deviations that make a bucket telling.
-FIT_ROWS, BUCKETS, PSEUDO, SURE = 20_000, 1 << 15, 2.0, 4.0
-#: Log-likelihood ratios are kept as whole numbers of this part.
+#: Labelled documents on which the classifier is fitted, about; telling words at most, and places for them; pseudo-documents of
+#: a domain; standard deviations that make a word telling.
+FIT_ROWS, WORDS, SLOTS, PSEUDO, SURE = 20_000, 4096, 1 << 15, 2.0, 4.0
+#: Documents that a telling word is in at least, and share of a domain's documents: one group of copies tells nothing.
+LEAST_DOCS, COMMON = 5, 0.01
+#: Log odds are kept as whole numbers of this part.
 GRAIN = 100
 #: A domain is drawn at most this often on average: an aim above that is lowered to it, for the tokens aren't there.
 REPEATS = 1.0
@@ -37,67 +39,83 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def _buckets(tokens: Column) -> Column:
-    """Places of the distinct hashed words in the model's arrays, from 1."""
-    return F.array_distinct(F.transform(tokens, lambda w: (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) + 1).cast("int")))
+def _hashes(tokens: Column) -> Column:
+    """Hashes of the distinct words."""
+    return F.array_distinct(F.transform(tokens, lambda w: F.xxhash64(w)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> tuple[list[float], list[array]]:
-    """Log priors of the domains (of a text without any word), and for each domain BUCKETS log odds, whatever the size of the input.
+@dataclass(frozen=True)
+class Model:
+    """Bernoulli model: log odds of a text without any telling word by domain; in `slots` the telling words' hashes, each at its
+    place modulo SLOTS + 1 (0: none), and at the same places the whole-number log odds that each word adds by domain."""
 
-    Fitted on the labelled documents whose hash is below the quantile that leaves about `rows`. Contradictory
-    labels of a document count each; a word counts once a document. Without labelled rows every domain is as likely.
+    base: list[float]
+    slots: list[int]
+    odds: list[list[int]]
+
+
+def fit(docs: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> Model:
+    """The model of labelled documents; a few numbers for each of WORDS words, whatever the size of the input.
+
+    Fitted on the labelled documents whose hash is below the quantile that leaves about `rows`. Contradictory labels of a
+    document count each. Only telling words count, for thousands of slight ones would add up to certainty: those that in some
+    domain come at least twice or at most half as often as its share of words lets expect, by SURE standard deviations.
+    Without labelled rows every domain is as likely.
     """
     known = labels.select(F.col(key).alias("_id"), domain().alias("domain")).where(F.col("domain").isin(domains) & F.col("_id").isNotNull()).distinct()
     there = known.count()
     known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < math.ceil(1e6 * rows / max(there, rows)))
     seen = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id")  # bounded by `rows`
-    counts = seen.select("domain", F.explode(F.concat(F.array(F.lit(0)), _buckets(_tokens(F.col("_text"))))).alias("bucket")).groupBy("domain", "bucket").count()
-    packed = counts.groupBy("domain", F.floor(F.col("bucket") / 1024)).agg(F.collect_list(F.struct("bucket", "count")).alias("c")).select("domain", F.col("c.bucket").alias("b"), F.col("c.count").alias("n"))
-    table = [array("d", bytes(8 * (BUCKETS + 1))) for _ in domains]  # at 0 the documents
-    for r in packed.toLocalIterator():
-        mine = table[domains.index(r["domain"])]
-        for bucket, n in zip(r["b"], r["n"], strict=True):
-            mine[bucket] = n
-    return _bernoulli(table)
-
-
-def _bernoulli(table: list[array]) -> tuple[list[float], list[array]]:
-    """Bernoulli model of counts: of each domain its documents (at 0) and those with each bucket.
-
-    Only telling buckets count, for thousands of slight ones would add up to certainty: those that in some domain come
-    at least twice or at most half as often as its share of words lets expect, by SURE standard deviations.
-    """
-    docs_of = [max(t[0], 0.0) for t in table]
-    total = sum(docs_of)
-    words_of = [sum(t) - t[0] for t in table]
+    each = [F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)]
+    words = seen.select("domain", F.explode(F.concat(F.array(F.lit(0).cast("long")), _hashes(_tokens(F.col("_text"))))).alias("h"))  # 0: the document itself
+    counts = save(words.groupBy("h").agg(*each), "words")
+    k = range(len(domains))
+    total = counts.agg(*(F.coalesce(F.sum(F.when(F.col("h") == 0, F.col(f"n{i}"))), F.lit(0)) for i in k), *(F.coalesce(F.sum(F.when(F.col("h") != 0, F.col(f"n{i}"))), F.lit(0)) for i in k)).first()
+    docs_of, words_of = [float(x) for x in total[: len(domains)]], [float(x) for x in total[len(domains) :]]
     share = [w / max(sum(words_of), 1.0) for w in words_of]
-    base = [math.log((n + 1) / (total + len(table))) for n in docs_of]
-    like = [array("d", bytes(8 * BUCKETS)) for _ in table]
-    for b in range(1, BUCKETS + 1):
-        every = sum(t[b] for t in table)
-        if not any(abs(t[b] - every * q) >= SURE * math.sqrt(every * q + 1) and not 0.5 < t[b] / (every * q) < 2 for t, q in zip(table, share, strict=True) if q):
-            continue
-        for d, (t, n) in enumerate(zip(table, docs_of, strict=True)):
-            p = (t[b] + PSEUDO * every / total) / (n + PSEUDO)
-            p = min(max(p, 1e-9), 1 - 1e-9)
-            like[d][b - 1] = math.log(p / (1 - p))
-            base[d] += math.log(1 - p)
+    every = sum((F.col(f"n{i}") for i in k[1:]), F.col("n0")).cast("double")
+    sure = [F.abs(F.col(f"n{i}") - every * share[i]) / F.sqrt(every * share[i] + 1) for i in k]
+    far = [(F.col(f"n{i}") >= every * 2 * share[i]) | (F.col(f"n{i}") <= every * share[i] / 2) for i in k]
+    wide = [every >= max(float(LEAST_DOCS), COMMON * docs_of[i]) for i in k]
+    tells = [F.when(far[i] & wide[i], sure[i]).otherwise(0.0) if share[i] else F.lit(0.0) for i in k]
+    best = F.greatest(*tells) if len(domains) > 1 else tells[0]
+    chosen = counts.where("h <> 0").withColumns({"z": best, **{f"t{i}": tells[i] >= SURE for i in k}}).where(F.col("z") >= SURE).orderBy(F.desc("z"), "h").limit(WORDS).collect()
+    base = [math.log((n + 1) / (sum(docs_of) + len(domains))) for n in docs_of]
+    slots, odds = [0] * SLOTS, [[0] * SLOTS for _ in k]
+    for r in chosen:
+        at = r["h"] % SLOTS
+        if slots[at]:
+            continue  # the more telling word has the place
+        slots[at] = r["h"]
+        n = [r[f"n{i}"] for i in k]
+        rest = [i for i in k if not r[f"t{i}"]]
+        for i in k:
+            like = [i] if r[f"t{i}"] else rest  # domains of which the word tells nothing count as one
+            p = (sum(n[j] for j in like) + PSEUDO * sum(n) / sum(docs_of)) / (sum(docs_of[j] for j in like) + PSEUDO)
+            p = min(max(p, 1e-6), 1 - 1e-6)
+            odds[i][at] = round(GRAIN * math.log(p / (1 - p)))
+            base[i] += math.log(1 - p)
     top = max(base)
-    return [x - top for x in base], like
+    return Model([x - top for x in base], slots, odds)
+
+
+def _constant(numbers: list[int], kind: str) -> Column:
+    """An array that is folded to one constant."""
+    return F.split(F.lit(" ".join(map(str, numbers))), " ").cast(f"array<{kind}>")
 
 
 def _add(held: Column):
     return lambda acc, b: acc + F.element_at(held, b) / GRAIN
 
 
-def posteriors(docs: DataFrame, model: tuple[list[float], list[array]], domains: list[str], text: str = "text") -> DataFrame:
-    """`docs` with n_tokens and p_<domain> of each row; a text without words has the priors and no tokens."""
-    priors, like = model
-    out = docs.withColumn("_words", _tokens(F.col(text))).withColumn("n_tokens", F.size("_words").cast("long")).withColumn("_at", _buckets(F.col("_words")))
-    for d, prior, ratios in zip(domains, priors, like, strict=True):
-        held = F.split(F.lit(" ".join(str(round(x * GRAIN)) for x in ratios)), " ").cast("array<smallint>")  # folded to one constant
-        out = out.withColumn(f"_l_{d}", F.aggregate("_at", F.lit(prior), _add(held)))
+def posteriors(docs: DataFrame, model: Model, domains: list[str], text: str = "text") -> DataFrame:
+    """`docs` with n_tokens and p_<domain> of each row; a text without telling words has the same as any such text."""
+    slots = _constant(model.slots, "bigint")
+    place = lambda h: (F.pmod(h, F.lit(SLOTS)) + 1).cast("int")
+    tell = F.filter(_hashes(F.col("_words")), lambda h: F.element_at(slots, place(h)) == h)
+    out = docs.withColumn("_words", _tokens(F.col(text))).withColumn("n_tokens", F.size("_words").cast("long")).withColumn("_at", F.transform(tell, place))
+    for d, base, odds in zip(domains, model.base, model.odds, strict=True):
+        out = out.withColumn(f"_l_{d}", F.aggregate("_at", F.lit(base), _add(_constant(odds, "smallint"))))
     top = F.greatest(*(F.col(f"_l_{d}") for d in domains)) if len(domains) > 1 else F.col(f"_l_{domains[0]}")
     out = out.withColumn("_sum", sum((F.exp(F.col(f"_l_{d}") - top) for d in domains[1:]), F.exp(F.col(f"_l_{domains[0]}") - top)))
     out = out.withColumns({f"p_{d}": F.exp(F.col(f"_l_{d}") - top) / F.col("_sum") for d in domains})
