@@ -132,3 +132,17 @@ def missed_polls(polls: DataFrame, allowed_ms: int) -> DataFrame:
     order = Window.partitionBy("stream").orderBy("from_ms", "to_ms")
     before = F.max("to_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return polls.withColumn("before", before).where(F.col("from_ms") - F.col("before") > allowed_ms).select("stream", F.col("before").alias("gap_from"), F.col("from_ms").alias("gap_to"))
+
+
+def gap_rows(polls: DataFrame, window_ms: int, interval_ms: int) -> DataFrame:
+    """(stream, gap_from, gap_to, reason) of what a capture couldn't read: failed or truncated polls, excluded stretches, missed polls.
+
+    `polls` has stream, from_ms, to_ms, ok, failure (cli-exit, timeout or null), truncated and excluded (array of start and end in ms,
+    null ends standing for the poll's own).
+    """
+    failed = polls.where(~F.col("ok")).select("stream", F.col("from_ms").alias("gap_from"), F.col("to_ms").alias("gap_to"), F.coalesce("failure", F.lit("cli-exit")).alias("reason"))
+    cut = polls.where("truncated").select("stream", F.col("from_ms").alias("gap_from"), F.col("to_ms").alias("gap_to"), F.lit("truncated").alias("reason"))
+    out = polls.select("stream", "from_ms", "to_ms", F.explode("excluded").alias("x")).select("stream", F.coalesce("x.start", "from_ms").alias("gap_from"), F.coalesce("x.end", "to_ms").alias("gap_to"), F.lit("excluded").alias("reason"))
+    before = F.max(F.when(F.col("ok"), F.col("to_ms"))).over(Window.partitionBy("stream").orderBy("to_ms").rowsBetween(Window.unboundedPreceding, -1))
+    missed = polls.withColumn("before", before).where(F.col("to_ms") - F.col("before") > window_ms - interval_ms).select("stream", F.col("before").alias("gap_from"), F.col("to_ms").alias("gap_to"), F.lit("missed-poll").alias("reason"))
+    return failed.unionByName(cut).unionByName(out).unionByName(missed).distinct()

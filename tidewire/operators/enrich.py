@@ -173,3 +173,30 @@ def health(states: DataFrame, kev: str = "ok", fetched_ms: int | None = None) ->
         c = F.col(f"{name.lower()}_status")
         parts.append(F.when(c == "unavailable", f"{name} data unavailable").when(c == "partial", f"{name} partially unavailable"))
     return out.withColumn("notice", F.nullif(F.concat_ws(" · ", *parts), F.lit("")))
+
+
+def epss_urls(selected: DataFrame, base: str) -> DataFrame:
+    """(batch, url) of the requests for the batches of selected ids: sorted ids, so the same set has the same URLs."""
+    ids = F.array_join(F.array_sort(F.collect_list("cve")), ",")  # one batch of ids
+    return selected.where("batch is not null").groupBy("batch").agg(F.concat(F.lit(base + "?cve="), ids, F.lit("&limit=100")).alias("url"))
+
+
+def record_url(cve: Column, base: str) -> Column:
+    return F.concat(F.lit(base + "/"), cve)
+
+
+def ssvc_answers(answers: DataFrame) -> DataFrame:
+    """(cve, state, exploitation, automatable, impact) of look-ups (cve, status, body, late): what came after the deadline, and any status but
+    200, is unavailable; but the 404 that says that there is no such record is not-assessed."""
+    gone = (F.col("status") == 404) & F.coalesce(_text(F.try_parse_json("body"), "$.error") == "CVE_RECORD_DNE", F.lit(False))
+    in_time = answers.where(~F.coalesce("late", F.lit(False)))
+    parsed = ssvc_parsed(in_time.where("status = 200").select("cve", "body"))
+    absent = in_time.where(gone).select("cve", F.lit("not-assessed").alias("state"), *(F.lit(None).cast("string").alias(c) for c in ("exploitation", "automatable", "impact")))
+    found = parsed.unionByName(absent)
+    return answers.select("cve").distinct().join(found, "cve", "left").withColumn("state", F.coalesce("state", F.lit("unavailable")))
+
+
+def cacheable(state: Column, exploitation: Column, automatable: Column, impact: Column) -> Column:
+    """Whether an answer may be kept: not-assessed, or assessed with all three words."""
+    words = exploitation.isin("none", "poc", "active") & automatable.isin("yes", "no") & impact.isin("partial", "total")
+    return F.coalesce((state == "not-assessed") | ((state == "assessed") & words), F.lit(False))

@@ -94,3 +94,16 @@ def toggle_section(selected: Column, section: Column) -> Column:
 
 def has_filters(min_importance: Column, unread_only: Column, flagged_only: Column) -> Column:
     return (min_importance != "all") | unread_only | flagged_only
+
+
+def mark_shown(seen: DataFrame, marks: DataFrame, ok: Column, now_ms: int) -> DataFrame:
+    """Marks after a reader marks all that is shown and unread (`seen` as of `with_marks`) as read."""
+    new = seen.where(ok & ~F.col("is_read")).select("user_id", F.col("id").alias("article_id"), F.lit("read").alias("kind"))
+    return add_marks(marks, new, now_ms)
+
+
+def step_index(current: Column, count: Column, forward: Column) -> Column:
+    """The place to go to among `count` articles, clamped at both ends; -1 if there is none."""
+    start = F.when(forward, 0).otherwise(count - 1)
+    step = F.when(forward, F.least(current + 1, count - 1)).otherwise(F.greatest(current - 1, F.lit(0)))
+    return F.when(count == 0, -1).when(current < 0, start).otherwise(step)

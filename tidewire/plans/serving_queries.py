@@ -375,7 +375,40 @@ def q49(spark, sf):
     return ed.cube("section", "importance", "source_type").agg(F.count("*").alias("n")).select(F.coalesce("section", F.lit("*")).alias("section"), F.coalesce("importance", F.lit("*")).alias("importance"), F.coalesce("source_type", F.lit("*")).alias("source_type"), "n")
 
 
+def q22u(spark, sf):
+    """Request URLs of the batches."""
+    return N.epss_urls(N.epss_selected(_ids(spark, sf)), "https://scores.example.org/epss")
+
+
+def q38s(spark, sf):
+    """Marks after every reader marks what is shown as read."""
+    marks = V.live_marks(rel(spark, sf, A.MARKS).withColumnRenamed("article", "article_id"), NOW)
+    ok = V.visible(_min_rank(), F.col("unread_only"), F.col("flagged_only")) & V.section_selected(F.col("sections"))
+    return V.mark_shown(_reader_view(spark, sf), marks, ok, NOW + 2)
+
+
+def q41r(spark, sf):
+    """Rows of a capture file by kind and validity; every ninth line is cut off, every seventh of an unknown kind."""
+    at = F.date_format(F.timestamp_seconds("s"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    k = F.when(F.col("pos") % 7 == 0, "other").otherwise("budget")
+    row = F.concat(F.lit('{"k":"'), k, F.lit('","ts":"'), at, F.lit('","rid":"r","path":"/","dep":"d","line":'), F.substr("message", F.lit(8)), F.lit("}"))
+    lines = _messages(spark, sf).select(F.when(F.col("pos") % 9 == 0, F.left(row, F.lit(30))).otherwise(row).alias("value"))
+    return L.read_rows(lines).groupBy(F.coalesce("k", F.lit("-")).alias("k"), "valid").agg(F.count("*").alias("n"))
+
+
+_GAPS = """SELECT 'capture' AS stream, CAST({epoch} AS BIGINT) * 1000 - 600000 AS from_ms, CAST({epoch} AS BIGINT) * 1000 + event_id % 7 AS to_ms, event_id % 5 <> 0 AS ok, CASE WHEN event_id % 10 = 0 THEN 'timeout' END AS failure, event_id % 11 = 0 AS truncated, event_id % 13 = 0 AS ex, event_id FROM {events} e WHERE event_type = 'error'"""
+
+
+def q46p(spark, sf):
+    """What a capture couldn't read."""
+    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
+    one = F.array(F.struct((F.col("from_ms") + 5).alias("start"), F.lit(None).cast("long").alias("end")))
+    polls = rel(spark, sf, _GAPS).withColumn("excluded", F.when(F.col("ex"), one).otherwise(none))
+    return B.gap_rows(polls, 600_000, 60_000)
+
+
 QUERIES = {
+    "q22_epss_urls": q22u, "q38_mark_shown": q38s, "q41_read_rows": q41r, "q46_gap_rows": q46p,
     "q01_feed_items": q01, "q02_body_gates": q02, "q20_json_gate": q20, "q20_redirects": q20b, "q21_kev": q21, "q21_kev_gate": q21g, "q22_epss": q22, "q23_ssvc": q23, "q24_enrichment": q24, "q25_health": q25, "q26_chips": q26,
     "q30_feed_scope": q30, "q31_rss": q31, "q32_json_feed": q32, "q33_section_plan": q33, "q34_visible": q34, "q35_visible_counts": q35, "q36_reader_counts": q36, "q37_prefs": q37, "q38_marks": q38, "q39_set_operations": q39,
     "q40_log_rows": q40, "q41_take_new": q41, "q42_budget_line": q42, "q43_islands": q43, "q43_coverage": q43c, "q44_producers": q44, "q44_reads": q44r, "q45_report": q45, "q46_capture": q46, "q46_missed_polls": q46g, "q47_refresh": q47, "q48_windows": q48, "q49_cube": q49,
@@ -383,6 +416,10 @@ QUERIES = {
 
 _UNITS = "CASE WHEN rcW = 0 THEN 0 ELSE rcW * greatest(1, ceil(bytes / rcW / 8192.0)) END"
 ORACLES = {
+    "q22_epss_urls": f"WITH {_EPSS_SQL} SELECT batch, 'https://scores.example.org/epss?cve=' || string_agg(cve, ',' ORDER BY cve) || '&limit=100' AS url FROM b WHERE batch IS NOT NULL GROUP BY batch",
+    "q38_mark_shown": f"WITH {_VIEW} SELECT user_id, article AS article_id, kind, at_ms FROM lm UNION ALL SELECT user_id, id, 'read', {NOW + 2} FROM vw WHERE ok AND NOT r AND (len(sections) = 0 OR list_contains(sections, section))",
+    "q41_read_rows": "SELECT CASE WHEN event_id % 9 = 0 THEN '-' WHEN event_id % 7 = 0 THEN 'other' ELSE 'budget' END AS k, event_id % 9 <> 0 AND event_id % 7 <> 0 AS valid, count(*) AS n FROM events GROUP BY ALL",
+    "q46_gap_rows": "WITH p AS (" + A.duck_sql(_GAPS) + "), m AS (SELECT *, max(CASE WHEN ok THEN to_ms END) OVER (ORDER BY to_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p) SELECT DISTINCT * FROM (SELECT stream, from_ms AS gap_from, to_ms AS gap_to, coalesce(failure, 'cli-exit') AS reason FROM p WHERE NOT ok UNION ALL SELECT stream, from_ms, to_ms, 'truncated' FROM p WHERE truncated UNION ALL SELECT stream, from_ms + 5, to_ms, 'excluded' FROM p WHERE ex UNION ALL SELECT stream, b, to_ms, 'missed-poll' FROM m WHERE to_ms - b > 540000)",
     "q02_body_gates": f"WITH s AS ({A.duck_sql(A.SOURCES)}), b AS ({A.duck_sql(_BODIES)}) SELECT doc_id, CASE WHEN status <> 200 THEN 'status' WHEN NOT (contains(lower(content_type), 'xml') OR (allow_html AND contains(lower(content_type), 'html'))) THEN 'content type' WHEN strlen(body) > coalesce(max_body_bytes, 2097152) THEN 'size' ELSE 'ok' END AS outcome FROM b JOIN s USING (source_id)",
     "q20_json_gate": "WITH a AS (" + A.duck_sql(_ANSWERS) + ") SELECT event_id, reason IS NULL AS ok, reason FROM (SELECT event_id, CASE WHEN status IS NULL THEN 'network' WHEN status <> 200 THEN 'status' WHEN strlen(body) > 9 THEN 'size' WHEN body LIKE '<%' THEN 'json' END AS reason FROM a)",
     "q20_redirects": "WITH h AS (" + A.duck_sql(_HOPS) + "), x AS (SELECT chain, hop, lower(regexp_extract(url, '^https://([^/?#]+)', 1)) AS host FROM h), f AS (SELECT chain, arg_min(host, hop) AS first FROM x GROUP BY chain) SELECT chain, bool_and(host = first AND host <> '') AND max(hop) <= 5 AS ok FROM x JOIN f USING (chain) GROUP BY chain",

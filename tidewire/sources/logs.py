@@ -86,3 +86,33 @@ def request_rows(lines: DataFrame) -> DataFrame:
 def row_key(k: Column, ts: Column, rid: Column, payload: Column) -> Column:
     """The key by which a row is the same as one read before."""
     return F.sha1(F.concat_ws("|", k, ts, rid, payload))
+
+
+def summary_rows(lines: DataFrame) -> DataFrame:
+    """(has_more, next, excluded) of the summary records among text lines: paging, and excluded stretches (start, end) as text."""
+    rows = lines.withColumn("v", F.try_parse_json("value")).where(_text(F.col("v"), "$.type") == "summary")
+    more = F.when(_type(F.col("v"), "$.pagination.hasMore") == "BOOLEAN", F.try_variant_get("v", "$.pagination.hasMore", "boolean"))
+    spans = F.try_variant_get("v", "$.excludedIntervals", "array<variant>")
+    each = F.transform(F.coalesce(spans, F.array().cast("array<variant>")), lambda x: F.struct(_text(x, "$.start").alias("start"), _text(x, "$.end").alias("end")))
+    return rows.select(F.coalesce(more, F.lit(False)).alias("has_more"), _text(F.col("v"), "$.pagination.next").alias("next"), each.alias("excluded"))
+
+
+def _iso(c: Column) -> Column:
+    return c.try_cast("timestamp").isNotNull()
+
+
+def read_rows(lines: DataFrame) -> DataFrame:
+    """(k, row, valid) of a capture file's lines (`value`): the kind of row, the line if it is exactly one of the four shapes; blank lines go."""
+    v = F.col("v")
+    text = lambda k: _text(v, f"$.{k}")
+    number = lambda k: F.coalesce(_type(v, f"$.{k}").rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"), F.lit(False))
+    all_of = lambda *keys: F.array_size(F.array_compact(F.array(*(text(k) for k in keys)))) == len(keys)
+    line = F.concat(F.lit(PREFIX), F.get_json_object("value", "$.line"))
+    k = text("k")
+    budget = all_of("ts", "rid", "path", "dep") & _iso(text("ts")) & parse_line(line).isNotNull()
+    req = all_of("ts", "rid", "path", "route", "cache", "dep") & _iso(text("ts")) & number("status")
+    poll = all_of("at", "from", "to", "cli") & _iso(text("at")) & _iso(text("from")) & _iso(text("to")) & (_type(v, "$.ok") == "BOOLEAN") & number("runtime") & number("requests")
+    gap = all_of("from", "to", "reason") & _iso(text("from")) & _iso(text("to")) & text("reason").isin(*C.GAP_REASONS)
+    rows = lines.where(F.btrim("value", F.lit(C.SPACES)) != "").withColumn("v", F.try_parse_json("value"))
+    valid = F.when(k == "budget", budget).when(k == "req", req).when(k == "poll", poll).when(k == "gap", gap)
+    return rows.select(k.alias("k"), F.col("value").alias("row"), F.coalesce(valid, F.lit(False)).alias("valid"))

@@ -33,11 +33,16 @@ def rss_items(items: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.withColumn("item", F.concat(F.lit("    <item>\n"), F.array_join(F.array_compact(lines), "\n"), F.lit("\n    </item>")))
 
 
-def rss(items: DataFrame, sources: DataFrame, generated_ms: int, site: str, name: str, description: str) -> DataFrame:
+def _with_empty(whole: DataFrame, variants: DataFrame | None) -> DataFrame:
+    """Feeds without an item too, if the feeds are given."""
+    return whole if variants is None else variants.select("slug", "feed_title").join(whole, ["slug", "feed_title"], "left")
+
+
+def rss(items: DataFrame, sources: DataFrame, generated_ms: int, site: str, name: str, description: str, variants: DataFrame | None = None) -> DataFrame:
     """(slug, body) of each feed. A feed's items are one edition's: a few hundred."""
     rows = rss_items(items, sources)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("feed_rank", "item"))), lambda x: x["item"]), "\n")
-    whole = rows.groupBy("slug", "feed_title").agg(body.alias("items"))
+    whole = _with_empty(rows.groupBy("slug", "feed_title").agg(body.alias("items")), variants)
     title = F.concat(F.lit(f"{name}: "), F.when(F.col("slug") == "all", "security news").otherwise(F.col("feed_title")))
     at = S.rfc822(F.timestamp_millis(F.lit(generated_ms)))
     return whole.select("slug", F.concat_ws(
@@ -58,17 +63,17 @@ def json_items(items: DataFrame) -> DataFrame:
     return items.withColumn("item", F.when(some, write(F.col("summary"), F.col("summary").alias("content_text"))).otherwise(write(F.col("title").alias("content_text"))))
 
 
-def json_feed(items: DataFrame, generated_ms: int, site: str, name: str, description: str) -> DataFrame:
+def json_feed(items: DataFrame, generated_ms: int, site: str, name: str, description: str, variants: DataFrame | None = None) -> DataFrame:
     """(slug, body) of each feed."""
     rows = json_items(items)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("feed_rank", "item"))), lambda x: x["item"]), ",")
-    whole = rows.groupBy("slug", "feed_title").agg(body.alias("items"))
+    whole = _with_empty(rows.groupBy("slug", "feed_title").agg(body.alias("items")), variants)
     title = F.concat(F.lit(f"{name}: "), F.when(F.col("slug") == "all", "security news").otherwise(F.col("feed_title")))
     head = F.to_json(F.struct(
         F.lit("https://jsonfeed.org/version/1.1").alias("version"), title.alias("title"), F.lit(site + "/").alias("home_page_url"), F.concat(F.lit(site), S.feed_path("slug", "json")).alias("feed_url"), F.lit(description).alias("description"), F.lit("en").alias("language"),
         F.struct(F.lit(site + "/feeds").alias("about"), S.iso(F.lit(generated_ms)).alias("generated_at"), F.lit(900).alias("refresh_seconds"), F.col("slug").alias("scope")).alias("_tidewire"),
     ))
-    return whole.select("slug", F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"items":['), F.col("items"), F.lit("]}")).alias("body"))
+    return whole.select("slug", F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"items":['), F.coalesce("items", F.lit("")), F.lit("]}")).alias("body"))
 
 
 def write_feeds(feeds: DataFrame, path: str) -> None:
@@ -79,3 +84,19 @@ def write_feeds(feeds: DataFrame, path: str) -> None:
 def write_rows(rows: DataFrame, path: str) -> None:
     """Append rows as JSON lines."""
     rows.write.mode("append").json(path)
+
+
+CONTENT_TYPES = {"xml": "application/rss+xml; charset=utf-8", "json": "application/feed+json; charset=utf-8"}
+
+
+def feed_response(edition: DataFrame, sources: DataFrame, slug: str, fmt: str, generated_ms: int, site: str, name: str, description: str) -> tuple[int, str, str]:
+    """(status, content type, body) of a published feed by its path's slug; 404 for one that isn't published."""
+    from tidewire.operators import views
+
+    variants = views.feeds_df(edition.sparkSession).where(F.col("slug") == slug)
+    if fmt not in CONTENT_TYPES or variants.isEmpty():
+        return 404, "text/plain", "Not found"
+    items = views.feed_items(edition, variants)
+    about = (generated_ms, site, name, description, variants)
+    body = rss(items, sources, *about) if fmt == "xml" else json_feed(items, *about)
+    return 200, CONTENT_TYPES[fmt], body.first()["body"]
