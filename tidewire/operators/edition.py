@@ -115,7 +115,7 @@ def derive(articles: DataFrame) -> DataFrame:
 def ranked(articles: DataFrame, now_ms: int) -> DataFrame:
     """Score of each article and its rank in its section."""
     rows = articles.withColumn("score", S.score(tier_weight(), "published_ms", now_ms)).withColumn("section_pos", section_pos())
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("section").orderBy(F.desc("score"), "idx")))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("section").orderBy(F.desc("score"), "idx")).cast("long"))
 
 
 def compose(windowed: DataFrame, now_ms: int, exact: bool = False) -> DataFrame:
@@ -142,4 +142,4 @@ def unique_cves(edition: DataFrame) -> DataFrame:
     """(cve, pos) of the valid ids of an edition, by first appearance."""
     seen = edition.select("edition_pos", F.posexplode("cves").alias("p", "cve")).where(S.is_cve("cve"))
     first = seen.groupBy("cve").agg(F.min(F.struct("edition_pos", "p")).alias("at"))
-    return first.select("cve", F.row_number().over(Window.orderBy("at", "cve")).alias("pos"))  # ids of one edition: few
+    return first.select("cve", F.row_number().over(Window.orderBy("at", "cve")).cast("long").alias("pos"))  # ids of one edition: few

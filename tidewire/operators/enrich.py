@@ -55,8 +55,8 @@ def kev_gate(entries: DataFrame, declared: int | None = None, min_entries: int =
 def epss_selected(ids: DataFrame, cap: int = C.EPSS_IDS, size: int = C.EPSS_BATCH) -> DataFrame:
     """(cve, pos, batch) of ids (cve, pos): the first `cap` by appearance, then in batches of sorted ids; batch is null beyond the cap."""
     kept = ids.where(F.col("pos") <= cap)
-    batch = F.floor((F.row_number().over(Window.orderBy("cve")) - 1) / size).cast("int")  # `cap` rows
-    return kept.withColumn("batch", batch).unionByName(ids.where(F.col("pos") > cap).withColumn("batch", F.lit(None).cast("int")))
+    batch = F.floor((F.row_number().over(Window.orderBy("cve")) - 1) / size).cast("long")  # `cap` rows
+    return kept.withColumn("batch", batch).unionByName(ids.where(F.col("pos") > cap).withColumn("batch", F.lit(None).cast("long")))
 
 
 def epss_states(selected: DataFrame, answers: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def chips(cards: DataFrame, states: DataFrame | None = None) -> DataFrame:
     shown = F.when(F.col("epss_state") == "scored", F.col("score"))
     order = [F.when(listed, 0).otherwise(1), F.when(listed, F.col("added")).desc_nulls_last(), tier, shown.desc_nulls_last(), "p"]
     n = F.count("*").over(Window.partitionBy("edition_pos"))
-    return rows.select("edition_pos", "cve", F.row_number().over(Window.partitionBy("edition_pos").orderBy(*order)).alias("chip_rank"), F.greatest(F.lit(0), n - C.CHIPS).alias("overflow"), listed.alias("kev"), tier.alias("ssvc_tier"), shown.alias("score"), (shown >= C.EPSS_STRONG).alias("strong"))
+    return rows.select("edition_pos", "cve", F.row_number().over(Window.partitionBy("edition_pos").orderBy(*order)).cast("long").alias("chip_rank"), F.greatest(F.lit(0), n - C.CHIPS).alias("overflow"), listed.alias("kev"), tier.alias("ssvc_tier"), shown.alias("score"), (shown >= C.EPSS_STRONG).alias("strong"))
 
 
 def ssvc_selection(ids: DataFrame, kev: DataFrame, epss: DataFrame, cards: DataFrame, kev_known: bool = True, cap: int = C.SSVC_LOOKUPS) -> DataFrame:
@@ -114,8 +114,8 @@ def ssvc_selection(ids: DataFrame, kev: DataFrame, epss: DataFrame, cards: DataF
     rest = pre.where(~skipped).join(visible, "cve", "left")
     shown = F.when(F.col("epss_state") == "scored", F.col("score"))
     order = Window.orderBy(F.coalesce("visible", F.lit(False)).desc(), shown.desc_nulls_last(), "cve")  # ids of one edition: few
-    rest = rest.withColumn("priority", F.row_number().over(order)).select("cve", F.when(F.col("priority") <= cap, "lookup").otherwise("overflow").alias("choice"), "priority")
-    return pre.where(skipped).select("cve", F.lit("skipped").alias("choice"), F.lit(None).cast("int").alias("priority")).unionByName(rest)
+    rest = rest.withColumn("priority", F.row_number().over(order).cast("long")).select("cve", F.when(F.col("priority") <= cap, "lookup").otherwise("overflow").alias("choice"), "priority")
+    return pre.where(skipped).select("cve", F.lit("skipped").alias("choice"), F.lit(None).cast("long").alias("priority")).unionByName(rest)
 
 
 def ssvc_parsed(records: DataFrame) -> DataFrame:

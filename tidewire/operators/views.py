@@ -24,7 +24,7 @@ def feed_items(edition: DataFrame, variants: DataFrame) -> DataFrame:
     """Articles of each feed, newest first, ties in the order of the edition (feed_rank). The feeds are ten rows."""
     level = S.importance_rank("importance")
     rows = edition.join(F.broadcast(variants), F.coalesce(F.col("feed_section") == F.col("section"), level >= F.coalesce("min_rank", F.lit(0))))
-    return rows.withColumn("feed_rank", F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("published_ms"), "edition_pos")))
+    return rows.withColumn("feed_rank", F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("published_ms"), "edition_pos")).cast("long"))
 
 
 def section_plan(edition: DataFrame) -> DataFrame:

@@ -455,3 +455,20 @@ ORACLES = {
     "q48_windows": "SELECT epoch_ms(time_bucket(INTERVAL 15 MINUTE, ts)) AS window_ms, event_type, count(*) AS n FROM events GROUP BY ALL",
     "q49_cube": chain(*TO_EDITION) + "SELECT coalesce(section, '*') AS section, coalesce(importance, '*') AS importance, coalesce(source_type, '*') AS source_type, count(*) AS n FROM ed GROUP BY CUBE (section, importance, source_type)",
 }
+
+
+def _counts(sql: str) -> str:
+    """Conditional counts as BIGINT; DuckDB's are wider."""
+    out, at = "", 0
+    while (start := sql.find("count_if(", at)) >= 0:
+        depth, end = 0, start + len("count_if")
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+            if not depth:
+                break
+        out, at = out + sql[at:end] + "::BIGINT", end
+    return out + sql[at:]
+
+
+ORACLES = {name: _counts(sql) for name, sql in ORACLES.items()}
