@@ -150,10 +150,10 @@ def _oracle() -> str:
 WITH d AS (SELECT doc_id, {words} AS ws FROM documents), pos AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
 b AS ({base_}), bb AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS a, max(i) - 1 AS z, list_sort(list(DISTINCT label)) AS labels FROM b GROUP BY doc_id),
 x(w, t, p, v, m, n, label) AS (VALUES {index}),
-al AS (SELECT doc_id, t, any_value(label) AS label, sum(v) AS score FROM (SELECT DISTINCT doc_id, t, i - p AS s, p, v, m, n, label FROM pos JOIN x ON x.w = ws[i]) GROUP BY doc_id, t, s HAVING sum(m) = any_value(n) AND round(sum(v), 9) >= {ENOUGH}),
+al AS (SELECT doc_id, t, any_value(label) AS label, sum(v::DOUBLE) AS score FROM (SELECT DISTINCT doc_id, t, i - p AS s, p, v, m, n, label FROM pos JOIN x ON x.w = ws[i]) GROUP BY doc_id, t, s HAVING sum(m) = any_value(n) AND round(sum(v::DOUBLE), 9) >= {ENOUGH}),
 ll AS (SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS score FROM al GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, a AS first_word, z AS last_word, coalesce(array_to_string(bb.labels, ','), '') AS base_labels,
-  array_to_string(list_sort(list_distinct(list_concat(coalesce(bb.labels, []), coalesce(ll.labels, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0 WHEN score IS NULL THEN 0.0 ELSE least(1.0, round(score, 9)) END AS score
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(bb.labels, []), coalesce(ll.labels, [])))), ',') AS labels, CAST(CASE WHEN n_base > 0 THEN 1 WHEN score IS NULL THEN 0 ELSE least(1.0, round(score, 9)) END AS DOUBLE) AS score
 FROM d LEFT JOIN bb USING (doc_id) LEFT JOIN ll USING (doc_id)
 """
 
