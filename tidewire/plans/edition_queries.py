@@ -93,7 +93,6 @@ def _rules(x: str, rules: list[tuple[str, str]]) -> str:
 
 
 CLASSIFY = "coalesce(" + ", ".join(f"CASE {_rules(x, [(S.section_pattern(s), s) for s in C.KEYWORDS])} END" for x in ("title", "summary")) + f", '{C.REST}')"
-CVES = r"list_filter(list_distinct_ordered, lambda x: true)"
 _FOUND = r"regexp_extract_all(upper(title || ' ' || summary), 'CVE-\d{4}-\d+')"
 CVES = rf"list_filter({_FOUND}, lambda x, i: length(split_part(x, '-', 3)) BETWEEN 4 AND 7 AND list_position({_FOUND}, x) = i)"
 _TEXT = "title || chr(10) || summary"
@@ -198,9 +197,6 @@ def q17u(spark, sf):
     return windowed(spark, sf).select("idx", U.title_key("title").alias("title_key"))
 
 
-_DATES = """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 4 = 1 THEN '{iso}' END AS x, ts FROM {events}"""
-
-
 def q18(spark, sf):
     """Date fallback: an ISO date where there is one, else the feed's date with a named zone or an offset."""
     rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"))

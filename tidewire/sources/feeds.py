@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire import config as C
-from tidewire.functions import scalars as S
 
 
 def gated(bodies: DataFrame, sources: DataFrame) -> DataFrame:
