@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -295,13 +295,12 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[int, in
         lcp[a] = p
         return b, a
 
-    winner = list(range(k)) if k == 1 else [0] * k
     tree = [0] * (2 * k)
     for r in range(k):
         tree[k + r] = r
     for node in range(k - 1, 0, -1):
         tree[node], loser[node] = play(tree[2 * node], tree[2 * node + 1])
-    top = tree[1] if k > 1 else winner[0]
+    top = tree[1]
     order, lcps = [], []
     for _ in range(sum(size)):
         order.append((top, at[top]))
@@ -548,7 +547,7 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 texts.append(rest if rest.strip() else None)
             gone = pa.array([t is None and f.is_valid for t, f in zip(texts, rb.column(len(own)), strict=True)], pa.bool_())
             cols = [pa.array(texts, pa.string()) if c == where else rb.column(c) for c in range(len(own))]
-            yield pa.RecordBatch.from_arrays(cols, names=own).filter(pa.compute.invert(gone))
+            yield pa.RecordBatch.from_arrays(cols, names=own).filter(pc.invert(gone))
 
     return joined.mapInArrow(run, docs.schema)
 
