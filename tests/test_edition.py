@@ -123,3 +123,16 @@ def test_gates_and_items(spark):
     assert {r["source_id"]: r["outcome"] for r in gated.collect()} == {"krebs": "ok", "cisa": "content type", "talos": "ok", "unit42": "status", "cccs": "content type", "schneier": "size", "volexity": "ok"}
     got = sorted((r["source_id"], r["pos"], r["title"], r["link"]) for r in I.items(gated).collect())
     assert got == [("krebs", 0, "A &amp; B", "https://e.com/1"), ("krebs", 1, "B", None), ("talos", 0, "C", "https://e.com/c")]
+
+
+def test_ranks_of_a_large_group(spark):
+    from tidewire.operators.ranking import ranked_within
+
+    r = random.Random(4)
+    rows = [(k, "hot" if k % 3 else f"g{k % 5}", r.randrange(20)) for k in range(600)]
+    out = ranked_within(spark.createDataFrame(rows, "k int, g string, x int"), "g", [F.desc("x"), F.col("k")]).collect()
+    for g in {g for _, g, _ in rows}:
+        want = [k for k, _, _ in sorted((x for x in rows if x[1] == g), key=lambda x: (-x[2], x[0]))]
+        assert [x["k"] for x in sorted((x for x in out if x["g"] == g), key=lambda x: x["rank"])] == want
+        assert sorted(x["rank"] for x in out if x["g"] == g) == list(range(1, len(want) + 1))
+    assert ranked_within(spark.createDataFrame([], "k int, g string, x int"), "g", [F.col("k")]).count() == 0

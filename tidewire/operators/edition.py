@@ -12,6 +12,7 @@ from tidewire import config as C
 from tidewire.functions import scalars as S
 from tidewire.functions import udfs as U
 from tidewire.operators.graph import components
+from tidewire.operators.ranking import ranked_within
 from tidewire.plans.store import save
 
 #: Room for items of one source in `idx`.
@@ -63,9 +64,13 @@ def title_included(articles: DataFrame) -> DataFrame:
 
 def newest(articles: DataFrame) -> DataFrame:
     """The newest max_items of each source that has such a cap; those are in the order of time from then on."""
-    order = Window.partitionBy("source_id").orderBy(F.desc("published_ms"), "idx")
-    first = F.min("idx").over(Window.partitionBy("source_id"))
-    capped = articles.where("max_items > 0").withColumns({"r": F.row_number().over(order), "lo": first}).where("r <= max_items").withColumn("idx", F.col("lo") + F.col("r") - 1)
+    some = articles.where("max_items > 0").withColumn("salt", F.pmod(F.xxhash64("idx"), F.lit(64)))
+    newest_first = [F.desc("published_ms"), F.col("idx")]
+    # the newest of each part of a source first, so that a source of any size meets one task with a few rows only
+    for by in (["source_id", "salt"], ["source_id"]):
+        some = some.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*newest_first))).where("r <= max_items")
+    lows = articles.where("max_items > 0").groupBy("source_id").agg(F.min("idx").alias("lo"))
+    capped = some.join(lows, "source_id").withColumn("idx", F.col("lo") + F.col("r") - 1)
     return articles.where("max_items is null or max_items <= 0").unionByName(capped.select(*articles.columns))
 
 
@@ -115,12 +120,13 @@ def derive(articles: DataFrame) -> DataFrame:
 def ranked(articles: DataFrame, now_ms: int) -> DataFrame:
     """Score of each article and its rank in its section."""
     rows = articles.withColumn("score", S.score(tier_weight(), "published_ms", now_ms)).withColumn("section_pos", section_pos())
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("section").orderBy(F.desc("score"), "idx")).cast("long"))
+    return ranked_within(rows, "section_pos", [F.desc("score"), F.col("idx")])
 
 
 def compose(windowed: DataFrame, now_ms: int, exact: bool = False) -> DataFrame:
     """The edition of windowed articles: ranked in sections, with `edition_pos` in the order in which it is shown."""
     rows = ranked(derive(dedupe(windowed, exact)), now_ms)
+    # one row for each section
     before = rows.groupBy("section_pos").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("section_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return rows.join(F.broadcast(before.select("section_pos", "before")), "section_pos").withColumn("edition_pos", F.col("before") + F.col("rank")).drop("before")
 

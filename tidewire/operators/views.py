@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire import config as C
 from tidewire.functions import scalars as S
+from tidewire.operators.ranking import ranked_within
 
 #: Feeds: slug, title, least importance, section.
 FEEDS = [("all", "All stories", None, None), ("high", "High and critical", 1, None), ("critical", "Critical only", 2, None)]
@@ -24,7 +25,7 @@ def feed_items(edition: DataFrame, variants: DataFrame) -> DataFrame:
     """Articles of each feed, newest first, ties in the order of the edition (feed_rank). The feeds are ten rows."""
     level = S.importance_rank("importance")
     rows = edition.join(F.broadcast(variants), F.coalesce(F.col("feed_section") == F.col("section"), level >= F.coalesce("min_rank", F.lit(0))))
-    return rows.withColumn("feed_rank", F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("published_ms"), "edition_pos")).cast("long"))
+    return ranked_within(rows, "slug", [F.desc("published_ms"), F.col("edition_pos")], "feed_rank")
 
 
 def section_plan(edition: DataFrame) -> DataFrame:
