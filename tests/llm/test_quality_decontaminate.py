@@ -99,6 +99,17 @@ def test_scan_is_brute_force(spark, make, prose, hard):
             assert sorted(set(map(str, have))) == sorted(set(map(str, full)))
 
 
+def test_blocks_keep_every_row(spark, make, prose, hard):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = cases(prose, hard)
+    rows += [rows[-5]] * 3 + [(40, rows[-5][1])]  # a hit row repeated, and a copy of its text
+    for block in (B.BLOCK_BYTES, 20):
+        got = B.scan(make(rows), items, block_bytes=block).collect()
+        have = sorted(str((r["doc_id"], r["n_words"], sum(s["w1"] - s["w0"] for s in r["spans"]), r["items"])) for r in got)
+        assert have == sorted(str((r[0], *w)) for r, w in zip(rows, brute(rows, ITEMS), strict=True))
+        assert B.cleaned(make(rows), items, drop_share=1.0, block_bytes=block).count() == len(rows)
+
+
 def test_cleaned(spark, prose):
     docs = spark.createDataFrame([(1, f"Before it. alpha beta gamma delta epsilon zeta eta theta iota kappa! {prose(1)}", 1, "s"), (2, "rare word", 2, None), (3, prose(2), 3, None), (4, None, 4, None), (5, "", 5, None)], "doc_id long, text string, n_words int, spans string")
     out = {r["doc_id"]: r for r in B.cleaned(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()}

@@ -103,25 +103,33 @@ def _scan(docs: DataFrame, grams: dict, text: str, added: tuple[str, str, str] =
     return own.mapInArrow(run, schema)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", k: int = WINDOW, block_bytes: int = BLOCK_BYTES, key: list[str] | None = None, added: tuple[str, str, str] = ADDED) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", k: int = WINDOW, block_bytes: int = BLOCK_BYTES, added: tuple[str, str, str] = ADDED) -> DataFrame:
     """Every row of `docs` with `n_words`, `spans` of hit words and the `items` (strings) that occur in it.
 
-    A benchmark of over `block_bytes` is scanned in blocks, each of a bounded broadcast; the spans of the blocks are then
-    joined into one per document by `key` (its other columns by default). Null or empty texts have no words, spans or items; null items
+    A benchmark of over `block_bytes` is scanned in blocks, each of a bounded broadcast; what the later blocks hit is found once for
+    each distinct text and joined to the rows of the first by a hash of the text, so that every row stays. Null or empty texts have no words, spans or items; null items
     and items without words have no windows. Repeated rows are scanned one by one; an empty benchmark hits nothing.
     """
-    out = None
-    parts = _blocks(benchmark, item, item_text, block_bytes)
-    for part in parts:
+    n_words, spans, items = added
+    out, more = None, None
+    for b, part in enumerate(_blocks(benchmark, item, item_text, block_bytes)):
         rows = part.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null").collect()
         grams = windows([r.t for r in rows], [r.i for r in rows], k)
-        found = _scan(docs, grams, text, added)
-        if len(parts) == 1:
-            return found
-        out = found if out is None else out.unionByName(found)
-    own = key or [c for c in docs.columns if c not in added]
-    n_words, spans, items = added
-    return out.groupBy(*own).agg(F.max(n_words).alias(n_words), F.flatten(F.collect_list(spans)).alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items)).withColumn(spans, _union_spans(spans))
+        if out is None:
+            out = _scan(docs, grams, text, added)
+        elif grams:
+            found = _scan(docs.select(F.col(text).alias("t")), grams, "t").where("size(spans) > 0")
+            found = found.select(F.sha2("t", 256).alias("h"), F.lit(b).alias("b"), "spans", "items")
+            more = found if more is None else more.unionByName(found)
+    if more is None:
+        return out
+    # a text has the same hits in a block wherever it stands, so its copies meet as one row before they are joined
+    more = more.dropDuplicates(["h", "b"]).groupBy("h").agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))
+    h, s, i = fresh(out, "h", "s", "i")
+    own = out.columns
+    out = out.withColumn(h, F.sha2(text, 256)).join(more.select(F.col("h").alias(h), F.col("s").alias(s), F.col("i").alias(i)), h, "left")
+    out = out.withColumn(spans, F.when(F.col(s).isNull(), F.col(spans)).otherwise(F.concat(spans, s))).withColumn(items, F.when(F.col(i).isNull(), F.col(items)).otherwise(F.array_sort(F.array_distinct(F.concat(items, i)))))
+    return out.withColumn(spans, F.when(F.col(s).isNull(), F.col(spans)).otherwise(_union_spans(spans))).select(*own)
 
 
 def _union_spans(name: str):
