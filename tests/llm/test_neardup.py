@@ -60,6 +60,15 @@ def test_kept_is_one_of_each_group(spark, make, prose):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute(rows)})
 
 
+def test_kept_once_of_repeated_rows_and_null_ids(spark, make, prose):
+    rows = [(1, prose(1))] * 3 + [(1, edited(prose(1), 0.01, 1)), (2, prose(1)), (1, prose(9))]
+    rows += [(None, prose(2))] * 2 + [(None, edited(prose(2), 0.01, 2)), (None, prose(3)), (4, prose(3)), (5, ""), (5, ""), (6, ""), (None, None), (None, None)]
+    rows = [(*r, f"l{k}", None, k) for k, r in enumerate(rows)]
+    out = D.deduplicated(make(rows)).collect()
+    assert sorted(((r["doc_id"], len(shingles(r["text"])) > 0) for r in out), key=str) == sorted([(1, True), (1, True), (None, True), (4, True), (5, False), (6, False), (None, False)], key=str)
+    assert all(tuple(r) in rows for r in out)
+
+
 def test_blocks_of_a_large_cluster(spark, make, prose, monkeypatch):
     monkeypatch.setattr(D, "BLOCK", 8)
     rows = [(i, edited(prose(1), 0.02, i)) for i in range(60)] + [(100 + i, edited(prose(2, 120), 0.045, i)) for i in range(60)]

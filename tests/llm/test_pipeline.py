@@ -26,6 +26,17 @@ def test_stages_take_effect(spark, prose, hard, tmp_path):
     assert all(r["rate"] > 0 for r in out.values()) and out[1]["n_tokens"] == 120
 
 
+def test_repeated_rows_stay_once(spark, prose, tmp_path):
+    rows = [(i, prose(7000 + i, 120)) for i in range(40)]
+    rows += [(500, prose(7500, 120))] * 3 + [(None, prose(7600, 120))] * 2 + [(None, prose(7601, 120)), (None, prose(7601, 120).upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = sorted(r["text"].lower() for r in P.run(spark, str(tmp_path)).collect())
+    assert out == sorted({t.lower() for _, t in rows})
+
+
 def test_empty_documents(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     none.write.parquet(str(tmp_path / "documents.parquet"))

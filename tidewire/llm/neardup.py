@@ -222,11 +222,11 @@ def verify(members: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, row, n_shingles, component_id, kept) of every row: near-duplicate groups by links of Jaccard 0.75 or more.
+    """(id, row, n_shingles, component_id, root, kept) of every row: near-duplicate groups by links of Jaccard 0.75 or more.
 
     component_id is the least id reachable. Null, empty or wordless texts have no shingles and are groups of
     their own. Rows with equal shingle sets are one class, whatever their number; a repeated row is in its class as often
-    as it comes. A null id counts as no id: it is never a component's name while another member has one.
+    as it comes. A null id counts as no id: it is never a component's name while another member has one. root tells components apart, those of null ids too (null without shingles).
     """
     spark = docs.sparkSession
     sig = save(signatures(docs, key, text), "signatures")
@@ -254,17 +254,23 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             pairs = pairs.select("skey", "text", F.xxhash64("root", F.least("b", "o"), F.greatest("b", "o"), F.lit("pair")).alias("grp"))
             parts = components(links.unionByName(save(verify(pairs), "confirmed")))
     least = classes.select("skey", "least").join(parts.select(F.col("v").alias("skey"), "root"), "skey", "left").select("skey", "least", F.coalesce("root", "skey").alias("root"))
-    least = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("skey", "component_id")
+    least = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("skey", "root", "component_id")
     out = sig.select("id", "row", "n", F.when(F.col("n") > 0, F.col("skey")).alias("skey")).join(least, "skey", "left")
-    out = out.select("id", "row", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = out.select("id", "row", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "root")
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each near-duplicate group (that of the least id), with the columns of `docs`."""
-    keep = groups(docs, key, text).where("kept").select(F.col("row").alias("_row")).distinct()
-    (row,) = fresh(docs, "_row")
-    return docs.withColumn(row, F.xxhash64(F.col(key), F.col(text))).join(keep.withColumnRenamed("_row", row), row, "left_semi").drop(row)
+    """One row of each near-duplicate group (of the least id, or of none if all are null), with the columns of `docs`.
+
+    Of several texts of that id the one of the least hash stays; of equal (id, text) rows the one of the least hash of all columns, texts without shingles too.
+    """
+    group = ((F.col("n_shingles") > 0).alias("g"), F.coalesce("root", "row").alias("r"))
+    keep = groups(docs, key, text).where("kept").groupBy(*group).agg(F.min("row").alias("_row"))
+    row, one = fresh(docs, "_row", "_one")
+    # copies of a row are one before they are joined, so that a row of any number meets no single task
+    each = docs.groupBy(F.xxhash64(F.col(key), F.col(text)).alias(row)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(one))
+    return each.join(keep.select(F.col("_row").alias(row)), row, "left_semi").select(f"{one}.*")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
