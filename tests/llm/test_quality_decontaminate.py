@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import Counter
 
+import pytest
+
 from tidewire.llm import decontaminate as B
 from tidewire.llm import quality as Q
 
@@ -93,10 +95,23 @@ def test_scan_is_brute_force(spark, make, prose, hard):
         key = lambda x: str(x)
         have = sorted(((r["doc_id"], r["n_words"], sum(s["w1"] - s["w0"] for s in r["spans"]), sorted(r["items"])) for r in got), key=key)
         full = sorted(((r[0], *w) for r, w in zip(rows, want, strict=True)), key=key)
-        if block == B.BLOCK_BYTES:
-            assert have == full
-        else:  # blocks join their findings by row, so repeated rows become one
-            assert sorted(set(map(str, have))) == sorted(set(map(str, full)))
+        assert have == full
+
+
+def test_windows_are_bounded():
+    """A window takes 20 bytes and the texts are held once."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(200)) for i in range(500)]
+    (got,) = B.windows(texts, [str(i) for i in range(500)]).values()
+    assert len(got.keys) == 500 * 191 and got.nbytes <= 20 * len(got.keys) + sum(map(len, texts)) + 500
+    at = 12_345
+    said = got.said[got.first[at] : got.end[at]].tobytes().decode()
+    assert said in texts[got.item[at]] and len(said.split()) == 10
+
+
+def test_a_block_that_is_too_large_is_an_error(spark, make, prose, monkeypatch):
+    monkeypatch.setattr(B, "BROADCAST_BYTES", 100)
+    with pytest.raises(ValueError):
+        B.scan(make([(1, "a")]), spark.createDataFrame([(1, prose(1))], "item_id long, text string"))
 
 
 def test_blocks_keep_every_row(spark, make, prose, hard):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,11 @@ from tidewire.plans.store import fresh
 
 #: Words of a window.
 WINDOW = 10
-#: Bytes of benchmark text whose windows are broadcast at once; a larger benchmark is scanned in blocks of this size.
+#: Bytes of benchmark text whose windows are broadcast at once; a larger benchmark is scanned in blocks of this size. A window
+#: takes 20 bytes and a word seldom less than 4 of text, so that what is broadcast stays below about 6 times this.
 BLOCK_BYTES = 16 << 20
+#: Bytes that a block's windows may take in memory; an item that alone takes more is an error, not a larger broadcast.
+BROADCAST_BYTES = 512 << 20
 
 
 #: Columns that a scan adds.
@@ -29,25 +33,57 @@ def _norm(buf: np.ndarray, off: np.ndarray):
     return low, starts, ends, at, X.spans_hash(low, starts, ends)
 
 
-def windows(texts: list[str | None], ids: list, k: int = WINDOW) -> dict[int, tuple[np.ndarray, np.ndarray, list[tuple]]]:
-    """By length in words: sorted hashes, the index of each in the list, and (words as bytes, ids) of each window.
+def _one(texts) -> pa.RecordBatch:
+    chunks = [c.cast(pa.large_string()) for c in (texts.chunks if isinstance(texts, pa.ChunkedArray) else [pa.array(texts, pa.string())])]
+    return pa.record_batch({"t": pa.concat_arrays(chunks) if chunks else pa.array([], pa.large_string())})
 
-    A text of fewer than k words, but not none, is one window.
+
+@dataclass(frozen=True)
+class Windows:
+    """The windows of one length, in the order of their hashes: 8 bytes of hash, 8 of place and 4 of item each, and the texts once.
+
+    `said` holds the words of all items, single-spaced: window w is said[first[w]:end[w]], and `item[w]` is its place in `names`.
     """
-    by: dict[int, dict[int, dict[bytes, set]]] = {}
-    for text, item in zip(texts, ids, strict=True):
-        for i, j, buf, off in X.pieces(pa.record_batch({"t": pa.array([text], pa.string())}), "t"):
-            low, starts, ends, _, h = _norm(buf, off)
-            n = min(k, len(h))
-            if n:
-                for p, g in enumerate(X.grams(h, n).tolist()):
-                    said = b" ".join(low[a:b].tobytes() for a, b in zip(starts[p : p + n], ends[p : p + n], strict=True))
-                    by.setdefault(n, {}).setdefault(g, {}).setdefault(said, set()).add(item)
+
+    keys: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
+    item: np.ndarray
+    said: np.ndarray
+    names: list[str]
+
+    @property
+    def nbytes(self) -> int:
+        return sum(c.nbytes for c in (self.keys, self.first, self.end, self.item, self.said))
+
+
+def windows(texts: list[str | None] | pa.ChunkedArray, ids: list[str], k: int = WINDOW) -> dict[int, Windows]:
+    """By length in words the windows of the items; a text of fewer than k words, but not none, is one window."""
+    found: dict[int, list[tuple]] = {}
+    said, base = [], 0
+    for i, j, buf, off in X.pieces(_one(texts), "t", 1 << 22):
+        low, starts, ends, at, h = _norm(buf, off)
+        size = ends - starts
+        place = np.concatenate([[0], np.cumsum(size + 1)])
+        flat = np.full(place[-1], 32, np.uint8)
+        inner = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        flat[np.repeat(place[:-1] - starts, size) + inner] = low[inner]
+        said.append(flat)
+        of = np.repeat(np.arange(j - i), np.diff(at))
+        length = np.minimum(np.diff(at), k)
+        for n in np.unique(length[length > 0]).tolist():
+            g = X.grams(h, n)
+            p = np.arange(len(g))
+            p = p[(length[of[p]] == n) & (p + n <= at[of[p] + 1])]
+            found.setdefault(n, []).append((g[p], base + place[p], base + place[p + n] - 1, (i + of[p]).astype(np.int32)))
+        base += len(flat)
+    text = np.concatenate(said) if said else np.zeros(0, np.uint8)
+    small = np.int32 if base < 1 << 31 else np.int64
     out = {}
-    for n, found in by.items():
-        flat = [(g, said, tuple(who)) for g, same in found.items() for said, who in same.items()]
-        flat.sort(key=lambda x: x[0])
-        out[n] = (np.array([x[0] for x in flat], np.uint64), [x[1:] for x in flat])
+    for n, parts in found.items():
+        keys, first, end, item = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        out[n] = Windows(keys[order], first[order].astype(small), end[order].astype(small), item[order], text, ids)
     return out
 
 
@@ -73,10 +109,11 @@ def _scan(docs: DataFrame, grams: dict, text: str, added: tuple[str, str, str] =
                 low, starts, ends, at, h = _norm(buf, off)
                 change = np.zeros(len(h) + 1, np.int64)
                 items: dict[int, set] = {}
-                for n, (keys, what) in held.value.items():
+                for n, win in held.value.items():
                     g = X.grams(h, n)
                     if not len(g):
                         continue
+                    keys = win.keys
                     where = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
                     for p in np.flatnonzero(keys[where] == g).tolist():
                         doc = int(np.searchsorted(at, p, "right")) - 1
@@ -85,10 +122,10 @@ def _scan(docs: DataFrame, grams: dict, text: str, added: tuple[str, str, str] =
                         said = b" ".join(low[a:b].tobytes() for a, b in zip(starts[p : p + n], ends[p : p + n], strict=True))
                         w = int(where[p])
                         while w < len(keys) and keys[w] == g[p]:  # verified on the words themselves
-                            if what[w][0] == said:
+                            if win.said[win.first[w] : win.end[w]].tobytes() == said:
                                 change[p] += 1
                                 change[p + n] -= 1
-                                items.setdefault(doc, set()).update(what[w][1])
+                                items.setdefault(doc, set()).add(win.names[win.item[w]])
                             w += 1
                 hit = np.cumsum(change[:-1]) > 0
                 spans: list[list] = [[] for _ in range(j - i)]
@@ -97,7 +134,7 @@ def _scan(docs: DataFrame, grams: dict, text: str, added: tuple[str, str, str] =
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], hit[a:b].view(np.int8), [0]))))
                     for s, e in edge.reshape(-1, 2).tolist():
                         spans[doc].append({"w0": s, "w1": e, "b0": int(starts[a + s] - off[doc]), "b1": int(ends[a + e - 1] - off[doc])})
-                who = [sorted(str(x) for x in items.get(d, ())) for d in range(j - i)]
+                who = [sorted(items.get(d, ())) for d in range(j - i)]
                 yield pa.RecordBatch.from_arrays([*rb.slice(i, j - i).columns, pa.array(np.diff(at).astype(np.int64)), pa.array(spans, span), pa.array(who, pa.list_(pa.string()))], names=names)
 
     return own.mapInArrow(run, schema)
@@ -106,15 +143,18 @@ def _scan(docs: DataFrame, grams: dict, text: str, added: tuple[str, str, str] =
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", k: int = WINDOW, block_bytes: int = BLOCK_BYTES, added: tuple[str, str, str] = ADDED) -> DataFrame:
     """Every row of `docs` with `n_words`, `spans` of hit words and the `items` (strings) that occur in it.
 
-    A benchmark of over `block_bytes` is scanned in blocks, each of a bounded broadcast; what the later blocks hit is found once for
+    A benchmark of over `block_bytes` is scanned in blocks, each of a bounded broadcast and a pass over the texts; what the later blocks hit is found once for
     each distinct text and joined to the rows of the first by a hash of the text, so that every row stays. Null or empty texts have no words, spans or items; null items
     and items without words have no windows. Repeated rows are scanned one by one; an empty benchmark hits nothing.
     """
     n_words, spans, items = added
     out, more = None, None
     for b, part in enumerate(_blocks(benchmark, item, item_text, block_bytes)):
-        rows = part.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null").collect()
-        grams = windows([r.t for r in rows], [r.i for r in rows], k)
+        rows = part.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null").toArrow()
+        grams = windows(rows.column(1), rows.column(0).to_pylist(), k)
+        held = sum(w.nbytes for w in grams.values())
+        if held > BROADCAST_BYTES:
+            raise ValueError(f"a block's windows take {held} bytes: set block_bytes below {block_bytes}")
         if out is None:
             out = _scan(docs, grams, text, added)
         elif grams:
