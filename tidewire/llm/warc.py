@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.plans.store import new_path, save
@@ -128,19 +128,29 @@ def _chunks(stream, size: int = 1 << 20) -> Iterator[bytes]:
         yield piece
 
 
+def archive_name(uri: Column) -> Column:
+    """The name of the archive that a file becomes: that of the file, and a hash of its whole URI, for folders may hold files of one name."""
+    stem = F.regexp_replace(F.regexp_extract(uri, "([^/]*)$", 1), "(\\.warc)?\\.gz$", "")
+    return F.concat(stem, F.lit("-"), F.substring(F.sha1(uri), 1, 16))
+
+
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Rewrite each archive below `source` into `target`: (archive, index, n_records, n_bytes) of each, written once and kept.
 
     A file is a task: inflated as a stream, and written under a name of its own that is moved to the last one when it is
-    whole, so a lost or repeated task leaves no half archive. The index beside it has a JSON line for each record.
+    whole, so a lost or repeated task leaves no half archive. Folders are read with all below them; the target's names are those of
+    `archive_name`, and two files of one name are an error. The index beside it has a JSON line for each record.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
-    n = max(1, min(files.count(), 100_000))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(source).select("path")
+    files = save(found.select("path", archive_name(F.col("path")).alias("name")), "files")
+    n = files.count()
+    if files.select("name").distinct().count() < n:
+        raise ValueError("two archives would have one name")
+    n = max(1, min(n, 100_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            for uri in rb.column(0).to_pylist():
-                name = uri.rsplit("/", 1)[1].split(".")[0]
+            for uri, name in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
                 from_fs, path = _open(uri)
                 to_fs, base = _open(target)
                 to_fs.create_dir(base, recursive=True)
