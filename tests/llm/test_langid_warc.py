@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import json
+import math
 import random
 import zlib
 from pathlib import Path
@@ -42,25 +43,41 @@ def test_phrases_are_greedy_longest_matches(seed):
     r = random.Random(seed)
     known = {"x": np.array([r.randrange(4) for _ in range(300)], np.uint8), "y": np.array([r.randrange(3) for _ in range(50)], np.uint8)}
     model = G.Model(known)
-    texts = [np.array([r.randrange(6) for _ in range(r.choice([0, 1, 5, 200, 511, 512, 513, 1300]))], np.uint8) for _ in range(12)]
+    texts = [np.array([r.randrange(6) for _ in range(r.choice([0, 1, 5, 200, 511, 512, 513, 1300, 5000]))], np.uint8) for _ in range(12)]
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     got = model.phrases(np.concatenate(texts), off)
 
     def brute(t, have):
-        n = 0
-        for s in range(0, len(t), G.LANE):
-            lane, i = bytes(t[s : s + G.LANE]), 0
-            while i < len(lane):
-                j = i + 1
-                while j < len(lane) and lane[i : j + 1] in have:
-                    j += 1
-                n, i = n + 1, j
+        n, i, t = 0, 0, bytes(t)
+        while i < len(t):
+            j = i + 1
+            while j < len(t) and t[i : j + 1] in have:
+                j += 1
+            n, i = n + 1, j
         return n
 
     for row, t in zip(got, texts, strict=True):
         assert row.tolist() == [brute(t, bytes(known[k])) for k in model.langs]
 
 
+def test_a_parse_that_never_forgets(monkeypatch):
+    """A text of one long match: every lane has to be read again from the one before, one after the other."""
+    monkeypatch.setattr(G, "LANE", 16)
+    r = random.Random(1)
+    known = np.array([r.randrange(3) for _ in range(2000)], np.uint8)
+    model = G.Model({"x": known})
+    assert model.phrases(known, np.array([0, 2000])).tolist() == [[1]]
+    assert model.phrases(np.concatenate([known[5:900], known]), np.array([0, 895, 2895])).tolist() == [[1], [1]]
+
+
+def test_every_language_has_a_model_and_all_share_the_symbols(spark, monkeypatch):
+    monkeypatch.setattr(G, "MODEL_SYMBOLS", 3000)
+    r = random.Random(4)
+    rows = [(i, tongue(r.sample("abcdefghijklmnopqrstuvwxyz", 9), i), f"l{i % 300:03}") for i in range(600)]
+    model = G.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").where(~G.held_out("doc_id")))
+    assert len(model.langs) > 270 and model.bits.max() <= math.log2(3000 // len(model.langs)) + 1e-9
+
+
 def test_langid_hard(spark, make, hard):
     table = spark.createDataFrame(docs(), "doc_id long, text string, lang string")
     model = G.fit(table)
@@ -70,6 +87,7 @@ def test_langid_hard(spark, make, hard):
         letters = any(c.isalpha() for c in r["text"] or "")
         assert (r["lang_pred"] == "und") == (not letters) and (letters or r["score"] == 0)
     assert G.predicted(make([]), model).count() == 0
+    assert G.fit(table.unionByName(spark.createDataFrame([(40_000 + i, "x", None) for i in range(3)], table.schema))).langs == model.langs
     none = G.fit(table.where("lang is null"))
     assert {r["lang_pred"] for r in G.predicted(make(hard), none).collect()} == {"und"}
     assert G.predicted(spark.createDataFrame([(1, "abc", "z")], "doc_id long, text string, lang_pred string"), model).first()["lang_pred"] == "aa"

@@ -2,7 +2,11 @@
 
 A suffix automaton of labelled text of each language accepts exactly its substrings. Read from the root, it gives
 the longest match from each phrase's start on; where it has no way on, a phrase ends. The language that needs the fewest
-phrases, normalised by the bits of a place in its text, wins. Texts are read in lanes, all lanes in step.
+phrases, normalised by the bits of a place in its text, wins.
+
+A parse is sequential, but forgets where it started after a few phrases. So a text is read in lanes, all in step, each as if a phrase began with it;
+then every lane is read again from the state in which the lane before really ends, until its states are those already found, and
+so on until no lane's entry changes. What comes out is the parse of the whole text, exactly.
 """
 
 from __future__ import annotations
@@ -20,8 +24,12 @@ from tidewire.llm import _text as X
 
 #: Labelled documents of a language that are looked at, at most, and symbols of them that its automaton is built on, at most.
 FIT_DOCS, FIT_SYMBOLS = 80, 40_000
-#: Languages at most (those with the most labelled rows); symbols of a lane: phrases end at a lane's end.
-LANGUAGES, LANE = 200, 512
+#: Symbols of all automata together, at most: with more than 50 languages each gets its share of them.
+MODEL_SYMBOLS = 2_000_000
+#: Bytes that a model may take when it is broadcast; one that takes more is an error.
+MODEL_BYTES = 512 << 20
+#: Symbols of a lane, which all are read in step.
+LANE = 512
 
 #: Symbols: 0 what isn't a letter, 1 to 26 letters, 27 and up bytes of non-ASCII characters.
 SYMBOLS = 27 + 128
@@ -74,59 +82,98 @@ def automaton(text: np.ndarray) -> list[dict[int, int]]:
 
 
 class Model:
-    """Automata of all languages as one table: the row of a state, the column of a symbol; 0: no way on."""
+    """Automata of all languages as arrays. Most states have one way on: its symbol is in `only`, and where it leads in `then`.
+
+    The others have a row of `ways`, a column for each symbol; `row` is a state's row, 0 (no way on) for most.
+    """
 
     def __init__(self, samples: dict[str, np.ndarray]):
         self.langs = sorted(samples)
         seen = np.unique(np.concatenate([np.zeros(1, np.uint8), *samples.values()]))
         self.width = len(seen) + 1
-        self.column = np.full(SYMBOLS, self.width - 1, np.int32)  # the last column: a symbol that no language has
+        self.column = np.full(SYMBOLS, self.width - 1, np.int16)  # the last column: a symbol that no language has
         self.column[seen] = np.arange(len(seen))
-        tables, self.roots, base = [], [], 0
+        self.roots, only, then, row, ways, base, rows = [], [], [], [], [np.zeros((1, self.width), np.int32)], 0, 1
         for lang in self.langs:
             go = automaton(samples[lang])
-            table = np.zeros((len(go), self.width), np.int32)
-            rows = np.repeat(np.arange(len(go)), [len(g) for g in go])
-            table[rows, self.column[np.fromiter((c for g in go for c in g), np.int64, len(rows))]] = np.fromiter((t for g in go for t in g.values()), np.int64, len(rows)) + base
+            many = np.array([len(g) > 1 for g in go])
+            one = np.flatnonzero([len(g) == 1 for g in go])
+            only.append(np.full(len(go), -1, np.int16))
+            then.append(np.zeros(len(go), np.int32))
+            only[-1][one] = self.column[[next(iter(go[q])) for q in one]] if len(one) else 0
+            then[-1][one] = [next(iter(go[q].values())) + base for q in one]
+            row.append(np.where(many, rows + np.cumsum(many) - 1, 0).astype(np.int32))
+            table = np.zeros((int(many.sum()), self.width), np.int32)
+            for k, q in enumerate(np.flatnonzero(many).tolist()):
+                table[k, self.column[list(go[q])]] = np.fromiter(go[q].values(), np.int64, len(go[q])) + base
+            ways.append(table)
             self.roots.append(base)
             base += len(go)
-            tables.append(table)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(self.width, np.int32)
+            rows += len(table)
+        self.only, self.then, self.row = (np.concatenate(x) if x else np.zeros(1, np.int32) for x in (only, then, row))
+        self.ways = np.concatenate(ways).ravel()
         self.bits = np.array([math.log2(max(2, len(samples[lang]))) for lang in self.langs])
 
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.only, self.then, self.row, self.ways))
+
+    def _on(self, state: np.ndarray, col: np.ndarray) -> np.ndarray:
+        """The states after a symbol; 0: no way on."""
+        far = self.ways[self.row[state].astype(np.int64) * self.width + col]
+        return np.where(self.only[state] == col, self.then[state], far)
+
+    def _read(self, root: int, col: np.ndarray, start: np.ndarray, length: np.ndarray, entry: np.ndarray, states: np.ndarray, begins: np.ndarray, again: bool) -> None:
+        """Read lanes in step from their entry states: the state after each symbol, and whether a phrase begins at it, go where they belong.
+
+        Read `again`, a lane ends where its state is the one already there: from there on nothing changes.
+        """
+        state, j = entry.copy(), 0
+        while len(start):
+            at = start + j
+            c = col[at]
+            now = self._on(state, c)
+            stop = now == 0
+            fresh = stop | (state == root)  # no way on, or a symbol before that the language doesn't have
+            if stop.any():
+                first = self._on(np.full(int(stop.sum()), root), c[stop])
+                now[stop] = np.where(first == 0, root, first)
+            j += 1
+            live = length > j
+            if again:
+                live &= states[at] != now
+            states[at], begins[at] = now, fresh
+            if not live.all():
+                start, length, now = start[live], length[live], now[live]
+            state = now
+
     def phrases(self, sym: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) by each language (columns)."""
-        n, k = len(off) - 1, len(self.langs)
+        n = len(off) - 1
+        out = np.zeros((n, len(self.langs)), np.int64)
         col = self.column[sym]
-        size = np.diff(off)
-        lanes = -(-size // LANE)
+        lanes = -(-np.diff(off) // LANE)
         text = np.repeat(np.arange(n), lanes)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         start = off[:-1][text] + nth * LANE
         length = np.minimum(LANE, off[1:][text] - start)
-        order = np.argsort(-length, kind="stable")
-        start, length, text = start[order], length[order], text[order]
-        active = np.searchsorted(-length, -np.arange(1, LANE + 1), "right")  # lanes of at least 1, 2, ... symbols
-        roots = np.array(self.roots, np.int32)[:, None]
-        state = np.repeat(roots, len(start), axis=1)
-        count = np.ones((k, len(start)), np.int32)
-        w = np.int32(self.width)
-        for j in range(LANE):
-            m = int(active[j])
-            if not m:
-                break
-            c = col[start[:m] + j][None, :]
-            now = self.table[state[:, :m] * w + c]
-            stop = now == 0
-            if j:  # a phrase starts where the last one has no way on, or was a symbol that the language doesn't have
-                count[:, :m] += stop | (state[:, :m] == roots)
-            if stop.any():
-                now = np.where(stop, self.table[roots * w + c], now)
-                now = np.where(now == 0, roots, now)
-            state[:, :m] = now
-        out = np.zeros((n, k), np.int64)
-        for i in range(k):
-            out[:, i] = np.bincount(text, count[i], n)
+        states, begins = np.zeros(len(sym), np.int32), np.zeros(len(sym), bool)
+        later = np.flatnonzero(nth > 0)
+        for k, root in enumerate(self.roots):
+            entry = np.full(len(start), root, np.int32)
+            self._read(root, col, start, length, entry, states, begins, False)
+            todo = later
+            while len(todo):
+                real = states[start[todo] - 1]
+                new = real != entry[todo]
+                todo, real = todo[new], real[new]
+                entry[todo] = real
+                self._read(root, col, start[todo], length[todo], real, states, begins, True)
+                todo = todo + 1  # only the lanes after those that were read again can have another entry
+                todo = todo[todo < len(start)]
+                todo = todo[nth[todo] > 0]
+            total = np.concatenate([[0], np.cumsum(begins)])
+            out[:, k] = total[off[1:]] - total[off[:-1]]
         return out
 
 
@@ -136,13 +183,20 @@ def held_out(key: str) -> Column:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_each: int = FIT_DOCS, symbols_each: int = FIT_SYMBOLS) -> Model:
-    """Automata of labelled text that isn't held out: of each language the documents of the least hashes, until their symbols suffice."""
+    """Automata of labelled text that isn't held out: of each language the documents of the least hashes, until their symbols suffice.
+
+    Every language of a labelled row has one. Bounds: `docs_each` documents and `symbols_each` symbols of a language, of the first
+    `symbols_each` characters of each, and MODEL_SYMBOLS of all.
+    """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(lang).alias("g"))
-    most = [r["g"] for r in rows.groupBy("g").count().orderBy(F.desc("count"), "g").limit(LANGUAGES).collect()]
-    order = Window.partitionBy("g").orderBy(F.xxhash64("k"), "k")
-    chosen = rows.where(F.col("g").isin(most)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= docs_each).select("k", "r")
+    symbols_each = max(1, min(symbols_each, MODEL_SYMBOLS // max(1, rows.select("g").distinct().count())))
+    # the least hashes of each part of a language first, so that a language of any number of rows meets one task with a few rows only
+    chosen = rows.withColumn("h", F.xxhash64("k")).withColumn("salt", F.pmod("h", F.lit(64)))
+    for by in (["g", "salt"], ["g"]):
+        chosen = chosen.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "k"))).where(F.col("r") <= docs_each)
+    chosen = chosen.select("g", "k", "r")
     named = docs.where(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("g"), F.substring(F.col(text), 1, symbols_each).alias("t"))
-    got = named.join(F.broadcast(chosen), "k").select("g", "r", "t").collect()  # docs_each rows a language at most
+    got = named.join(F.broadcast(chosen), ["g", "k"]).select("g", "r", "t").collect()  # docs_each rows a language at most
     samples: dict[str, np.ndarray] = {}
     for r in sorted(got, key=lambda r: (r["g"], r["r"], r["t"])):
         raw = np.frombuffer(f" {r['t']} ".encode(), np.uint8)
@@ -169,6 +223,8 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null texts and texts without a letter are `und` with score 0, and so are all without a model. A tie goes to the first by
     name. With one language only, its score is 1. Columns named like an added one are replaced.
     """
+    if model.nbytes > MODEL_BYTES:
+        raise ValueError(f"the model takes {model.nbytes} bytes: fit it on fewer symbols")
     held = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.drop("lang_pred", "score")
     names = [*own.columns, "lang_pred", "score"]
