@@ -141,10 +141,35 @@ def test_urls_base_rules_and_mined_ones(spark):
 
 def test_mined_rules_are_brute_force(spark):
     rows = [(["a", "b"], True), (["a", "b"], True), (["a"], False), (["b", "c"], False), (["c", "d"], True), (["c", "d"], True), (["d"], True), (["c"], False)]
-    got = {(r["rule"], r["n"], round(r["confidence"], 6)) for r in W.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.2, 0.8).select("rule", "n", "confidence").distinct().collect()}
+    got = {(r["rule"], r["n"], round(r["confidence"], 6)) for r in W.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.2, 0.8, 1).select("rule", "n", "confidence").distinct().collect()}
     assert got == {("a b", 2, 1.0), ("d", 1, 1.0)}  # "c d" says no more than its part "d"
 
 
+def test_long_urls_have_bounded_combinations(spark):
+    """25 pages of one path of 25 segments would have 2^25 frequent combinations."""
+    path = "/".join(f"s{chr(97 + k)}" for k in range(25))
+    rows = [(k, f"http://bad{k}.example.info/{path}") for k in range(25)] + [(100 + k, f"http://good.example.info/{k}") for k in range(25)]
+    labels = spark.createDataFrame([(k, 0, 0) for k in range(25)] + [(100 + k, 1, 0) for k in range(25)], "doc_id long, quality int, toxic int")
+    out = W.judged(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()
+    assert {r["page_id"] for r in out if r["verdict"] == "block"} == set(range(25))
+    assert all(r["confidence"] == 1.0 for r in out if r["verdict"] == "block")
+
+
+def test_a_single_sighting_is_no_rule(spark):
+    rows = [(k, f"http://h{k}.example.info/x{chr(97 + k)}") for k in range(20)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    assert {r["verdict"] for r in W.judged(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()} == {"allow"}
+
+
+def test_held_out_precision(spark):
+    """Rules mined on one half of the labelled pages, judged on the other."""
+    p, labels, rows = pages(spark)
+    out = {r["page_id"]: r for r in W.judged(p, labels, fit_on=lambda k: k % 2 == 0).collect()}
+    held = [(i, u) for i, u in rows if i >= 100 and i % 2 and out[i]["rule"] is None]
+    said = [(out[i]["verdict"] == "block", "casino" in u) for i, u in held]
+    assert len(held) > 150 and sum(a and b for a, b in said) == sum(a for a, _ in said) == sum(b for _, b in said)
+
+
 def test_urls_of_nothing(spark):
     p, labels, _ = pages(spark)
     assert W.judged(p.limit(0), labels).count() == 0

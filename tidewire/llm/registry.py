@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import chat, decontaminate, licences, neardup, quality, suffixdup, warc
+from tidewire.llm import chat, decontaminate, licences, neardup, quality, suffixdup, urls, warc
 from tidewire.llm.chat import op2_chat_formatting
 from tidewire.llm.decontaminate import op5_decontamination
 from tidewire.llm.langid import op9_language_id
@@ -27,7 +27,7 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-#: SQL for DuckDB; op7, op8 and op9 are fitted models, which SQL doesn't express: they are tested against brute force.
+#: SQL for DuckDB; op7 and op9 are fitted models, which SQL doesn't express: they are tested against brute force.
 ORACLES: dict[str, str] = {
     "op1_suffix_array_dedup": suffixdup.ORACLE_SQL,
     "op2_chat_formatting": chat.ORACLE_SQL,
@@ -35,5 +35,6 @@ ORACLES: dict[str, str] = {
     "op4_license_scan": licences.ORACLE_SQL,
     "op5_decontamination": decontaminate.ORACLE_SQL,
     "op6_quality_rules": quality.ORACLE_SQL,
+    "op8_url_filter": urls.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
 }
