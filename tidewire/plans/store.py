@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an exchange that one task takes at most, about, and tasks at most.
+PART_BYTES, MOST_PARTS = 64 << 20, 200_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (`spark.checkpoint.dir`); a temporary one where it is unset (tests, local mode)."""
+    """The folder that driver and executors share (`spark.checkpoint.dir`); where it is unset, a temporary one in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewire-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -28,8 +35,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tasks(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def tasks(spark: SparkSession, size: float = 0) -> int:
+    """Tasks of an exchange whose groups meet in memory: those of the session, and more if `size` bytes would be over PART_BYTES each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(MOST_PARTS, math.ceil(size / PART_BYTES)))
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes of `df` as the optimizer estimates them (compressed ones of files); 0 where it knows nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
