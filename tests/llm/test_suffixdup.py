@@ -65,6 +65,28 @@ def test_repeated_rows_and_null_ids(spark, make, prose):
     assert [r["n_removed"] for r in out] == [len(r["kept_bytes"]) * 0 + r["n_bytes"] for r in out]
 
 
+def test_repeated_rows_stay_in_proportion(spark, make, prose):
+    """Every copy finds the same places: the ranges of a row don't grow with its copies, and the rows aren't multiplied."""
+    t, found = prose(4, 120), {}
+    for n in (50, 400):
+        rows, ranges = D.repeated(make([(1, t)] * n + [(2, prose(5))]))
+        found[n] = sum(len(r["ranges"]) for r in ranges.collect())
+        out = D.removed(make([(1, t)] * n + [(2, prose(5))])).collect()
+        assert len(out) == n + 1 and all(r["n_removed"] == (r["n_bytes"] if r["id"] == 1 else 0) for r in out)
+    assert found[400] <= found[50] <= len(t)
+
+
+def test_stretches_choose_the_same_anchors(monkeypatch):
+    r = np.random.default_rng(3)
+    buf = r.integers(97, 101, 30_000, dtype=np.uint8)
+    buf[9_000:12_000] = 97  # ties
+    want = D.anchors(buf, np.array([0, len(buf)]))
+    for stretch in (400, 1000, 4096, 29_999):
+        monkeypatch.setattr(D, "STRETCH", stretch)
+        got = D.anchors(buf, np.array([0, len(buf)]))
+        assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+
+
 def test_empty_table_and_clashing_columns(spark, make, prose):
     assert D.removed(make([])).count() == 0
     docs = spark.createDataFrame([(1, prose(1), "a", 2), (2, prose(1) + " tail of the second text", "b", 3), (3, "short", None, None)], "doc_id long, text string, th string, ranges int")

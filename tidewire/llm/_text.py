@@ -13,6 +13,8 @@ _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SHINGLE = U(0xC2B2AE3D27D4EB4F)
 #: A random value for each byte, so that sums of powers don't cancel for short words.
 _LETTER = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
+#: Powers that a worker keeps for the next batch; those of longer texts go with them.
+KEPT_POWERS = 1 << 22
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -38,7 +40,7 @@ def _powers(kind: str, base: np.uint64, n: int) -> np.ndarray:
     while len(have) < n:
         with np.errstate(over="ignore"):  # arithmetic modulo 2^64
             have = np.concatenate([have, have * (have[-1] * base)])
-    _POWERS[kind] = have
+    _POWERS[kind] = have[:KEPT_POWERS]
     return have
 
 

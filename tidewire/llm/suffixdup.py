@@ -8,9 +8,10 @@ is an anchor, so two equal strings of LEAST bytes have an anchor at the same pla
    A passage in a large part of all texts would still meet in one task later on; the few fingerprints that come that often are
    settled by hashes of the windows around them, counted with the same pre-aggregation.
 2. The other anchors get their suffix (LEAST bytes) and the bytes before it. Each batch sorts its suffixes and sends
-   the sorted run front-coded (length of the prefix in common with the suffix before, and the rest), cut by range.
-3. Each range merges its runs with a loser tree that keeps the known common prefix of every contender, so no byte is
-   compared twice. The merge gives the suffix array and its LCP array.
+   the sorted run front-coded (length of the prefix in common with the suffix before, and the rest), dealt by a hash of the first
+   K bytes: suffixes that differ there share no repeat, so no order over all buckets is needed, and none is skewed by frequent prefixes.
+3. Each bucket merges its runs with a loser tree that keeps the known common prefix of every contender, so no byte is
+   compared twice. The merge gives the bucket's suffix array and its LCP array.
 4. Per anchor the repeated windows around it follow from the intervals of the LCP array and, inside an interval, from
    neighbours in the order of the bytes before (longest common extension to the left).
 """
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import _text as X
-from tidewire.plans.store import fresh, save, tasks
+from tidewire.plans.store import fresh, plan_bytes, save, tasks
 
 #: Bytes of a repeated string; bytes of an anchor's fingerprint.
 LEAST, K = 200, 48
@@ -42,8 +43,12 @@ HOT = 200_000
 HOT_LIST = 500_000
 #: Another reading of the bytes, for a second hash.
 _TURNED = np.random.default_rng(200).permutation(256).astype(np.uint8)
-#: Documents' bytes of one sorted run; ranges of the exchange for each shuffle partition.
+#: Bytes of text whose strings are hashed at once; below 2^24.
+STRETCH = 8 << 20
+#: Documents' bytes of one sorted run; buckets of the exchange for each of its tasks.
 RUN_BYTES, RANGES = 8 << 20, 4
+#: Bytes of a front-coded suffix with the bytes before it, about.
+SUFFIX_BYTES = 120
 
 
 def _rolling(buf: np.ndarray) -> np.ndarray:
@@ -70,9 +75,12 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(buf)
     if n < LEAST:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if n > STRETCH:  # a very long text, by itself: stretches that overlap by what a window needs
+        at, fp = zip(*(anchors(part, np.array([0, len(part)])) for part in (buf[a : a + STRETCH] for a in range(0, n - LEAST + 1, STRETCH - LEAST + 1))), strict=True)
+        at, first = np.unique(np.concatenate([x + k * (STRETCH - LEAST + 1) for k, x in enumerate(at)]), return_index=True)
+        return at, np.concatenate(fp)[first]
     h = _rolling(buf)
-    bits = max(8, int(n).bit_length())
-    low = X.U((1 << bits) - 1)
+    low = X.U((1 << 24) - 1)  # places in a stretch; the same for texts of all lengths, so that all choose alike
     m = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     size = 1
     while size * 2 <= WIDTH:
@@ -133,7 +141,7 @@ def _fingerprints(rows: DataFrame) -> DataFrame:
     return rows.select("th", "text").mapInArrow(run, _ASKED)
 
 
-def _repeated(asked: DataFrame, hot: int) -> DataFrame:
+def _repeated(asked: DataFrame, hot: int, n: int) -> DataFrame:
     """(th, pos, fp) of the places whose fingerprint comes at least twice, and a row without a place for each fingerprint of over `hot` places.
 
     At most one row of a fingerprint comes from each batch; known places don't travel to where their fingerprint is settled.
@@ -168,7 +176,6 @@ def _repeated(asked: DataFrame, hot: int) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield settled(rest)
 
-    n = tasks(asked.sparkSession)
     where = F.when(F.col("m") < 0, F.col("th")).otherwise(F.col("pk"))
     return asked.repartition(n, where).sortWithinPartitions("pk", "pk2").mapInArrow(run, "th long, pos int, fp long")
 
@@ -366,7 +373,7 @@ def reach(lcp: np.ndarray, rlen: np.ndarray, left: np.ndarray, llen: np.ndarray)
 
 
 def _runs(joined: DataFrame, ranges: int) -> DataFrame:
-    """(part, kind, th, start, stop, block): front-coded sorted runs by range (kind 1), and spans that a batch settles by itself (kind 0)."""
+    """(part, kind, th, start, stop, block): front-coded sorted runs by bucket (kind 1), and spans that a batch settles by itself (kind 0)."""
 
     def send(right, rlen, left, llen, th, pos):
         enough = rlen + llen >= LEAST
@@ -424,7 +431,7 @@ def _runs(joined: DataFrame, ranges: int) -> DataFrame:
 
 
 def _merged(runs: DataFrame, n: int) -> DataFrame:
-    """(th, start, stop): repeated byte ranges, from the merged suffix array of each range of the exchange."""
+    """(th, start, stop): repeated byte ranges, from the merged suffix array of each bucket of the exchange."""
 
     def settle(blocks: list[bytes]):
         got = [decode(b) for b in blocks]
@@ -472,22 +479,25 @@ def _union(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(did, th, text) of every row, and (th, ranges) with the repeated byte ranges of the rows that have any."""
     spark = docs.sparkSession
-    n = tasks(spark)
     rows = _keyed(docs, key, text)
-    found = save(_repeated(_fingerprints(rows.where(F.octet_length("text") >= LEAST)), HOT), "anchors")
+    # an anchor of 32 bytes for about 77 bytes of text, which is a third of that in files
+    n = tasks(spark, 1.25 * plan_bytes(docs))
+    found = save(_repeated(_fingerprints(rows.where(F.octet_length("text") >= LEAST)), HOT, n), "anchors")
+    n = tasks(spark, SUFFIX_BYTES * found.count())
     hot = found.where("th is null").select("fp")
     many = hot.count()
     found = found.where("th is not null")
-    together = lambda part: rows.join(part.groupBy("th").agg(F.sort_array(F.collect_list("pos")).alias("places")), "th")
+    together = lambda part: rows.join(part.groupBy("th").agg(F.sort_array(F.collect_set("pos")).alias("places")), "th")
     if many:
         hot = save(hot, "hot")
         listed = F.broadcast(hot) if many <= HOT_LIST else hot
         ask = _windows(together(found.join(listed, "fp", "left_semi")))
-        more = _repeated(ask, 1 << 62).where("th is not null").select("th", F.col("pos").cast("long").alias("start"), (F.col("pos") + LEAST).cast("long").alias("stop"))
+        more = _repeated(ask, 1 << 62, n).where("th is not null").select("th", F.col("pos").cast("long").alias("start"), (F.col("pos") + LEAST).cast("long").alias("stop"))
         found = found.join(listed, "fp", "left_anti")
     ranges = _merged(_runs(together(found), RANGES * n), n)
     ranges = ranges.unionByName(more) if many else ranges
-    return rows, ranges.groupBy("th").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    # sets, for each copy of a repeated row finds the same places and ranges
+    return rows, ranges.groupBy("th").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
