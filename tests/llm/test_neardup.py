@@ -75,6 +75,54 @@ def test_blocks_of_a_large_cluster(spark, make, prose, monkeypatch):
     assert got(make(rows)) == brute(rows)
 
 
+def templated(prose, n, seed=0):
+    """Pages of one template, alike in about half of their shingles but no links, with a near copy of every tenth."""
+    stem, rows = prose(7, 60), []
+    for i in range(n):
+        t = f"{stem} {prose(10_000 + seed + i, 28)}"
+        rows.append((i, t))
+        if i % 10 == 0:
+            rows.append((n + i, edited(t, 0.01, i)))
+    return rows
+
+
+def test_template_copies_each_text_a_bounded_number_of_times(spark, make, prose, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 16)
+    monkeypatch.setattr(D, "PAIRS", 4)
+    read, whole = [], D.verify
+    monkeypatch.setattr(D, "verify", lambda members: read.append(members.count()) or whole(members))
+    rows = templated(prose, 1500)
+    assert got(make(rows)) == brute(rows)
+    _, trees = D.fine(len(rows) // 16)
+    assert trees < 100 and D.fine(100 * len(rows) // 16)[1] < 10 * trees
+    assert len(read) > 2 and sum(read) < trees * len(rows)  # pairs of 104 blocks would be 104 copies
+
+
+def test_recall_in_dense_regions(spark):
+    """The real candidates on 50,000 sketches of 25,000 pairs: the largest region is far beyond 8 * REGION, and none is linked but the pairs."""
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    n, common = 25_000, r.integers(0, 1 << 32, D.VALUES, dtype=np.uint32)
+    one = np.where(r.random((n, D.VALUES)) < 0.22, common, r.integers(0, 1 << 32, (n, D.VALUES), dtype=np.uint32))
+    one[:, :8] = np.where(r.random((n, 8)) < 0.9, common[:8], one[:, :8])  # the first orders begin alike
+    other = np.where(r.random((n, D.VALUES)) < 0.76, one, r.integers(0, 1 << 32, (n, D.VALUES), dtype=np.uint32))
+    _, size = np.unique(one[:, : D.DEPTH], axis=0, return_counts=True)
+    assert size.max() * 2 > 8 * D.REGION
+    import pandas as pd
+
+    sig = np.concatenate([one, other])
+    table = spark.createDataFrame(pd.DataFrame({"skey": np.arange(2 * n), "sig": [x.tobytes() for x in sig]}))
+    link = D.candidates(table).toPandas()
+    root = np.arange(2 * n)
+    for _ in range(40):
+        low = np.minimum(root[link.a], root[link.b])
+        np.minimum.at(root, link.a, low)
+        np.minimum.at(root, link.b, low)
+    close = (one == other).sum(axis=1) >= D.LEAST_COMMON
+    assert (root[:n] == root[n:])[close].mean() >= 0.999
+
+
 def test_dense_region_splits(monkeypatch):
     import numpy as np
 

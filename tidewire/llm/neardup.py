@@ -4,21 +4,23 @@ Every distinct shingle set gets one signature. The forest holds several sorted o
 begins at another place of the signature), dealt out by range, so that a dense region spreads over many tasks.
 Within a region (a common prefix of the order) candidates are longest-common-prefix neighbours; a region that is
 too large is split at the next value of the order, as deep as it needs. Candidates join documents into clusters,
-and links are confirmed on the full shingle sets within each cluster.
+and links are confirmed on the full shingle sets within each cluster: of a small one all at once, of a larger one block by block,
+of a very large one (pages of one template, say, which are alike but no links) in the regions of a second, finer forest.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import _text as X
 from tidewire.operators.graph import components
-from tidewire.plans.store import fresh, save, tasks
+from tidewire.plans.store import fresh, plan_bytes, save, tasks
 
 #: Shingle length in words and the similarity of a link, in hundredths.
 WORDS, SIMILAR = 5, 75
@@ -28,43 +30,54 @@ VALUES, TREES, DEPTH = 64, 16, 2
 REGION = 2048
 #: Documents of a cluster that one task verifies, about; a larger cluster is verified in blocks, then by pairs of blocks.
 BLOCK = 512
+#: Blocks of a cluster that are confirmed pair by pair at most, so many copies of a text; a cluster of more is read by the finer forest.
+PAIRS = 64
+#: Values of the finer forest at least, chance that a pair of similarity 0.75 shares none of its regions, and trees of one round.
+FINE_DEPTH, FINE_MISS, FINE_ROUND = 6, 4e-6, 32
 #: Sketch values in common from which two rows are candidates: 0.75 of 64 less four and a half standard deviations.
 LEAST_COMMON = 32
 
 _rng = np.random.default_rng(75)
 _MUL = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) | X.U(1)
 _ADD = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
+_OTHER = X.U(0xA24BAED4963EE407)
 
 
-def signature(sets: list[np.ndarray]) -> np.ndarray:
-    """Minima of VALUES hash functions over each non-empty set, as 32 bits (rows x VALUES)."""
+def signature(sets: list[np.ndarray], mul: np.ndarray = _MUL, add: np.ndarray = _ADD) -> np.ndarray:
+    """Minima of hash functions over each non-empty set, as 32 bits (rows x functions)."""
     flat = np.concatenate(sets)
     at = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    out = np.empty((len(sets), VALUES), np.uint32)
-    for k in range(VALUES):
-        h = flat * _MUL[k] + _ADD[k]
+    out = np.empty((len(sets), len(mul)), np.uint32)
+    for k in range(len(mul)):
+        h = flat * mul[k] + add[k]
         out[:, k] = (np.minimum.reduceat(h ^ (h >> X.U(29)), at) >> X.U(32)).astype(np.uint32)
-    return X.mix(out.astype(np.uint64) + np.arange(VALUES, dtype=np.uint64) * X.U(1 << 32)).astype(np.uint32)
+    return X.mix(out.astype(np.uint64) + np.arange(len(mul), dtype=np.uint64) * X.U(1 << 32)).astype(np.uint32)
+
+
+def _row(key: str, text: str) -> tuple[Column, Column]:
+    """128 bits by which a row of an id and a text is known."""
+    return F.xxhash64(F.col(key), F.col(text)).alias("row"), F.xxhash64(F.lit("second"), F.col(text), F.col(key)).alias("rowb")
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, row, n, skey, sig) of each row: its id, a hash of id and text, the size and a hash of its shingle set, its signature (null if empty)."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
+    """(id, row, rowb, n, ka, kb, sig) of each row: its id, hash of id and text, the size and a hash of its shingle set (128 bits each), its signature (null if empty)."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), *_row(key, text), F.col(text).alias("text"))
+    names = ["id", "row", "rowb", "n", "ka", "kb", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for i, j, buf, off in X.pieces(rb, "text"):
                 sets = X.shingle_sets(buf, off, WORDS)
                 size = np.array([len(s) for s in sets], np.int64)
-                skey = np.array([int(X.mix(s).sum(dtype=np.uint64)) ^ (len(s) * 0x9E3779B9) for s in sets], np.uint64)
+                ka, kb = (np.array([int(X.mix(s ^ turn).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64) for turn in (X.U(0), _OTHER))
                 full = np.flatnonzero(size)
                 sig: list[bytes | None] = [None] * len(sets)
                 if len(full):
                     for r, s in zip(full.tolist(), signature([sets[r] for r in full]), strict=True):
                         sig[r] = s.tobytes()
-                yield pa.RecordBatch.from_arrays([rb.column(0).slice(i, j - i), rb.column(1).slice(i, j - i), pa.array(size), pa.array(skey.view(np.int64)), pa.array(sig, pa.binary())], names=["id", "row", "n", "skey", "sig"])
+                yield pa.RecordBatch.from_arrays([*(rb.column(c).slice(i, j - i) for c in range(3)), pa.array(size), pa.array(ka), pa.array(kb), pa.array(sig, pa.binary())], names=names)
 
-    return rows.mapInArrow(run, "id long, row long, n long, skey long, sig binary")
+    return rows.mapInArrow(run, "id long, row long, rowb long, n long, ka long, kb long, sig binary")
 
 
 def _forest(classes: DataFrame) -> DataFrame:
@@ -157,7 +170,7 @@ def candidates(classes: DataFrame) -> DataFrame:
         if (made := links(rest_o, rest_k)) is not None:
             yield made
 
-    n = tasks(spark)
+    n = tasks(spark, classes.count() * TREES * (head + VALUES + 8))
     return _forest(classes).repartitionByRange(n, "ord").sortWithinPartitions("ord").mapInArrow(run, "a long, b long")
 
 
@@ -217,46 +230,102 @@ def verify(members: DataFrame) -> DataFrame:
         if (made := links(rows)) is not None:
             yield made
 
-    n = tasks(members.sparkSession)
+    n = tasks(members.sparkSession, 3 * plan_bytes(members))
     return members.select("grp", "skey", "text").repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
 
 
+def _named(parts: DataFrame) -> DataFrame:
+    return parts.select(F.col("v").alias("skey"), F.col("root").alias("part"))
+
+
+def _blocked(groups: DataFrame, parts: DataFrame) -> DataFrame:
+    """(skey, grp) of the groups (skey, grp) that aren't one component by now, large ones as all pairs of their blocks."""
+    named = groups.join(_named(parts), "skey", "left").withColumn("part", F.coalesce("part", "skey"))
+    open_ = named.groupBy("grp").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p <> q")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = groups.join(open_.select("grp", blocks.alias("nb")), "grp").withColumn("b", F.pmod(F.xxhash64("skey", "grp"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return rows.select("skey", F.xxhash64("grp", F.least("b", "o"), F.greatest("b", "o"), F.lit("pair")).alias("grp"))
+
+
+def fine(blocks: int) -> tuple[int, int]:
+    """Values and trees of the finer forest for a cluster of so many blocks.
+
+    Rows that are alike in half of their shingles, which is the least that makes them candidates, then meet about BLOCK at a time. A text
+    has as many copies as there are trees, so about the 0.42th power of the blocks.
+    """
+    depth = max(FINE_DEPTH, math.ceil(math.log2(max(1, blocks))))
+    return depth, math.ceil(math.log(FINE_MISS) / math.log1p(-((SIMILAR / 100) ** depth)))
+
+
+def _fine(held: DataFrame, depth: int, first: int, last: int) -> DataFrame:
+    """(skey, grp): the regions of the finer forest's trees from `first` up to `last`, within each cluster, that hold two rows or more."""
+    functions = np.random.default_rng([75, depth, first]).integers(1, 1 << 63, (2, (last - first) * depth), dtype=np.uint64)
+    mul, add = functions[0] | X.U(1), functions[1]
+    weight = np.array([pow(int(_OTHER) | 1, k + 1, 1 << 64) for k in range(depth)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for i, j, buf, off in X.pieces(rb, "text"):
+                sig = signature(X.shingle_sets(buf, off, WORDS), mul, add).astype(np.uint64).reshape(j - i, last - first, depth)
+                root = rb.column(1).slice(i, j - i).to_numpy().view(np.uint64)
+                grp = X.mix((sig * weight).sum(axis=2) + X.mix(root)[:, None] + np.arange(first, last, dtype=np.uint64)[None, :] * _OTHER)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rb.column(0).slice(i, j - i).to_numpy(), last - first)), pa.array(grp.ravel().view(np.int64))], names=["skey", "grp"])
+
+    rows = save(held.select("skey", "root", "text").mapInArrow(run, "skey long, grp long"), "regions")
+    return rows.join(rows.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1").select("grp"), "grp", "left_semi")
+
+
+def confirmed(held: DataFrame, where: DataFrame) -> DataFrame:
+    """(v, root): components of the confirmed links within clusters; `where` has (skey, root, nb, b), `held` the texts too.
+
+    First within blocks; the least row of a cluster visits all its blocks. Then, of the clusters that aren't one component by now,
+    all pairs of blocks, or the finer forest's regions for those of over PAIRS blocks. A region that is larger than a block even so is
+    read by pairs of blocks too.
+    """
+    every = F.sequence(F.lit(0), F.col("nb") - 1)
+    inside = held.withColumn("b", F.explode(F.when(F.col("skey") == F.col("root"), every).otherwise(F.array("b"))))
+    links = save(verify(inside.select("skey", "text", F.xxhash64("root", "b").alias("grp"))), "confirmed")
+    parts = components(links)
+    most = where.agg(F.max("nb")).first()[0] or 1
+    if most > 1:
+        pairs = save(_blocked(where.where(f"nb > 1 and nb <= {PAIRS}").select("skey", F.col("root").alias("grp")), parts), "pairs")
+        if not pairs.isEmpty():
+            links = links.unionByName(save(verify(held.select("skey", "text").join(pairs, "skey")), "confirmed"))
+            parts = components(links)
+    depth, trees = fine(most)
+    for first in range(0, trees if most > PAIRS else 0, FINE_ROUND):
+        regions = save(_blocked(_fine(held.where(f"nb > {PAIRS}"), depth, first, min(trees, first + FINE_ROUND)), parts), "pairs")
+        if not regions.isEmpty():
+            links = links.unionByName(save(verify(held.select("skey", "text").join(regions, "skey")), "confirmed"))
+            parts = components(links)
+    return parts
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, row, n_shingles, component_id, root, kept) of every row: near-duplicate groups by links of Jaccard 0.75 or more.
+    """(id, row, rowb, n_shingles, component_id, root, kept) of every row: near-duplicate groups by links of Jaccard 0.75 or more.
 
     component_id is the least id reachable. Null, empty or wordless texts have no shingles and are groups of
     their own. Rows with equal shingle sets are one class, whatever their number; a repeated row is in its class as often
-    as it comes. A null id counts as no id: it is never a component's name while another member has one. root tells components apart, those of null ids too (null without shingles).
+    as it comes. Sets are equal if 128 bits of hash are; a class is then known by a number of its own. A null id counts as no id: it is never
+    a component's name while another member has one. root tells components apart, those of null ids too (null without shingles).
     """
-    spark = docs.sparkSession
     sig = save(signatures(docs, key, text), "signatures")
-    full = sig.where("n > 0")
-    classes = save(full.groupBy("skey").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.min("sig").alias("sig")), "classes")
+    classes = sig.where("n > 0").groupBy("ka", "kb").agg(F.min("id").alias("least"), F.min(F.struct("row", "rowb")).alias("r"), F.min("sig").alias("sig"))
+    classes = save(classes.select(F.monotonically_increasing_id().alias("skey"), "ka", "kb", "least", "r.row", "r.rowb", "sig"), "classes")
     clusters = save(components(candidates(classes)), "clusters")
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    where = clusters.join(sizes, "root").join(classes.select(F.col("skey").alias("v"), "row"), "v").select("row", F.col("v").alias("skey"), "root", blocks.alias("nb"))
+    where = clusters.join(sizes, "root").join(classes.select(F.col("skey").alias("v"), "row", "rowb"), "v").select("row", "rowb", F.col("v").alias("skey"), "root", blocks.alias("nb"))
     where = save(where.withColumn("b", F.pmod(F.xxhash64("skey"), F.col("nb")).cast("int")), "members")
-    texts = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
-    # what is looked up grows with the corpus, so it is never broadcast; texts are fetched once for both passes
-    held = save(texts.join(where.hint("merge"), "row").select("skey", "root", "nb", "b", "text"), "texts")
-    # within blocks first; the least document of a cluster visits all its blocks
-    every = F.sequence(F.lit(0), F.col("nb") - 1)
-    first = held.withColumn("b", F.explode(F.when(F.col("skey") == F.col("root"), every).otherwise(F.array("b"))))
-    links = save(verify(first.select("skey", "text", F.xxhash64("root", "b").alias("grp"))), "confirmed")
-    parts = components(links)
-    if where.agg(F.max("nb")).first()[0] not in (None, 1):
-        # then all pairs of blocks, but only of large clusters that aren't one component by now
-        named = where.where("nb > 1").join(parts.select(F.col("v").alias("skey"), F.col("root").alias("part")), "skey", "left").withColumn("part", F.coalesce("part", "skey"))
-        open_ = save(named.groupBy("root").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("root"), "open")
-        if not open_.isEmpty():
-            pairs = held.where("nb > 1").join(open_, "root", "left_semi").withColumn("o", F.explode(every))
-            pairs = pairs.select("skey", "text", F.xxhash64("root", F.least("b", "o"), F.greatest("b", "o"), F.lit("pair")).alias("grp"))
-            parts = components(links.unionByName(save(verify(pairs), "confirmed")))
-    least = classes.select("skey", "least").join(parts.select(F.col("v").alias("skey"), "root"), "skey", "left").select("skey", "least", F.coalesce("root", "skey").alias("root"))
-    least = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("skey", "root", "component_id")
-    out = sig.select("id", "row", "n", F.when(F.col("n") > 0, F.col("skey")).alias("skey")).join(least, "skey", "left")
-    out = out.select("id", "row", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "root")
+    texts = docs.select(*_row(key, text), F.col(text).alias("text"))
+    # what is looked up grows with the corpus, so it is never broadcast; texts are fetched once for all passes, repeated rows once
+    held = save(texts.join(where.hint("merge"), ["row", "rowb"]).select("skey", "root", "nb", "b", "text"), "texts")
+    parts = confirmed(held, where)
+    least = classes.select("skey", "ka", "kb", "least").join(parts.select(F.col("v").alias("skey"), "root"), "skey", "left").select("ka", "kb", "least", F.coalesce("root", "skey").alias("root"))
+    least = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("ka", "kb", "root", "component_id")
+    out = sig.drop("sig").withColumns({k: F.when(F.col("n") > 0, F.col(k)) for k in ("ka", "kb")}).join(least, ["ka", "kb"], "left")
+    out = out.select("id", "row", "rowb", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "root")
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
@@ -265,12 +334,13 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Of several texts of that id the one of the least hash stays; of equal (id, text) rows the one of the least hash of all columns, texts without shingles too.
     """
-    group = ((F.col("n_shingles") > 0).alias("g"), F.coalesce("root", "row").alias("r"))
-    keep = groups(docs, key, text).where("kept").groupBy(*group).agg(F.min("row").alias("_row"))
-    row, one = fresh(docs, "_row", "_one")
+    group = ("root", *(F.when(F.col("root").isNull(), F.col(c)).alias(f"_{c}") for c in ("row", "rowb")))
+    keep = groups(docs, key, text).where("kept").groupBy(*group).agg(F.min(F.struct("row", "rowb")).alias("r")).select("r.row", "r.rowb")
+    row, rowb, one = fresh(docs, "_row", "_rowb", "_one")
     # copies of a row are one before they are joined, so that a row of any number meets no single task
-    each = docs.groupBy(F.xxhash64(F.col(key), F.col(text)).alias(row)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(one))
-    return each.join(keep.select(F.col("_row").alias(row)), row, "left_semi").select(f"{one}.*")
+    a, b = _row(key, text)
+    each = docs.groupBy(a.alias(row), b.alias(rowb)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(one))
+    return each.join(keep.select(F.col("row").alias(row), F.col("rowb").alias(rowb)), [row, rowb], "left_semi").select(f"{one}.*")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
