@@ -52,6 +52,13 @@ def test_estimates_come_best_first():
     assert [x.worth for x in e] == sorted((x.worth for x in e), reverse=True)
 
 
+def test_the_order_depends_on_the_rows_alone(spark, make, prose, hard):
+    rows = [*hard, *((100 + k, prose(k)) for k in range(40)), *((200 + k, prose(k, 20)) for k in range(20)), *((300, prose(1)) for _ in range(50))]
+    orders = {tuple(r.name for r in Q.plan(make(rows[::step]).repartition(n), Q.rules(), sample_rows=30)) for n, step in ((1, 1), (5, 1), (3, -1))}
+    assert len(orders) == 1
+    assert Q.judged(make(rows)).where("failed_rule is not null").collect() == Q.judged(make(rows)).where("failed_rule is not null").collect()
+
+
 def test_kept_rows_keep_their_columns(spark, prose):
     docs = spark.createDataFrame([(1, prose(1), "mine"), (2, "too short", "x"), (3, None, "y")], "doc_id long, text string, failed_rule string")
     assert [tuple(r) for r in Q.kept(docs).collect()] == [(1, prose(1), "mine")]
