@@ -6,13 +6,15 @@ another one goes on from; anti-joins leave the maximal ones, which are then rend
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.plans.store import save
 
-#: Turn numbers that one block of the rolling hash, and one part of a rendered conversation, spans.
+#: Turn numbers that one block of the rolling hash, and one part of a rendered conversation by default, spans.
 BLOCK, PART = 256, 512
+#: The control tokens; in what is said their first sign is kept apart from the second, so that no text can end a turn.
+OPEN, CLOSE, END, APART = "<|", "|>", "<|end|>", "<\u200b|"
 
 
 def _clean(turns: DataFrame) -> DataFrame:
@@ -50,16 +52,23 @@ def maximal(turns: DataFrame) -> DataFrame:
     return full.join(proper, ["n", "a", "b"], "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_copies")
 
 
-def rendered(turns: DataFrame) -> DataFrame:
-    """(conv_id, part, n_turns, n_copies, rendered) of the maximal conversations; part is the turn number over PART, from 0.
+def _plain(said: Column) -> Column:
+    return F.replace(said, F.lit(OPEN), F.lit(APART))
 
-    Turns are in the order of turn number, role and text. An empty table gives an empty table.
+
+def rendered(turns: DataFrame, part: int | None = PART) -> DataFrame:
+    """(conv_id, part, n_turns, n_copies, rendered) of the maximal conversations.
+
+    A row holds `part` turn numbers, numbered from 0, so that a conversation of any length meets no single task; joined in their order
+    the rows of a conversation are the whole of it. With `part` None each is one row, however long. Turns are in the order of turn number,
+    role and text; control tokens within a role or text are broken up. An empty table gives an empty table.
     """
     keep = maximal(turns)
-    rows = _clean(turns).join(keep, "conv_id").withColumn("part", F.floor(F.greatest(F.col("turn"), F.lit(0)) / PART))
+    number = F.lit(0).cast("long") if part is None else F.floor(F.greatest(F.col("turn"), F.lit(0)) / part)
+    rows = _clean(turns).join(keep, "conv_id").withColumn("part", number)
     said = F.array_sort(F.collect_set(F.struct("turn", "role", "text")))
     out = rows.groupBy("conv_id", "part").agg(F.max("n_turns").alias("n_turns"), F.max("n_copies").alias("n_copies"), said.alias("said"))
-    return out.select("conv_id", "part", "n_turns", "n_copies", F.array_join(F.transform("said", lambda t: F.concat(F.lit("<|"), t.role, F.lit("|>\n"), t.text, F.lit("<|end|>\n"))), "").alias("rendered"))
+    return out.select("conv_id", "part", "n_turns", "n_copies", F.array_join(F.transform("said", lambda t: F.concat(F.lit(OPEN), _plain(t.role), F.lit(CLOSE + "\n"), _plain(t.text), F.lit(END + "\n"))), "").alias("rendered"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +77,11 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH rows_ AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-convs AS (SELECT conv_id, count(*) AS n, max(turn) AS top, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS whole,
+convs AS (SELECT conv_id, count(*) AS n, max(turn) AS top,
   list(turn::VARCHAR || '/' || role || '/' || text ORDER BY turn, role, text) AS said FROM rows_ GROUP BY conv_id),
 one AS (SELECT min(conv_id) AS conv_id, n, said, top, count(*) AS n_copies FROM convs GROUP BY n, said, top),
 best AS (SELECT o.conv_id, o.n, o.n_copies FROM one o WHERE NOT EXISTS (SELECT 1 FROM convs c JOIN rows_ r ON r.conv_id = c.conv_id AND r.turn = o.top WHERE c.n > o.n AND c.said[1] = o.said[1] AND c.said[1:o.n] = o.said AND c.top > o.top))
 SELECT r.conv_id, floor(greatest(r.turn, 0) / 512)::BIGINT AS part, max(b.n) AS n_turns, max(b.n_copies) AS n_copies,
-  string_agg('<|' || r.role || '|>' || chr(10) || r.text || '<|end|>' || chr(10), '' ORDER BY r.turn, r.role, r.text) AS rendered
+  string_agg('<|' || replace(r.role, '<|', '<' || chr(8203) || '|') || '|>' || chr(10) || replace(r.text, '<|', '<' || chr(8203) || '|') || '<|end|>' || chr(10), '' ORDER BY r.turn, r.role, r.text) AS rendered
 FROM rows_ r JOIN best b USING (conv_id) GROUP BY 1, 2
 """
