@@ -8,6 +8,7 @@ Projected gradient descent starts at rate 1; each step is one distributed sum of
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,11 +18,13 @@ from tidewire.plans.store import save
 
 #: Domains by their labels, and the share of tokens that each is to have.
 TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
-#: Labelled documents on which the classifier is fitted, about; telling words at most, and places for them; pseudo-documents of
-#: a domain; standard deviations that make a word telling.
-FIT_ROWS, WORDS, SLOTS, PSEUDO, SURE = 20_000, 4096, 1 << 15, 2.0, 4.0
-#: Documents that a telling word is in at least, and share of a domain's documents: one group of copies tells nothing.
+#: Labelled documents on which the classifier is fitted, about; pseudo-documents of a domain; standard deviations that make a word telling.
+FIT_ROWS, PSEUDO, SURE = 20_000, 2.0, 4.0
+#: Documents that a telling word is in at least, and share of a domain's documents: one group of copies tells nothing. So there
+#: are no more telling words than a document has distinct ones over COMMON, for each domain.
 LEAST_DOCS, COMMON = 5, 0.01
+#: Telling words of a model at most; more are an error (fit on fewer rows), for none is left out silently.
+WORDS = 200_000
 #: Log odds are kept as whole numbers of this part.
 GRAIN = 100
 #: A domain is drawn at most this often on average: an aim above that is lowered to it, for the tokens aren't there.
@@ -46,16 +49,44 @@ def _hashes(tokens: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Bernoulli model: log odds of a text without any telling word by domain; in `slots` the telling words' hashes, each at its
-    place modulo SLOTS + 1 (0: none), and at the same places the whole-number log odds that each word adds by domain."""
+    """Bernoulli model: log odds of a text without any telling word by domain; in `slots` the telling words' hashes, each at one of
+    its two places (0: none), and at the same places the whole-number log odds that each word adds by domain."""
 
     base: list[float]
     slots: list[int]
     odds: list[list[int]]
 
 
+def _two(h: int, size: int) -> tuple[int, int]:
+    """The two places of a hash, from 0: by its lower and by its upper half."""
+    return h % size, (h >> 32) % size
+
+
+def slots(hashes: list[int]) -> list[int]:
+    """Every hash at one of its two places, in a table that grows until all have one (cuckoo hashing); 0 is an empty place."""
+    size = 256
+    while size < 4 * len(hashes):
+        size *= 2
+    while True:
+        table, homeless = [0] * size, 0
+        for h in hashes:
+            at = _two(h, size)[0]
+            for _ in range(500):
+                h, table[at] = table[at], h
+                if not h:
+                    break
+                one, other = _two(h, size)
+                at = other if at == one else one
+            else:
+                homeless += 1
+                break
+        if not homeless:
+            return table
+        size *= 2
+
+
 def fit(docs: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> Model:
-    """The model of labelled documents; a few numbers for each of WORDS words, whatever the size of the input.
+    """The model of labelled documents; a few numbers for each telling word, whatever the size of the input.
 
     Fitted on the labelled documents whose hash is below the quantile that leaves about `rows`. Contradictory labels of a
     document count each. Only telling words count, for thousands of slight ones would add up to certainty: those that in some
@@ -79,14 +110,15 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_
     wide = [every >= max(float(LEAST_DOCS), COMMON * docs_of[i]) for i in k]
     tells = [F.when(far[i] & wide[i], sure[i]).otherwise(0.0) if share[i] else F.lit(0.0) for i in k]
     best = F.greatest(*tells) if len(domains) > 1 else tells[0]
-    chosen = counts.where("h <> 0").withColumns({"z": best, **{f"t{i}": tells[i] >= SURE for i in k}}).where(F.col("z") >= SURE).orderBy(F.desc("z"), "h").limit(WORDS).collect()
+    chosen = counts.where("h <> 0").withColumns({"z": best, **{f"t{i}": tells[i] >= SURE for i in k}}).where(F.col("z") >= SURE).orderBy("h").limit(WORDS + 1).collect()
+    if len(chosen) > WORDS:
+        raise ValueError(f"over {WORDS} telling words: fit on fewer rows")
     base = [math.log((n + 1) / (sum(docs_of) + len(domains))) for n in docs_of]
-    slots, odds = [0] * SLOTS, [[0] * SLOTS for _ in k]
+    held = slots([r["h"] for r in chosen])
+    place = {h: i for i, h in enumerate(held) if h}
+    odds = [[0] * len(held) for _ in k]
     for r in chosen:
-        at = r["h"] % SLOTS
-        if slots[at]:
-            continue  # the more telling word has the place
-        slots[at] = r["h"]
+        at = place[r["h"]]
         n = [r[f"n{i}"] for i in k]
         rest = [i for i in k if not r[f"t{i}"]]
         for i in k:
@@ -96,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], key: str = "doc_
             odds[i][at] = round(GRAIN * math.log(p / (1 - p)))
             base[i] += math.log(1 - p)
     top = max(base)
-    return Model([x - top for x in base], slots, odds)
+    return Model([x - top for x in base], held, odds)
 
 
 def _constant(numbers: list[int], kind: str) -> Column:
@@ -110,10 +142,12 @@ def _add(held: Column):
 
 def posteriors(docs: DataFrame, model: Model, domains: list[str], text: str = "text") -> DataFrame:
     """`docs` with n_tokens and p_<domain> of each row; a text without telling words has the same as any such text."""
-    slots = _constant(model.slots, "bigint")
-    place = lambda h: (F.pmod(h, F.lit(SLOTS)) + 1).cast("int")
-    tell = F.filter(_hashes(F.col("_words")), lambda h: F.element_at(slots, place(h)) == h)
-    out = docs.withColumn("_words", _tokens(F.col(text))).withColumn("n_tokens", F.size("_words").cast("long")).withColumn("_at", F.transform(tell, place))
+    held, size = _constant(model.slots, "bigint"), F.lit(len(model.slots))
+    one = lambda h: (F.pmod(h, size) + 1).cast("int")
+    two = lambda h: (F.pmod(F.shiftright(h, 32), size) + 1).cast("int")
+    tell = F.filter(_hashes(F.col("_words")), lambda h: (F.element_at(held, one(h)) == h) | (F.element_at(held, two(h)) == h))
+    at = F.transform(tell, lambda h: F.when(F.element_at(held, one(h)) == h, one(h)).otherwise(two(h)))
+    out = docs.withColumn("_words", _tokens(F.col(text))).withColumn("n_tokens", F.size("_words").cast("long")).withColumn("_at", at)
     for d, base, odds in zip(domains, model.base, model.odds, strict=True):
         out = out.withColumn(f"_l_{d}", F.aggregate("_at", F.lit(base), _add(_constant(odds, "smallint"))))
     top = F.greatest(*(F.col(f"_l_{d}") for d in domains)) if len(domains) > 1 else F.col(f"_l_{domains[0]}")
@@ -166,7 +200,7 @@ def rates(table: DataFrame, targets: dict[str, float], steps: int = STEPS, enoug
     size, last = 1.0, None
     for _ in range(steps):
         miss = [x - y for x, y in zip(now, aim, strict=True)]
-        if max(abs(x) for x in miss) <= enough * max(1.0, *aim):
+        if max(abs(x) for x in miss) <= enough * max(1.0, *aim) or (last is not None and size < 1e-6):
             break
         step = [size * x for x in _solve(gram, miss)]
         tried = F.greatest(F.lit(0.0), rate - sum((p[i] * step[i] for i in k[1:]), p[0] * step[0]))
@@ -176,9 +210,19 @@ def rates(table: DataFrame, targets: dict[str, float], steps: int = STEPS, enoug
             size /= 2  # too far: a shorter step from the same place
             continue
         rate, now, gram, last, size = tried, then, after, worth, min(1.0, 2 * size)
+    else:
+        warnings.warn(f"the targets are missed by {[round(x - y, 3) for x, y in zip(now, aim, strict=True)]} tokens after {steps} steps", stacklevel=2)
     return rate
 
 
+def shares(mix: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """(domain, target, tokens, share): what a mix (n_tokens, p_<domain>, rate) comes to, for a domain may have fewer tokens than its target asks for."""
+    got = [F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p_{d}") * F.col("rate")), F.lit(0.0)) for d in targets]
+    total = mix.agg(F.array(*got).alias("t")).select("t", F.aggregate("t", F.lit(0.0), lambda a, x: a + x).alias("all"))
+    names = F.array(*(F.struct(F.lit(d).alias("domain"), F.lit(w).alias("target")) for d, w in targets.items()))
+    return total.select("all", F.posexplode(F.arrays_zip(names.alias("d"), "t")).alias("k", "x")).select("x.d.domain", "x.d.target", F.col("x.t").alias("tokens"), F.when(F.col("all") > 0, F.col("x.t") / F.col("all")).alias("share"))
+
+
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Rows of `docs` (its columns, or those of `carry`) with n_tokens, p_<domain> and rate: how often each is to be drawn.
 
