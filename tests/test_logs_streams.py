@@ -100,17 +100,37 @@ def test_capture_writes_rows_once(spark):
 
 
 def test_refresh_keeps_the_last_good_edition(spark):
+    """Each edition is of all items so far; a rejected one leaves the last, and other errors aren't taken for a rejection."""
+    from pyspark.errors import StreamingQueryException
+
+    from tidewire.operators.edition import Rejected
+
     source, versions, check = (new_path(spark, n) for n in "abc")
 
     def compose(batch):
-        if batch.where("x < 0").count():
-            raise ValueError("not admitted")
+        if batch.where("x = 3").count() and not batch.where("x = 4").count():
+            raise Rejected("not admitted")
+        if batch.where("x = 5").count():
+            raise ValueError("a fault")
         return batch.agg(F.sum("x").alias("s"))
 
-    for value in (1, 2, -1):
+    want = {1: 1, 2: 3, 3: 3, 4: 10}
+    for value in (1, 2, 3, 4):
         spark.createDataFrame([(value,)], "x int").coalesce(1).write.mode("append").parquet(source)
         R.refresh(spark.readStream.schema("x int").parquet(source), compose, versions, check).awaitTermination()
-    assert R.current(spark, versions).first()["s"] == 2
+        assert R.current(spark, versions).first()["s"] == want[value]
+    spark.createDataFrame([(5,)], "x int").coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(StreamingQueryException):
+        R.refresh(spark.readStream.schema("x int").parquet(source), compose, versions, check).awaitTermination()
+    assert R.current(spark, versions).first()["s"] == 10
+
+
+def test_refresh_keeps_a_horizon_of_batches(spark):
+    source, versions, check = (new_path(spark, n) for n in "abc")
+    for value in (1, 2, 4):
+        spark.createDataFrame([(value,)], "x int").coalesce(1).write.mode("append").parquet(source)
+        R.refresh(spark.readStream.schema("x int").parquet(source), lambda b: b.agg(F.sum("x").alias("s")), versions, check, keep=2).awaitTermination()
+    assert R.current(spark, versions).first()["s"] == 6
 
 
 def test_sinks(spark):

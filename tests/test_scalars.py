@@ -126,3 +126,21 @@ def test_catalogue():
     assert {s["tier"] for s in all_} == set(C.WEIGHTS) and {s["source_type"] for s in all_} <= set(C.LOOKBACK)
     assert sum(s["max_items"] == 5 for s in all_) == 6 and all(s["url"].startswith("https://") for s in all_)
     assert sorted(C.KEYWORDS) == sorted(set(C.SECTIONS) - {C.REST})
+
+
+def test_native_keys_are_those_of_the_full_rules(spark):
+    """Every URL that counts as clean, and every ASCII title, has the key that the full rules give."""
+    import random
+    import re
+
+    r = random.Random(9)
+    piece = lambda chars, n: "".join(r.choice(chars) for _ in range(r.randint(0, n)))
+    urls = ["https://e.com", "http://e.com/", "https://e.com//a//", "https://e.com/a?", "https://e.com/?a&b=&=c&&utm_x=1&ref=2&REF=3#f", "https://1.2.3.4/a", "https://e.1/a", "https://e.com/.hidden/..a/..."]
+    for _ in range(1500):
+        urls.append(r.choice(["http", "https", "HTTP", "ftp"]) + "://" + piece("ae1-", 4) + r.choice(["e.com", "a.example.org", "e.com:443", ""]) + "/" + piece("/a.~-_A" + r.choice(["", "% é"]), 12) + r.choice(["", "?" + piece("ab=&utm_*.-" + r.choice(["", "+%~"]), 14), "#" + piece("ab=/", 5)]))
+    clean = [u for u in urls if re.match(U.CLEAN_URL, u)]
+    assert len(clean) > 100
+    many(spark, U.url_key, [(u, U.key_of_url(u)) for u in urls])
+    many(spark, S.url_key, [(u, U.key_of_url(u)) for u in clean])
+    titles = [piece("aA1 -_\t.éﬁÅ", 12) for _ in range(300)] + ["A\x1cB", "a\x0bb", "\x85x"]
+    many(spark, U.title_key, [(t, U.key_of_title(t)) for t in titles])

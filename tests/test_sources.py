@@ -116,3 +116,31 @@ def test_feed_response(spark):
     assert get("nowhere", "xml")[0] == get("all", "txt")[0] == 404
     assert get("breaches", "xml")[2].count("<item>") == 1 and len(json.loads(get("high", "json")[2])["items"]) == 1
     assert get("critical", "xml")[0] == 200 and "<item>" not in get("critical", "xml")[2] and json.loads(get("critical", "json")[2])["items"] == []
+
+
+def test_pages_of_a_poll():
+    from tidewire.sources.capture import read_pages
+
+    def page(n, more=True, **extra):
+        return json.dumps({"type": "log", "n": n}) + "\n\n" + json.dumps({"type": "summary", "pagination": {"hasMore": more, "next": f"c{n + 1}"}, **extra}) + "\n"
+
+    asked = []
+
+    def read(cursor, last=2):
+        asked.append(cursor)
+        n = 0 if cursor is None else int(cursor[1:])
+        return page(n, n < last, excludedIntervals=[{"start": "x"}, 5] if n == 1 else None)
+
+    lines, gaps = read_pages(read, "a", "b")
+    assert asked == [None, "c1", "c2"] and sum("log" in x for x in lines) == 3 and gaps == [("x", "b", "excluded"), ("a", "b", "excluded")]
+    asked.clear()
+    assert read_pages(lambda c: read(c, 99), "a", "b")[1][-1] == ("a", "b", "truncated") and len(asked) == 20
+    assert read_pages(lambda c: "no json\n[1]\n", "a", "b") == (["no json", "[1]"], [])
+
+
+def test_reads_and_captures(spark):
+    df = spark.createDataFrame([(0, 0, 25, 10), (7, 120, 14, 10), (500, 900, 51, 10)], "s int, e int, w int, i int")
+    got = [tuple(r) for r in df.select(B.render_reads(F.col("s"), F.col("e")), B.valid_capture(F.col("w"), F.col("i"))).collect()]
+    assert got == [(2, True), (12, False), (112, False)]
+    (url,) = spark.createDataFrame([("CVE-2024-1234",)], "c string").select(N.record_url(F.col("c"), "https://r.example")).first()
+    assert url.startswith("https://r.example") and "CVE-2024-1234" in url

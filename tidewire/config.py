@@ -58,9 +58,14 @@ volexity | Volexity | Threat Intelligence | vendor | volexity | https://www.vole
 watchtowr-labs | watchTowr Labs | Threat Intelligence | vendor | watchtowr | https://labs.watchtowr.com/rss/
 portswigger-research | PortSwigger Research | Threat Intelligence | vendor | portswigger | https://portswigger.net/research/rss
 """
-# Words of which a title must have one, where a source asks for it, and one word more for two sources.
+# Words of which a title must have one, where a source asks for it, and more words for two of the sources.
 _TITLE_WORDS = r"attack(?:s|er|ers)?|campaigns?|malware|exploit(?:s|ed|ing)?|compromis(?:e|es|ed)|phishing|ransomware|webshells?|backdoors?|botnets?|threat actors?|vulnerabilit(?:y|ies)|zero-days?|breach(?:es)?|CVE-\d{4}-\d+"
-TITLE_INCLUDE = {"eset-research": f"(?i){_TITLE_WORDS}|infostealers?", "huntress": f"(?i){_TITLE_WORDS}", "sekoia": f"(?i){_TITLE_WORDS}|infostealers?"}
+_MORE_WORDS = r"infostealers?|trojan(?:s|ised|ized)?|intrusions?|APT\d*"
+TITLE_INCLUDE = {
+    "eset-research": rf"(?i)^.*?\b(?:{_TITLE_WORDS}|{_MORE_WORDS}|flaws?|hack(?:s|ed)?)\b",
+    "huntress": rf"(?i)^.*?\b(?:{_TITLE_WORDS})\b",
+    "sekoia": rf"(?i)^.*?\b(?:{_TITLE_WORDS}|{_MORE_WORDS})\b",
+}
 # Newest items taken of a source; body bytes where not the default; sources whose HTML content type is accepted.
 MAX_ITEMS = {s: 5 for s in ("paloalto-psirt", "cisco-psirt", "fortinet-psirt", "cccs", "sekoia", "the-register-security")}
 MAX_BODY = {"cisa": 10 * 1024 * 1024}
@@ -109,6 +114,13 @@ ENTITIES = {
     "copy": "©", "reg": "®", "ldquo": "“", "rdquo": "”", "lsquo": "‘", "rsquo": "’",
 }
 
+# The shape of a CVE id.
+CVE_ID = r"^CVE-\d{4}-\d{4,7}$"
+# Seconds after which a result is renewed.
+REFRESH_SECONDS = {"edition": 900, "kev": 21_600, "epss": 3_600, "ssvc": 21_600}
+# Pages of one poll of the logs at most.
+POLL_PAGES = 20
+
 # Limits.
 SUMMARY_CHARS, CHIPS, SECTION_CAP, MIN_HIDDEN = 400, 3, 6, 3
 KEV_MIN, KEV_SKIPPED, KEV_SLIM_BYTES, KEV_FIRST, KEV_HOURS = 1500, 0.01, 256 * 1024, "2021-11-03", 72
@@ -126,6 +138,14 @@ SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 SPACES = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
+def site_url(env: dict[str, str], production: bool = False) -> str:
+    """The public origin without a slash at its end: SITE_URL, else the local one, which is an error in production."""
+    given = env.get("SITE_URL", "").strip().rstrip("/")
+    if not given and production:
+        raise ValueError("SITE_URL must be set in production")
+    return given or "http://localhost:4000"
+
+
 def sources() -> list[dict]:
     """The catalogue of sources, in order."""
     out = []

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from decimal import ROUND_HALF_UP, Decimal
 from urllib.parse import parse_qsl, quote_plus, urlsplit
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewire import config as C
+from tidewire.functions import scalars as S
 
 _ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});", re.A)
 
@@ -28,6 +31,10 @@ def decode(text: str | None) -> str | None:
     return None if text is None else _ENTITY.sub(one, text)
 
 
+def unescaped(text: str | None) -> str | None:
+    return None if text is None else html.unescape(text)
+
+
 def key_of_title(title: str | None) -> str | None:
     """Compatibility-composed, lower case, letters, marks and digits only, single spaces."""
     if title is None:
@@ -72,16 +79,38 @@ def _vector(f):
     return F.pandas_udf(lambda s: s.map(f, na_action=None).astype(object).where(s.notna(), None), "string")
 
 
-def decode_entities(c):
-    return _vector(decode)(c)
+def _only(rows: Column, value: Column, f, rest: Column) -> Column:
+    """f of the rows that need it, in Python; the rest natively: only the others' values travel."""
+    return F.when(rows, f(F.when(rows, value))).otherwise(rest)
+
+
+def decode_entities(c: Column | str) -> Column:
+    """`decode` of the texts with an ampersand; others are as they are."""
+    c = S.col(c)
+    return _only(F.contains(c, F.lit("&")), c, _vector(decode), c)
+
+
+def unescape(c: Column | str) -> Column:
+    """All entities of HTML, of texts with an ampersand."""
+    c = S.col(c)
+    return _only(F.contains(c, F.lit("&")), c, _vector(unescaped), c)
+
+
+def title_key(c: Column | str) -> Column:
+    """`key_of_title`; ASCII titles are composed as they are, so that the native rule gives the same."""
+    c = S.col(c)
+    return _only(~c.rlike(r"^\p{ASCII}*$"), c, _vector(key_of_title), S.title_key(c))
 
 
-def title_key(c):
-    return _vector(key_of_title)(c)
+#: A URL that the native rule reads as the full rules do: no port, no escapes, no dot segments, a host that ends in a name.
+_FIELD = r"[A-Za-z0-9*._-]*(?:=[A-Za-z0-9*._-]*)?"
+CLEAN_URL = rf"^https?://(?:[a-z0-9-]+\.)*[a-z][a-z0-9-]*(?:/(?!\.{{1,2}}(?:[/?#]|$))[A-Za-z0-9._~-]*)*(?:\?{_FIELD}(?:&{_FIELD})*)?(?:#[A-Za-z0-9._~=&/-]*)?$"
 
 
-def url_key(c):
-    return _vector(key_of_url)(c)
+def url_key(c: Column | str) -> Column:
+    """`key_of_url`; clean URLs natively."""
+    c = S.col(c)
+    return _only(~c.rlike(CLEAN_URL), c, _vector(key_of_url), S.url_key(c))
 
 
 def fixed2(c):

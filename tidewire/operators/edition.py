@@ -19,6 +19,10 @@ from tidewire.plans.store import save
 STRIDE = 1 << 32
 
 
+class Rejected(Exception):
+    """A new result that isn't to replace the last good one."""
+
+
 def _case(of: str, table: dict, kind: str) -> Column:
     out = None
     for k, v in table.items():
@@ -43,7 +47,9 @@ def normalize(items: DataFrame, sources: DataFrame) -> DataFrame:
 
     `sources` is the catalogue of feeds: a table of configuration, far below any broadcast limit.
     """
-    rows = items.join(F.broadcast(sources.select("source_id", "source_pos", "name", "tier", "source_type", "max_items", "title_include")), "source_id")
+    # word boundaries of title patterns are those of ASCII words
+    include = F.replace("title_include", F.lit(r"\b"), F.lit(S.BOUNDARY)).alias("title_include")
+    rows = items.join(F.broadcast(sources.select("source_id", "source_pos", "name", "tier", "source_type", "max_items", include)), "source_id")
     rows = rows.withColumn("title", S.trim(U.decode_entities("title"))).withColumn("url", S.trim("link")).withColumn("ts", S.published("iso_date", "pub_date"))
     rows = rows.where((F.col("title") != "") & F.col("url").rlike(r"^(?i:https?)://[^/?#\s]+") & F.col("ts").isNotNull())
     return rows.select(
@@ -84,28 +90,27 @@ def fan_out(results: DataFrame) -> DataFrame:
     return results.where("status = 'ok'")
 
 
-def with_keys(articles: DataFrame, exact: bool = False) -> DataFrame:
-    """Keys by which stories are the same. Native keys suit clean ASCII URLs and composed titles; `exact` takes the full rules."""
-    url, title = (U.url_key("url"), U.title_key("title")) if exact else (S.url_key("url"), S.title_key("title"))
-    return articles.withColumn("url_key", url).withColumn("title_key", title)
+def with_keys(articles: DataFrame) -> DataFrame:
+    """Keys by which stories are the same, by the full rules; clean URLs and ASCII titles get them natively."""
+    return articles.withColumn("url_key", U.url_key("url")).withColumn("title_key", U.title_key("title"))
 
 
-def dedupe(articles: DataFrame, exact: bool = False) -> DataFrame:
+def dedupe(articles: DataFrame) -> DataFrame:
     """One article of each group joined by URL or title keys, over any number of steps: the earliest, then of the weightiest tier, then the first.
 
-    A key's articles link to its first one: as many links as articles, whatever the size of a group. An empty title key
-    joins nothing. The survivor is unchanged; a component's articles meet by a pre-aggregated minimum, not in a window.
+    A key's articles link to its first one: no more links than articles, whatever the size of a group. An empty title key
+    joins nothing. Articles that no key links are out of it from there on; the others meet by a pre-aggregated minimum, not in a window.
     """
-    keyed = save(with_keys(articles, exact), "keyed")  # read four times from here on
-    link = lambda key: keyed.where(F.col(key) != "").groupBy(key).agg(F.min("idx").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    links = None
-    for key in ("url_key", "title_key"):
-        some = keyed.select(key, F.col("idx").alias("a")).join(link(key), key).select("a", "b").where("a <> b")
-        links = some if links is None else links.unionByName(some)
-    own = keyed.select(*articles.columns)
-    grouped = own.select("idx", "published_ms", "tier").join(components(links).withColumnRenamed("v", "idx"), "idx", "left").withColumn("c", F.coalesce("root", "idx"))
-    best = grouped.groupBy("c").agg(F.min(F.struct(F.coalesce("published_ms", F.lit((1 << 63) - 1)).alias("t"), (-tier_weight()).alias("w"), F.col("idx").alias("i"))).alias("best"))
-    return own.join(best.select(F.col("best.i").alias("idx")), "idx", "left_semi")
+    articles = save(articles, "windowed")  # the keys and the survivors are read from it, and its Python stages run once
+    keys = with_keys(articles).select("idx", F.explode(F.array(F.concat(F.lit("u"), "url_key"), F.when(F.col("title_key") != "", F.concat(F.lit("t"), "title_key")))).alias("key")).where("key is not null")
+    keys = save(keys.select("idx", F.md5(F.col("key").cast("binary")).alias("key")), "keys")
+    first = keys.groupBy("key").agg(F.min("idx").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    links = keys.join(first, "key").where("idx <> b").select(F.col("idx").alias("a"), "b")
+    linked = components(links).withColumnRenamed("v", "idx")
+    members = linked.join(articles.select("idx", "published_ms", "tier"), "idx")
+    best = members.groupBy("root").agg(F.min(F.struct(F.coalesce("published_ms", F.lit((1 << 63) - 1)).alias("t"), (-tier_weight()).alias("w"), F.col("idx").alias("i"))).alias("best"))
+    lost = linked.join(best.select(F.col("best.i").alias("idx")), "idx", "left_anti").select("idx")
+    return articles.join(lost, "idx", "left_anti")
 
 
 def derive(articles: DataFrame) -> DataFrame:
@@ -123,9 +128,9 @@ def ranked(articles: DataFrame, now_ms: int) -> DataFrame:
     return ranked_within(rows, "section_pos", [F.desc("score"), F.col("idx")])
 
 
-def compose(windowed: DataFrame, now_ms: int, exact: bool = False) -> DataFrame:
+def compose(windowed: DataFrame, now_ms: int) -> DataFrame:
     """The edition of windowed articles: ranked in sections, with `edition_pos` in the order in which it is shown."""
-    rows = ranked(derive(dedupe(windowed, exact)), now_ms)
+    rows = ranked(derive(dedupe(windowed)), now_ms)
     # one row for each section
     before = rows.groupBy("section_pos").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("section_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return rows.join(F.broadcast(before.select("section_pos", "before")), "section_pos").withColumn("edition_pos", F.col("before") + F.col("rank")).drop("before")
@@ -135,7 +140,7 @@ def admitted(edition: DataFrame) -> DataFrame:
     """The edition, written, or an error if it has no article: the last good one is then to stay."""
     edition = save(edition, "edition")
     if edition.isEmpty():
-        raise ValueError("an edition without articles is not published")
+        raise Rejected("an edition without articles is not published")
     return edition
 
 

@@ -141,12 +141,27 @@ def q07(spark, sf):
     return E.fan_out(windowed(spark, sf).withColumn("status", F.when(failed, "error").otherwise("ok"))).groupBy("source_id").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
 
 
+def _decorated(articles: DataFrame) -> DataFrame:
+    """Articles whose URLs and titles are written in other ways with the same keys, each way for some: ports, dot segments, upper case,
+    spaces, tracking fields; wide letters, a ligature, punctuation."""
+    k, url, title = F.col("idx") % 7, F.col("url"), F.col("title")
+    own = lambda pattern, to: F.regexp_replace(url, pattern, to)
+    port = F.when(url.startswith("https"), own("^(https://[^/?#]+)", "$1:443")).otherwise(own("^(http://[^/?#]+)", "$1:80"))
+    upper = F.concat(F.upper(F.regexp_extract(url, "^[a-z]+://[^/?#]+", 0)), own("^[a-z]+://[^/?#]+", ""))
+    tracked = F.concat(own("#.*$", ""), F.when(F.contains(url, F.lit("?")), "&").otherwise("?"), F.lit("utm_Campaign=a%20b&fbclid=1#part"))
+    dots = own("^([a-z]+://[^/?#]+)", "$1/zz/./y/../..")
+    url = F.when(k == 1, port).when(k == 2, upper).when(k == 3, tracked).when(k == 4, dots).when(k == 5, F.concat(F.lit(" \t"), url, F.lit("\n"))).otherwise(url)
+    wide = F.translate(title, "abcXYZ019", "ａｂｃＸＹＺ０１９")
+    title = F.when(k == 2, wide).when(k == 4, F.replace(F.replace(title, F.lit("fi"), F.lit("ﬁ")), F.lit("fl"), F.lit("ﬂ"))).when(k == 6, F.concat(F.lit("“"), F.replace(title, F.lit(" "), F.lit("\u00a0\u2003")), F.lit("”!"))).otherwise(title)
+    return articles.withColumns({"url": url, "title": title})
+
+
 def q08(spark, sf):
-    return windowed(spark, sf).select("idx", S.url_key("url").alias("url_key"))
+    return windowed(spark, sf).select("idx", U.url_key("url").alias("url_key"))
 
 
 def q08u(spark, sf):
-    return windowed(spark, sf).select("idx", U.url_key("url").alias("url_key"))
+    return _decorated(windowed(spark, sf)).select("idx", U.url_key("url").alias("url_key"))
 
 
 def q09(spark, sf):
@@ -154,8 +169,8 @@ def q09(spark, sf):
 
 
 def q09x(spark, sf):
-    """Deduplication by the full key rules."""
-    return E.dedupe(windowed(spark, sf), exact=True).select("idx", "source", "title")
+    """Deduplication of URLs and titles as feeds also write them: the same stories stay."""
+    return E.dedupe(_decorated(windowed(spark, sf))).select("idx", "source")
 
 
 def q10(spark, sf):
@@ -190,11 +205,11 @@ def q16(spark, sf):
 
 
 def q17(spark, sf):
-    return windowed(spark, sf).select("idx", S.title_key("title").alias("title_key"))
+    return windowed(spark, sf).select("idx", U.title_key("title").alias("title_key"))
 
 
 def q17u(spark, sf):
-    return windowed(spark, sf).select("idx", U.title_key("title").alias("title_key"))
+    return _decorated(windowed(spark, sf)).select("idx", U.title_key("title").alias("title_key"))
 
 
 def q18(spark, sf):
@@ -244,12 +259,13 @@ ORACLES = {
     "q08_url_key": chain(NORM, WIN) + f"SELECT idx, {_key('url')} AS url_key FROM win",
     "q08_url_key_full": chain(NORM, WIN) + f"SELECT idx, {_key('url')} AS url_key FROM win",
     "q09_dedupe": chain(*TO_DEDUPE) + "SELECT idx, source, title FROM dd",
-    "q09_dedupe_full": chain(*TO_DEDUPE) + "SELECT idx, source, title FROM dd",
+    "q09_dedupe_full": chain(*TO_DEDUPE) + "SELECT idx, source FROM dd",
     "q10_rank": chain(*TO_EDITION) + "SELECT idx, section, rank, round(score, 9) AS score FROM ed",
     "q11_group_by_section": chain(*TO_EDITION) + "SELECT section_pos, section, string_agg(id, ',' ORDER BY rank) AS ids FROM ed GROUP BY section_pos, section",
     "q12_extract_cves": chain(NORM, WIN) + f"SELECT idx, array_to_string({CVES}, ',') AS cves FROM win",
     "q13_unique_cves": chain(*TO_EDITION) + "SELECT cve, row_number() OVER (ORDER BY e, p, cve) AS pos FROM (SELECT cve, min(edition_pos * 1000 + p) // 1000 AS e, min(edition_pos * 1000 + p) % 1000 AS p FROM (SELECT edition_pos, unnest(cves) AS cve, generate_subscripts(cves, 1) AS p FROM ed) GROUP BY cve)",
     "q14_edition": chain(*TO_EDITION) + "SELECT edition_pos, section, rank, id, title, source, tier, importance, importance_reason, array_to_string(cves, ',') AS cves FROM ed",
+    "q15_decode_entities": "SELECT doc_id, 'a &lt; &amp; A ™ &bogus; &#0; ' || coalesce(source, '') || ' ' || chr(160) || 'b' AS decoded FROM documents",
     "q16_truncate_summary": f"SELECT doc_id, {SUMMARY} AS summary FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "q17_title_key": chain(NORM, WIN) + f"SELECT idx, {TITLE_KEY} AS title_key FROM win",
     "q17_title_key_full": chain(NORM, WIN) + f"SELECT idx, {TITLE_KEY} AS title_key FROM win",
@@ -257,5 +273,6 @@ ORACLES = {
     "q19_classify": chain(NORM, WIN) + f"SELECT idx, {CLASSIFY} AS section FROM win",
     "q27_importance": chain(NORM, WIN, DERIVE.replace("FROM dd)", "FROM win)")) + "SELECT idx, section, importance, importance_reason FROM der",
     "q28_article_id": "SELECT page_id, substr(translate(to_base64(unhex(sha256(url))), '+/', '-_'), 1, 12) AS id FROM pages",
+    "q29_score_labels": f"SELECT cve, CASE WHEN score < 0.01 THEN '<0.01' WHEN score * 8 = floor(score * 8) AND score * 4 <> floor(score * 4) THEN printf('%.2f', score + 0.001) ELSE printf('%.2f', score) END AS label FROM ({A.duck_sql(A.EPSS)})",
     "q29_time_labels": "SELECT event_id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m::VARCHAR || 'm ago' ELSE (m // 60)::VARCHAR || 'h ago' END AS ago, strftime(ts, '%H:%M') || ' UTC' AS utc, strftime(ts, '%Y-%m-%d %H:%M') || ' UTC' AS utc_long, strftime(ts, '%b %-d, %H:%M') || ' UTC' AS utc_short FROM (SELECT event_id, ts, CAST(floor((1706400000000 - epoch_ms(ts)) / 60000.0) AS BIGINT) AS m FROM events)",
 }

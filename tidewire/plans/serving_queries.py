@@ -29,16 +29,27 @@ _BODIES = """SELECT d.doc_id, d.source AS source_id, CASE d.doc_id % 8 WHEN 0 TH
   CASE d.doc_id % 5 WHEN 0 THEN 'text/HTML; charset=utf-8' WHEN 1 THEN 'application/json' ELSE 'application/rss+XML' END AS content_type, d.text AS body FROM {documents} d"""
 
 
-def _rss_bodies(spark, sf) -> DataFrame:
-    """A feed of each source, its items in order."""
-    rows = Q.items(spark, sf).withColumn("item", F.concat(F.lit("<item><title>"), S.escape_xml("title"), F.lit("</title><link>"), S.escape_xml("link"), F.lit("</link><pubDate>"), S.rfc822(F.col("iso_date").cast("timestamp")), F.lit("</pubDate><description>"), S.escape_xml(F.substring("snippet", 1, 200)), F.lit("</description></item>")))
-    body = rows.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]), "").alias("items"))
-    return body.select("source_id", F.lit(200).alias("status"), F.lit("application/rss+xml").alias("content_type"), F.concat(F.lit('<rss version="2.0"><channel>'), F.col("items"), F.lit("</channel></rss>")).alias("body"), F.lit("ok").alias("outcome"))
+def _feed_bodies(spark, sf) -> DataFrame:
+    """A feed of each source, its items in order: RSS 2.0, RSS 1.0 and Atom by the source's number, with marked-up snippets."""
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), S.escape_xml(value), F.lit(f"</{name}>"))
+    at = F.col("iso_date").cast("timestamp")
+    html = F.concat(F.lit("<p class='a'>"), S.escape_xml(F.substring(F.coalesce("snippet", F.lit("")), 1, 200)), F.lit("</p><i></i>&nbsp;"))
+    rows = Q.items(spark, sf).withColumn("kind", F.substring("source_id", 4, 9).cast("int") % 3)
+    own = F.concat(tag("title", F.col("title")), tag("link", F.col("link")), tag("description", html))
+    rss = F.concat(F.lit("<item>"), own, tag("media:title", F.lit("other")), tag("pubDate", S.rfc822(at)), F.lit("</item>"))
+    rdf = F.concat(F.lit("<item rdf:about='x'>"), own, tag("dc:date", F.col("iso_date")), F.lit("</item>"))
+    link = F.concat(F.lit("<link rel='replies' href='https://e.org/r'/><link rel='alternate' href='"), S.escape_xml(F.trim("link")), F.lit("'/><link rel='edit' href='https://e.org/e'/>"))
+    atom = F.concat(F.lit("<entry>"), tag("title", F.col("title")), link, tag("updated", F.col("iso_date")), tag("summary", F.lit("short")), F.lit("<content type='html'>"), S.escape_xml(html), F.lit("</content></entry>"))
+    rows = rows.withColumn("item", F.when(F.col("kind") == 0, rss).when(F.col("kind") == 1, rdf).otherwise(atom))
+    body = rows.groupBy("source_id", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]), "").alias("items"))
+    head = F.when(F.col("kind") == 0, '<rss version="2.0" xmlns:media="urn:m"><channel>').when(F.col("kind") == 1, '<rdf:RDF xmlns="http://purl.org/rss/1.0/" xmlns:rdf="urn:r" xmlns:dc="urn:d"><channel><title>c</title></channel>').otherwise('<feed xmlns="http://www.w3.org/2005/Atom">')
+    tail = F.when(F.col("kind") == 0, "</channel></rss>").when(F.col("kind") == 1, "</rdf:RDF>").otherwise("</feed>")
+    return body.select("source_id", F.lit("ok").alias("outcome"), F.concat(head, "items", tail).alias("body"))
 
 
 def q01(spark, sf):
-    """Feed items from XML."""
-    return I.items(_rss_bodies(spark, sf)).select("source_id", "pos", "title", "link", "pub_date")
+    """Feed items from XML of three kinds."""
+    return I.items(_feed_bodies(spark, sf)).select("source_id", F.col("pos").cast("long").alias("pos"), "title", "link", "pub_date", "iso_date", "snippet")
 
 
 def q02(spark, sf):
@@ -52,11 +63,14 @@ def q20(spark, sf):
     return I.json_answers(rel(spark, sf, _ANSWERS), 9).select("event_id", "ok", "reason")
 
 
-_HOPS = """SELECT event_id % 500 AS chain, CAST(event_id // 500 AS INT) AS hop, CASE WHEN event_id % 37 = 0 THEN 'http://a.example.com/x' WHEN event_id % 41 = 0 THEN 'https://b.example.com/' ELSE 'https://A.example.com/' || CAST(event_id AS STRING) END AS url FROM {events} WHERE event_id < 500 * (1 + event_id % 500 % 8)"""
+#: Chains of one to eight hops out of all events: of every 36 in a row the first is a chain, the next two another, and so on.
+_HOPS = """SELECT event_id - (event_id % 36) + k AS chain, CAST(event_id % 36 - k * (k + 1) / 2 AS INT) AS hop,
+  CASE WHEN event_id % 37 = 0 THEN 'http://a.example.com/x' WHEN event_id % 41 = 0 THEN 'https://b.example.com/' ELSE 'https://A.example.com/' || CAST(event_id AS STRING) END AS url
+  FROM (SELECT event_id, CAST(floor((sqrt(8 * (event_id % 36) + 1) - 1) / 2) AS INT) AS k FROM {events})"""
 
 
 def q20b(spark, sf):
-    return I.redirect_ok(rel(spark, sf, _HOPS.replace("event_id // 500", "floor(event_id / 500)")))
+    return I.redirect_ok(rel(spark, sf, _HOPS))
 
 
 # ---- enrichment ----
@@ -415,7 +429,55 @@ QUERIES = {
 }
 
 _UNITS = "CASE WHEN rcW = 0 THEN 0 ELSE rcW * greatest(1, ceil(bytes / rcW / 8192.0)) END"
+
+
+def _esc(x: str) -> str:
+    """Text for XML."""
+    out = f"regexp_replace({x}, '[^\\x09\\x0A\\x0D\\x20-\\x{{D7FF}}\\x{{E000}}-\\x{{FFFD}}\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')"
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&apos;")):
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+_RFC = "strftime(make_timestamp({ms} * 1000), '%a, %d %b %Y %H:%M:%S GMT')"
+_ISO = "strftime(make_timestamp({ms} * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad(({ms} % 1000)::VARCHAR, 3, '0') || 'Z'"
+_NAMES = ", ".join(f"({k}, '{slug}', '{title}', {'NULL' if low is None else low}, {'NULL' if sec is None else repr(sec)})" for k, (slug, title, low, sec) in enumerate(V.feeds()))
+_FEEDS = f"""fd(k, slug, feed_title, low, sec) AS (VALUES {_NAMES}),
+fi AS (SELECT slug, feed_title, CASE slug WHEN 'all' THEN 'security news' ELSE feed_title END AS said, ed.*, row_number() OVER (PARTITION BY slug ORDER BY published_ms DESC, edition_pos) AS feed_rank FROM ed JOIN fd ON CASE WHEN sec IS NOT NULL THEN sec = section ELSE {LEVEL} >= coalesce(low, 0) END),
+su AS (SELECT name, url AS source_url FROM src)"""
+_LINE6 = "chr(10) || '      "
+_RSS = f"""SELECT slug, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom" xmlns:tw="{K.NAMESPACE}">' || chr(10) || '  <channel>' || chr(10) || '    <title>{_SITE[1]}: ' || {_esc('any_value(said)')} || '</title>' || chr(10)
+  || '    <link>{_SITE[0]}/</link>' || chr(10) || '    <description>{_SITE[2]}</description>' || chr(10) || '    <language>en</language>' || chr(10) || '    <atom:link href="{_SITE[0]}' || CASE slug WHEN 'all' THEN '/feed' ELSE '/feed/' || slug END || '.xml" rel="self" type="application/rss+xml"/>' || chr(10)
+  || '    <lastBuildDate>' || {_RFC.format(ms=NOW)} || '</lastBuildDate>' || chr(10) || '    <ttl>15</ttl>' || chr(10) || '    <generator>{_SITE[1]}</generator>' || chr(10) || string_agg(item, chr(10) ORDER BY feed_rank) || chr(10) || '  </channel>' || chr(10) || '</rss>' || chr(10) AS body FROM (
+SELECT slug, said, feed_rank, '    <item>' || {_LINE6}<title>' || {_esc('title')} || '</title>' || {_LINE6}<link>' || {_esc('url')} || '</link>' || {_LINE6}<guid isPermaLink="true">' || {_esc('url')} || '</guid>' || {_LINE6}<pubDate>' || {_RFC.format(ms='published_ms')} || '</pubDate>'
+  || CASE WHEN summary <> '' THEN {_LINE6}<description>' || {_esc('summary')} || '</description>' ELSE '' END || {_LINE6}<source url="' || {_esc('source_url')} || '">' || {_esc('source')} || '</source>' || {_LINE6}<category domain="{K.NAMESPACE}/section">' || {_esc('section')} || '</category>'
+  || {_LINE6}<category domain="{K.NAMESPACE}/importance">' || importance || '</category>' || array_to_string(list_transform(cves, lambda c: {_LINE6}<category domain="https://nvd.nist.gov/vuln/detail">' || c || '</category>'), '') || {_LINE6}<tw:importance>' || importance || '</tw:importance>'
+  || CASE WHEN importance_reason IS NOT NULL THEN {_LINE6}<tw:reason>' || {_esc('importance_reason')} || '</tw:reason>' ELSE '' END || {_LINE6}<tw:section>' || {_esc('section')} || '</tw:section>' || {_LINE6}<tw:sourceTier>' || {_esc('tier')} || '</tw:sourceTier>' || {_LINE6}<tw:sourceType>' || source_type || '</tw:sourceType>'
+  || array_to_string(list_transform(cves, lambda c: {_LINE6}<tw:cve>' || c || '</tw:cve>'), '') || chr(10) || '    </item>' AS item FROM fi JOIN su ON su.name = fi.source) GROUP BY slug"""
+_J = "to_json({0})::VARCHAR"
+_JSON = f"""SELECT slug, '{{"version":"https://jsonfeed.org/version/1.1","title":' || {_J.format(f"'{_SITE[1]}: ' || any_value(said)")} || ',"home_page_url":"{_SITE[0]}/","feed_url":"{_SITE[0]}' || CASE slug WHEN 'all' THEN '/feed' ELSE '/feed/' || slug END || '.json","description":"{_SITE[2]}","language":"en","_tidewire":{{"about":"{_SITE[0]}/feeds","generated_at":"' || {_ISO.format(ms=NOW)}
+  || '","refresh_seconds":900,"scope":"' || slug || '"}},"items":[' || string_agg(item, ',' ORDER BY feed_rank) || ']}}' AS body FROM (
+SELECT slug, said, feed_rank, '{{"id":' || {_J.format('url')} || ',"url":' || {_J.format('url')} || ',"title":' || {_J.format('title')} || CASE WHEN summary <> '' THEN ',"summary":' || {_J.format('summary')} || ',"content_text":' || {_J.format('summary')} ELSE ',"content_text":' || {_J.format('title')} END
+  || ',"date_published":"' || {_ISO.format(ms='published_ms')} || '","authors":[{{"name":' || {_J.format('source')} || '}}],"tags":' || {_J.format("list_concat([section, importance], cves)")} || ',"_tidewire":{{"source":' || {_J.format('source')} || ',"source_tier":' || {_J.format('tier')} || ',"source_type":' || {_J.format('source_type')} || ',"section":' || {_J.format('section')}
+  || ',"importance":' || {_J.format('importance')} || ',"importance_reason":' || coalesce({_J.format('importance_reason')}, 'null') || ',"cves":' || {_J.format('cves')} || '}}}}' AS item FROM fi) GROUP BY slug"""
+_ITEMS01 = f"""WITH items AS ({A.duck_sql(A.ITEMS)}), x AS (SELECT *, CAST(substr(source_id, 4) AS INT) % 3 AS kind, row_number() OVER (PARTITION BY source_id ORDER BY pos) - 1 AS nth FROM items)
+SELECT source_id, nth AS pos, trim(title) AS title, trim(link) AS link, CASE WHEN kind = 0 THEN {_RFC.format(ms='published_ms')} END AS pub_date, CASE WHEN kind > 0 THEN {_ISO.format(ms='published_ms')} END AS iso_date, {Q._trim("substr(coalesce(snippet, ''), 1, 200)")} AS snippet FROM x"""
+_REPORT = f"""WITH b AS ({A.duck_sql(A.BUDGET)}), s0 AS (SELECT p, count(*) AS lines, count_if(ok = 1) AS ok, count_if(ok = 0) AS fail, sum(rcW)::BIGINT AS rcw, sum({_UNITS})::BIGINT AS units, coalesce(ceil(quantile_cont(bytes, 0.5) FILTER (WHERE ok = 1)), 0)::BIGINT AS mb, sum(cpuMs)::BIGINT AS cpu FROM b GROUP BY p),
+ps(k, p) AS (VALUES {', '.join(f"({k}, '{p}')" for k, p in enumerate(C.PRODUCERS))}), s AS (SELECT k, p, coalesce(lines, 0) AS lines, coalesce(ok, 0) AS ok, coalesce(fail, 0) AS fail, coalesce(rcw, 0) AS rcw, coalesce(units, 0) AS units, coalesce(mb, 0) AS mb, coalesce(cpu, 0) AS cpu FROM ps LEFT JOIN s0 USING (p)),
+w AS ({A.duck_sql(A.POLLS)}), o AS (SELECT from_ms AS s, to_ms AS e, max(to_ms) OVER (ORDER BY from_ms, to_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM w WHERE to_ms > from_ms), i AS (SELECT s, e, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o),
+c AS (SELECT (SELECT sum(d) FROM (SELECT max(e) - min(s) AS d FROM i GROUP BY k)) / 60000.0 AS c, (greatest(max(to_ms), min(from_ms) + 86400000) - min(from_ms)) / 60000.0 AS w FROM w),
+m AS (SELECT ceil(ceil(quantile_cont(bytes, 0.5) FILTER (WHERE ok = 1 AND p = 'edition')) / 8192.0) AS ed, ceil(ceil(quantile_cont(bytes, 0.5) FILTER (WHERE ok = 1 AND p = 'kev')) / 8192.0) AS kv, count_if(p = 'render') AS n, sum(greatest(0, rcR - 2)) FILTER (WHERE p = 'render') AS more FROM b), r AS (SELECT count(*) AS miss FROM events WHERE event_type = 'purchase' AND event_id % 5 IN (0, 1) AND event_id % 4 IN (0, 1)),
+mt AS (SELECT 12 AS line, 'writes' AS name, (SELECT sum(units) FROM s)::DOUBLE AS t, 200000 AS most UNION ALL SELECT 13, 'reads', (SELECT n * (ed + kv) + more + miss * ed FROM m, r), 1000000 UNION ALL SELECT 14, 'compose cpu ms', (SELECT cpu FROM s WHERE p = 'edition'), 14400000)
+SELECT line::INTEGER AS line, text FROM (
+SELECT 0 AS line, printf('coverage: %d/%d min (%.1f%%)', round(c)::BIGINT, round(w)::BIGINT, c / w * 100) AS text FROM c UNION ALL VALUES (1, ''), (2, '| producer | lines/day | ok/fail | write ops/day | write units/day | median bytes | cpu s/day |'), (3, '| --- | ---: | ---: | ---: | ---: | ---: | ---: |'), (9, ''), (10, '| meter | measured per day | projected 30-day month | allotment | % of allotment | status |'), (11, '| --- | ---: | ---: | ---: | ---: | --- |'), (15, ''), (16, 'write split by producer (units):')
+UNION ALL SELECT 4 + k, printf('| %s | %.1f | %d/%d | %.1f | %.1f | %d | %.1f%s |', p, lines * 1440 / c, ok, fail, rcw * 1440 / c, units * 1440 / c, mb, cpu * 1440 / c / 1000, CASE p WHEN 'ssvc' THEN ' (overlapping, not summed)' ELSE '' END) FROM s, c
+UNION ALL SELECT line, printf('| %s | %.1f | %s | %s | %.1f%% | %s |', name, t * 1440 / c, format('{{:,}}', round(t * 1440 / c * 30)::BIGINT), format('{{:,}}', most::BIGINT), t * 1440 / c * 30 / most * 100, CASE WHEN t * 1440 * 30 > c * most THEN 'OVER-100' WHEN t * 1440 * 30 * 100 > c * most * 60 THEN 'OVER-60' ELSE 'OK' END) FROM mt, c
+UNION ALL SELECT 17 + k, printf('- %s: %.1f%%', p, units * 100.0 / (SELECT sum(units) FROM s)) FROM s WHERE p <> 'render')"""
 ORACLES = {
+    "q01_feed_items": _ITEMS01,
+    "q31_rss": chain(*TO_EDITION, _FEEDS) + _RSS,
+    "q32_json_feed": chain(*TO_EDITION, _FEEDS) + _JSON,
+    "q45_report": _REPORT,
     "q22_epss_urls": f"WITH {_EPSS_SQL} SELECT batch, 'https://scores.example.org/epss?cve=' || string_agg(cve, ',' ORDER BY cve) || '&limit=100' AS url FROM b WHERE batch IS NOT NULL GROUP BY batch",
     "q38_mark_shown": f"WITH {_VIEW} SELECT user_id, article AS article_id, kind, at_ms FROM lm UNION ALL SELECT user_id, id, 'read', {NOW + 2} FROM vw WHERE ok AND NOT r AND (len(sections) = 0 OR list_contains(sections, section))",
     "q41_read_rows": "SELECT CASE WHEN event_id % 9 = 0 THEN '-' WHEN event_id % 7 = 0 THEN 'other' ELSE 'budget' END AS k, event_id % 9 <> 0 AND event_id % 7 <> 0 AS valid, count(*) AS n FROM events GROUP BY ALL",

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
+from tidewire.operators.edition import Rejected
 from tidewire.plans.store import new_path
 
 
@@ -17,27 +20,39 @@ def capture(rows: DataFrame, out: str, checkpoint: str, delay: str = "72 hours")
     return fresh.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def refresh(items: DataFrame, compose: Callable[[DataFrame], DataFrame], versions: str, checkpoint: str) -> StreamingQuery:
-    """Renew the edition with each batch of a stream: composed and admitted, written as a new version, and only then pointed to.
+def _trigger(seconds: int | None) -> dict:
+    return {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
 
-    A batch whose edition is not admitted leaves the last good version in place.
+
+def refresh(items: DataFrame, compose: Callable[[DataFrame], DataFrame], versions: str, checkpoint: str, every: int | None = None, keep: int | None = None) -> StreamingQuery:
+    """Renew the edition with each batch of a stream, as a whole: composed of the items of this batch and of those before.
+
+    Items are kept batch by batch, the newest `keep` of them if given (as many as the longest lookback spans at a refresh `every` so many
+    seconds; without `every` what is there is read once). An edition is written in a folder of its own and then pointed to by one more
+    row of `current`, so a reader finds the last whole version at any moment, and a batch that is run again replaces nothing.
+    A batch whose edition is rejected leaves the last good version in place.
     """
 
     def renew(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{versions}/items/batch={number}")
+        since = 0 if keep is None else max(0, number - keep + 1)
+        whole = spark.read.schema(StructType([*batch.schema.fields, StructField("batch", LongType())])).parquet(f"{versions}/items").where(F.col("batch").between(since, number)).drop("batch")
         try:
-            edition = compose(batch)
-        except ValueError:
+            edition = compose(whole)
+        except Rejected:
             return
-        edition.write.mode("overwrite").parquet(f"{versions}/v{number:09d}")
-        batch.sparkSession.createDataFrame([(number,)], "version long").coalesce(1).write.mode("overwrite").json(f"{versions}/current")
+        name = f"v{number:09d}-{uuid.uuid4().hex}"
+        edition.write.parquet(f"{versions}/{name}")
+        spark.createDataFrame([(number, name)], "version long, name string").coalesce(1).write.mode("append").json(f"{versions}/current")
 
-    return items.writeStream.foreachBatch(renew).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return items.writeStream.foreachBatch(renew).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
 
 
 def current(spark: SparkSession, versions: str) -> DataFrame:
-    """The edition that is pointed to."""
-    number = spark.read.json(f"{versions}/current").first()["version"]
-    return spark.read.parquet(f"{versions}/v{number:09d}")
+    """The newest edition that is pointed to."""
+    name = spark.read.schema("version long, name string").json(f"{versions}/current").agg(F.max(F.struct("version", "name")).alias("m")).first()["m"]["name"]
+    return spark.read.parquet(f"{versions}/{name}")
 
 
 def run_capture(spark: SparkSession, rows: DataFrame) -> DataFrame:
