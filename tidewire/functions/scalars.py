@@ -28,22 +28,61 @@ def trim(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(C.SPACES))
 
 
-def keyword(word: str) -> str:
-    """A pattern for a keyword: whole words, an optional plural ending; `re:` marks a pattern. \\b is for the engine to fit."""
+def keyword(word: str) -> tuple[str, str, str]:
+    """What a keyword's pattern has before, within and after it: whole words, an optional plural ending; `re:` marks a pattern. \\b is for the engine to fit."""
     if word.startswith("re:"):
-        return rf"\b{word[3:]}\b"
+        return r"\b", f"(?:{word[3:]})", r"\b"
     head = r"\b" if re.match(r"\w", word, re.A) else ""
     tail = r"(?:e?s)?\b" if re.search(r"\w$", word, re.A) else ""
-    return head + re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", word) + tail
+    return head, re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", word), tail
 
 
 def section_pattern(section: str) -> str:
-    return "(?i)" + "|".join(keyword(w) for w in C.KEYWORDS[section])
+    """A section's keywords; those of the same kind share their boundary, which is then looked at once for each place of a text."""
+    kinds: dict[tuple[str, str], list[str]] = {}
+    for head, body, tail in map(keyword, C.KEYWORDS[section]):
+        kinds.setdefault((head, tail), []).append(body)
+    return "(?i)" + "|".join(f"{head}(?:{'|'.join(bodies)}){tail}" for (head, tail), bodies in kinds.items())
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern, outside of groups and classes."""
+    out, depth, in_class, start, i = [], 0, False, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*out, pattern[start:]]
 
 
 def java(pattern: str) -> str:
-    """The pattern with boundaries of ASCII words."""
-    return pattern.replace(r"\b", BOUNDARY)
+    """The pattern with boundaries of ASCII words, for texts in which it is looked for.
+
+    Alternatives between two boundaries, which begin and end with a character of a word, share them: the one before is then that no such
+    character stands before, the one after that none follows, and each is looked at once for a place.
+    """
+    flag = "(?i)" if pattern.startswith("(?i)") else ""
+    whole, rest = [], []
+    for x in _alternatives(pattern.removeprefix(flag)):
+        if x.startswith(r"\b") and x.endswith(r"\b") and r"\b" not in x[2:-2]:
+            whole.append(x[2:-2])
+        elif x.startswith(r"\b") and r"\b" not in x[2:]:
+            rest.append(f"(?<![{_WORD}])" + x[2:])
+        else:
+            rest.append(x.replace(r"\b", BOUNDARY))
+    if whole:
+        rest.insert(0, f"(?<![{_WORD}])(?:{'|'.join(whole)})(?![{_WORD}])")
+    return flag + "|".join(rest)
 
 
 def _first(c: Column, tried: list[tuple[str, str]]) -> Column:

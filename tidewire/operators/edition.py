@@ -125,7 +125,9 @@ def derive(articles: DataFrame) -> DataFrame:
 def ranked(articles: DataFrame, now_ms: int) -> DataFrame:
     """Score of each article and its rank in its section."""
     rows = articles.withColumn("score", S.score(tier_weight(), "published_ms", now_ms)).withColumn("section_pos", section_pos())
-    return ranked_within(rows, "section_pos", [F.desc("score"), F.col("idx")])
+    rows = save(rows, "derived")  # dealing by range samples its input, which is then not derived twice
+    places = ranked_within(rows.select("idx", "section_pos", "score"), "section_pos", [F.desc("score"), F.col("idx")])
+    return rows.join(places.select("idx", "rank"), "idx")
 
 
 def compose(windowed: DataFrame, now_ms: int) -> DataFrame:

@@ -24,8 +24,9 @@ def feeds_df(spark) -> DataFrame:
 def feed_items(edition: DataFrame, variants: DataFrame) -> DataFrame:
     """Articles of each feed, newest first, ties in the order of the edition (feed_rank). The feeds are ten rows."""
     level = S.importance_rank("importance")
-    rows = edition.join(F.broadcast(variants), F.coalesce(F.col("feed_section") == F.col("section"), level >= F.coalesce("min_rank", F.lit(0))))
-    return ranked_within(rows, "slug", [F.desc("published_ms"), F.col("edition_pos")], "feed_rank")
+    slim = edition.select("edition_pos", "published_ms", "section", "importance").join(F.broadcast(variants), F.coalesce(F.col("feed_section") == F.col("section"), level >= F.coalesce("min_rank", F.lit(0))))
+    places = ranked_within(slim.select("slug", "feed_title", "edition_pos", "published_ms"), "slug", [F.desc("published_ms"), F.col("edition_pos")], "feed_rank")
+    return edition.join(places.drop("published_ms"), "edition_pos")
 
 
 def section_plan(edition: DataFrame) -> DataFrame:
