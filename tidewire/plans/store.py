@@ -41,9 +41,10 @@ def tasks(spark: SparkSession, size: float = 0) -> int:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Bytes of `df` as the optimizer estimates them (compressed ones of files); 0 where it knows nothing."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 0
+    """Bytes of all that `df` is made of, by the statistics of its sources (compressed ones of files); those that have none count 0."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
