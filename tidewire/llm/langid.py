@@ -28,8 +28,8 @@ FIT_DOCS, FIT_SYMBOLS = 80, 40_000
 MODEL_SYMBOLS = 2_000_000
 #: Bytes that a model may take when it is broadcast; one that takes more is an error.
 MODEL_BYTES = 512 << 20
-#: Symbols of a lane, which all are read in step.
-LANE = 512
+#: Symbols of a lane, which all are read in step; languages that are read at once, and symbols times languages.
+LANE, GROUP, AT_ONCE = 512, 8, 16 << 20
 
 #: Symbols: 0 what isn't a letter, 1 to 26 letters, 27 and up bytes of non-ASCII characters.
 SYMBOLS = 27 + 128
@@ -82,9 +82,9 @@ def automaton(text: np.ndarray) -> list[dict[int, int]]:
 
 
 class Model:
-    """Automata of all languages as arrays. Most states have one way on: its symbol is in `only`, and where it leads in `then`.
+    """Automata of all languages as arrays. Most states have one way on: `only` is its symbol, and `link` where it leads.
 
-    The others have a row of `ways`, a column for each symbol; `row` is a state's row, 0 (no way on) for most.
+    States of more ways have -1 there, and `link` is their row of `ways`, which has a column for each symbol; those of none have -2.
     """
 
     def __init__(self, samples: dict[str, np.ndarray]):
@@ -93,87 +93,110 @@ class Model:
         self.width = len(seen) + 1
         self.column = np.full(SYMBOLS, self.width - 1, np.int16)  # the last column: a symbol that no language has
         self.column[seen] = np.arange(len(seen))
-        self.roots, only, then, row, ways, base, rows = [], [], [], [], [np.zeros((1, self.width), np.int32)], 0, 1
+        roots, only, link, ways, base, rows = [], [], [], [], 0, 0
         for lang in self.langs:
             go = automaton(samples[lang])
-            many = np.array([len(g) > 1 for g in go])
-            one = np.flatnonzero([len(g) == 1 for g in go])
-            only.append(np.full(len(go), -1, np.int16))
-            then.append(np.zeros(len(go), np.int32))
-            only[-1][one] = self.column[[next(iter(go[q])) for q in one]] if len(one) else 0
-            then[-1][one] = [next(iter(go[q].values())) + base for q in one]
-            row.append(np.where(many, rows + np.cumsum(many) - 1, 0).astype(np.int32))
-            table = np.zeros((int(many.sum()), self.width), np.int32)
-            for k, q in enumerate(np.flatnonzero(many).tolist()):
+            size = np.array([len(g) for g in go])
+            one, many = np.flatnonzero(size == 1), np.flatnonzero(size > 1)
+            only.append(np.where(size > 1, -1, -2).astype(np.int16))
+            link.append(np.zeros(len(go), np.int32))
+            if len(one):
+                only[-1][one] = self.column[[next(iter(go[q])) for q in one]]
+                link[-1][one] = [next(iter(go[q].values())) + base for q in one]
+            link[-1][many] = rows + np.arange(len(many))
+            table = np.zeros((len(many), self.width), np.int32)
+            for k, q in enumerate(many.tolist()):
                 table[k, self.column[list(go[q])]] = np.fromiter(go[q].values(), np.int64, len(go[q])) + base
             ways.append(table)
-            self.roots.append(base)
+            roots.append(base)
             base += len(go)
             rows += len(table)
-        self.only, self.then, self.row = (np.concatenate(x) if x else np.zeros(1, np.int32) for x in (only, then, row))
-        self.ways = np.concatenate(ways).ravel()
+        self.roots = np.array(roots, np.int32)
+        self.only, self.link = (np.concatenate(x) if x else np.zeros(1, np.int32) for x in (only, link))
+        self.ways = np.concatenate([*ways, np.zeros((1, self.width), np.int32)]).ravel()
         self.bits = np.array([math.log2(max(2, len(samples[lang]))) for lang in self.langs])
 
     @property
     def nbytes(self) -> int:
-        return sum(x.nbytes for x in (self.only, self.then, self.row, self.ways))
+        return sum(x.nbytes for x in (self.only, self.link, self.ways))
 
     def _on(self, state: np.ndarray, col: np.ndarray) -> np.ndarray:
         """The states after a symbol; 0: no way on."""
-        far = self.ways[self.row[state].astype(np.int64) * self.width + col]
-        return np.where(self.only[state] == col, self.then[state], far)
-
-    def _read(self, root: int, col: np.ndarray, start: np.ndarray, length: np.ndarray, entry: np.ndarray, states: np.ndarray, begins: np.ndarray, again: bool) -> None:
-        """Read lanes in step from their entry states: the state after each symbol, and whether a phrase begins at it, go where they belong.
-
-        Read `again`, a lane ends where its state is the one already there: from there on nothing changes.
-        """
-        state, j = entry.copy(), 0
-        while len(start):
-            at = start + j
-            c = col[at]
-            now = self._on(state, c)
-            stop = now == 0
-            fresh = stop | (state == root)  # no way on, or a symbol before that the language doesn't have
-            if stop.any():
-                first = self._on(np.full(int(stop.sum()), root), c[stop])
-                now[stop] = np.where(first == 0, root, first)
-            j += 1
-            live = length > j
-            if again:
-                live &= states[at] != now
-            states[at], begins[at] = now, fresh
-            if not live.all():
-                start, length, now = start[live], length[live], now[live]
-            state = now
+        only, link = self.only.take(state), self.link.take(state)
+        now = np.where(only == col, link, np.int32(0))
+        many = np.flatnonzero(only == -1)
+        now[many] = self.ways.take(link.take(many).astype(np.int64) * self.width + col.take(many))
+        return now
+
+    def _step(self, state: np.ndarray, root: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after a symbol, and whether a phrase begins at it: no way on, or a symbol before that the language doesn't have."""
+        now = self._on(state, col)
+        stop = np.flatnonzero(now == 0)
+        begins = state == root
+        if len(stop):
+            begins[stop] = True
+            first = self._on(root.take(stop), col.take(stop))
+            now[stop] = np.where(first == 0, root.take(stop), first)
+        return now, begins
 
     def phrases(self, sym: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) by each language (columns)."""
         n = len(off) - 1
         out = np.zeros((n, len(self.langs)), np.int64)
-        col = self.column[sym]
         lanes = -(-np.diff(off) // LANE)
+        count = int(lanes.sum())
+        if not count:
+            return out
         text = np.repeat(np.arange(n), lanes)
-        nth = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        nth = np.arange(count) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         start = off[:-1][text] + nth * LANE
         length = np.minimum(LANE, off[1:][text] - start)
-        states, begins = np.zeros(len(sym), np.int32), np.zeros(len(sym), bool)
-        later = np.flatnonzero(nth > 0)
-        for k, root in enumerate(self.roots):
-            entry = np.full(len(start), root, np.int32)
-            self._read(root, col, start, length, entry, states, begins, False)
-            todo = later
-            while len(todo):
-                real = states[start[todo] - 1]
-                new = real != entry[todo]
-                todo, real = todo[new], real[new]
-                entry[todo] = real
-                self._read(root, col, start[todo], length[todo], real, states, begins, True)
-                todo = todo + 1  # only the lanes after those that were read again can have another entry
-                todo = todo[todo < len(start)]
-                todo = todo[nth[todo] > 0]
-            total = np.concatenate([[0], np.cumsum(begins)])
-            out[:, k] = total[off[1:]] - total[off[:-1]]
+        order = np.argsort(-length, kind="stable")  # the longest first, so that the lanes still read are always the first ones
+        place = np.empty(count, np.int64)
+        place[order] = np.arange(count)
+        before = np.full(count, -1)
+        before[place[nth > 0]] = place[np.flatnonzero(nth > 0) - 1]
+        long = int(length.max())
+        cols = np.zeros((long, count), np.int16)
+        inner = np.arange(len(sym)) - np.repeat(start, length)
+        cols.ravel()[inner * count + np.repeat(place, length)] = self.column[sym]
+        length, text = length[order], text[order]
+        active = np.searchsorted(-length, -np.arange(1, long + 1), "right")
+        later = np.flatnonzero(before >= 0)
+        step = max(1, min(GROUP, AT_ONCE // len(sym)))  # a very long text is a piece of its own: fewer languages at once
+        for g in range(0, len(self.roots), step):
+            roots = self.roots[g : g + step]
+            k = len(roots)
+            states, begins = np.zeros((long, count, k), np.int32), np.zeros((long, count, k), bool)
+            entry = np.tile(roots, (count, 1))
+            state, root = entry.ravel(), np.tile(roots, count)
+            for j in range(long):
+                m = int(active[j])
+                state, fresh = self._step(state[: m * k], root[: m * k], np.repeat(cols[j, :m], k))
+                states[j, :m], begins[j, :m] = state.reshape(m, k), fresh.reshape(m, k)
+            lane, lang = np.repeat(later, k), np.tile(np.arange(k), len(later))
+            follows = np.full(count, -1)
+            follows[before[later]] = later
+            while len(lane):
+                real = states[LANE - 1, before[lane], lang]
+                new = real != entry[lane, lang]
+                lane, lang, state = lane[new], lang[new], real[new]
+                entry[lane, lang] = state
+                li, la = lane, lang
+                for j in range(long):
+                    live = length[li] > j
+                    li, la, state = li[live], la[live], state[live]
+                    if not len(li):
+                        break
+                    state, fresh = self._step(state, roots[la], cols[j, li])
+                    differs = states[j, li, la] != state  # from an equal state on nothing changes
+                    states[j, li, la], begins[j, li, la] = state, fresh
+                    li, la, state = li[differs], la[differs], state[differs]
+                lane = follows[lane]  # only the lanes after those that were read again can have another entry
+                lang, lane = lang[lane >= 0], lane[lane >= 0]
+            each = begins.sum(axis=0)
+            for i in range(k):
+                out[:, g + i] = np.bincount(text, each[:, i], n)
         return out
 
 
@@ -233,7 +256,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for rb in batches:
-            for i, j, buf, off in X.pieces(rb, text):
+            for i, j, buf, off in X.pieces(rb, text, 2 << 20):
                 said, score = ["und"] * (j - i), np.zeros(j - i)
                 if m.langs:
                     sym, at = symbols(buf, off)
