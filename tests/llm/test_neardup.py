@@ -90,7 +90,7 @@ def test_template_copies_each_text_a_bounded_number_of_times(spark, make, prose,
     monkeypatch.setattr(D, "BLOCK", 16)
     monkeypatch.setattr(D, "PAIRS", 4)
     read, whole = [], D.verify
-    monkeypatch.setattr(D, "verify", lambda members: read.append(members.count()) or whole(members))
+    monkeypatch.setattr(D, "verify", lambda members, size: read.append(members.count()) or whole(members, size))
     rows = templated(prose, 1500)
     assert got(make(rows)) == brute(rows)
     _, trees = D.fine(len(rows) // 16)

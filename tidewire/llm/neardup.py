@@ -204,8 +204,8 @@ def _confirmed(keys: list[int], sets: list[np.ndarray], similar: int = SIMILAR)
     return out
 
 
-def verify(members: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) within each group of `members` (grp, skey, text), on full shingle sets."""
+def verify(members: DataFrame, size: float = 0) -> DataFrame:
+    """Confirmed links (a, b) within each group of `members` (grp, skey, text; `size` bytes, about), on full shingle sets."""
 
     def links(rows: list[tuple[int, bytes | None]]):
         seen: dict[int, bytes] = {}
@@ -230,7 +230,7 @@ def verify(members: DataFrame) -> DataFrame:
         if (made := links(rows)) is not None:
             yield made
 
-    n = tasks(members.sparkSession, 3 * plan_bytes(members))
+    n = tasks(members.sparkSession, size)
     return members.select("grp", "skey", "text").repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
 
 
@@ -285,19 +285,21 @@ def confirmed(held: DataFrame, where: DataFrame) -> DataFrame:
     """
     every = F.sequence(F.lit(0), F.col("nb") - 1)
     inside = held.withColumn("b", F.explode(F.when(F.col("skey") == F.col("root"), every).otherwise(F.array("b"))))
-    links = save(verify(inside.select("skey", "text", F.xxhash64("root", "b").alias("grp"))), "confirmed")
+    size = 4.0 * plan_bytes(held)  # as files it is compressed to about a quarter
+    each = size / max(1, held.count())
+    links = save(verify(inside.select("skey", "text", F.xxhash64("root", "b").alias("grp")), 2 * size), "confirmed")
     parts = components(links)
     most = where.agg(F.max("nb")).first()[0] or 1
     if most > 1:
         pairs = save(_blocked(where.where(f"nb > 1 and nb <= {PAIRS}").select("skey", F.col("root").alias("grp")), parts), "pairs")
         if not pairs.isEmpty():
-            links = links.unionByName(save(verify(held.select("skey", "text").join(pairs, "skey")), "confirmed"))
+            links = links.unionByName(save(verify(held.select("skey", "text").join(pairs, "skey"), each * pairs.count()), "confirmed"))
             parts = components(links)
     depth, trees = fine(most)
     for first in range(0, trees if most > PAIRS else 0, FINE_ROUND):
         regions = save(_blocked(_fine(held.where(f"nb > {PAIRS}"), depth, first, min(trees, first + FINE_ROUND)), parts), "pairs")
         if not regions.isEmpty():
-            links = links.unionByName(save(verify(held.select("skey", "text").join(regions, "skey")), "confirmed"))
+            links = links.unionByName(save(verify(held.select("skey", "text").join(regions, "skey"), each * regions.count()), "confirmed"))
             parts = components(links)
     return parts
 
