@@ -150,5 +150,38 @@ def test_sinks(spark):
     assert spark.read.text(path).count() > 10
 
 
+def test_scratch_is_deleted(spark):
+    from pathlib import Path
+
+    from tidewire.operators.graph import components
+    from tidewire.plans import store
+
+    with store.scratch(spark):
+        kept = store.save(spark.range(5), "kept")
+        rows = components(spark.createDataFrame([(k, k + 1) for k in range(50)], "a long, b long")).count()
+        mine = [Path(x.removeprefix("file://")) for x in store._WRITTEN]
+        assert rows == 51 and kept.count() == 5 and sum(x.name.startswith("links") for x in mine if x.exists() and x in mine[-2:]) == 1
+    assert not any(x.exists() for x in mine[-2:])
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from tidewire.plans import store
+
+    class Conf:
+        def __init__(self, **have):
+            self.have = have
+
+        def get(self, key, default=None):
+            return self.have.get(key, default)
+
+    class Session:
+        conf = Conf(**{"spark.master": "spark://h:7077"})
+
+    with pytest.raises(ValueError):
+        store.shared_dir(Session())
+    Session.conf = Conf(**{"spark.master": "spark://h:7077", "spark.checkpoint.dir": "hdfs:///x"})
+    assert store.shared_dir(Session()) == "hdfs:///x"
+
+
 def test_fresh_names(spark):
     assert fresh(spark.createDataFrame([(1, 2)], "a int, _A int"), "a", "b", "a") == ["__a", "b", "___a"]

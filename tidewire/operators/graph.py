@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidewire.plans.store import save
+from tidewire.plans.store import discard, save
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(v, root) of every vertex that has an edge in `edges` (a, b: long); root is the least vertex of its component.
 
     Alternates large and small stars. Each half-step is a pre-aggregated minimum and a join that adaptive
-    execution can split, so a hub of any degree meets no single task. Each round is written to the shared folder.
+    execution can split, so a hub of any degree meets no single task. Each round is written to the shared folder, and then the one before is deleted.
     Null ends and self links are ignored.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct()
@@ -34,7 +34,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         m = _least(large)
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        done = e
         e, now = _saved(small)
+        discard(done)  # no later round reads it
         if now == last:
             break
         last = now

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +34,37 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it again; survives the loss of any executor."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+#: Folders that `save` wrote and nothing discarded, in order.
+_WRITTEN: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
+def discard(saved: DataFrame) -> None:
+    """Delete what `save` wrote, where nothing that is still to be computed reads it."""
+    _delete(saved.sparkSession, saved._written_to)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all that `save` wrote within it: results are to be written or collected before."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in [x for x in _WRITTEN if x not in before]:
+            _delete(spark, path)
 
 
 def tasks(spark: SparkSession, size: float = 0) -> int:
