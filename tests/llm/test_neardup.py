@@ -53,6 +53,19 @@ def test_hard_texts(spark, make, hard):
     assert got(make(hard)) == brute(hard)
 
 
+def test_many_copies_of_a_row(spark, make, prose):
+    rows = [(1, prose(1))] * 300 + [(2, edited(prose(1), 0.01, 1))] * 200 + [(3, prose(2))] * 100
+    assert got(make(rows)) == brute_by_text(rows)
+    assert D.deduplicated(make(rows)).count() == 2
+
+
+def brute_by_text(rows):
+    """Brute force over the distinct rows, for each of the rows."""
+    one = sorted(set(rows))
+    of = dict(zip(one, [(i, n, c) for i, n, c in brute(one)], strict=True)) if len({r[0] for r in one}) == len(one) else None
+    return sorted((of[r] for r in rows), key=str)
+
+
 def test_kept_is_one_of_each_group(spark, make, prose):
     rows = [(i, edited(prose(i // 5), 0.01, i)) for i in range(50)]
     kept = D.deduplicated(make(rows))

@@ -207,10 +207,7 @@ def _confirmed(keys: list[int], sets: list[np.ndarray], similar: int = SIMILAR)
 def verify(members: DataFrame, size: float = 0) -> DataFrame:
     """Confirmed links (a, b) within each group of `members` (grp, skey, text; `size` bytes, about), on full shingle sets."""
 
-    def links(rows: list[tuple[int, bytes | None]]):
-        seen: dict[int, bytes] = {}
-        for k, t in rows:
-            seen.setdefault(k, t or b"")
+    def links(seen: dict[int, bytes]):
         if len(seen) < 2:
             return None
         buf = np.frombuffer(b"".join(seen.values()), np.uint8)
@@ -219,14 +216,14 @@ def verify(members: DataFrame, size: float = 0) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"]) if found else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, rows = None, {}
         for rb in batches:
             for g, k, t in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 if g != now:
                     if (made := links(rows)) is not None:
                         yield made
-                    now, rows = g, []
-                rows.append((k, t))
+                    now, rows = g, {}
+                rows.setdefault(k, t or b"")  # a repeated row is held once
         if (made := links(rows)) is not None:
             yield made
 
