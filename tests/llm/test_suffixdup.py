@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewire.llm import suffixdup as D
 
@@ -76,6 +77,15 @@ def test_repeated_rows_stay_in_proportion(spark, make, prose):
     assert found[400] <= found[50] <= len(t)
 
 
+def test_rows_of_the_same_half_hash_are_told_apart(spark, make, prose, monkeypatch):
+    whole = D._row
+    monkeypatch.setattr(D, "_row", lambda key, text: (F.lit(7).cast("long").alias("th"), whole(key, text)[1]))
+    a, b = prose(1, 100), prose(2, 100)
+    check(spark, make, [(1, a), (2, b + a[100:350] + b[:150]), (3, prose(3, 200)), (4, prose(4, 60)), (5, prose(5, 300)), (6, "x" + b[5:300])])
+    monkeypatch.setattr(D, "HOT", 1)
+    check(spark, make, [(1, a), (2, b + a[100:350] + b[:150]), (3, prose(3, 200)), (4, a[:260]), (5, prose(5, 300))])
+
+
 def test_stretches_choose_the_same_anchors(monkeypatch):
     r = np.random.default_rng(3)
     buf = r.integers(97, 101, 30_000, dtype=np.uint8)
@@ -123,9 +133,9 @@ def test_front_coding_round_trip():
         left[i, : llen[i]] = r.integers(97, 99, llen[i])
     by = D._order(right)
     right, rlen, left, llen = right[by], rlen[by], left[by], llen[by]
-    lcp, r2, l2, th, pos, said, left2 = D.decode(D.encode(right, rlen, left, llen, np.arange(50), np.arange(50)))
+    lcp, r2, l2, th, tb, pos, said, left2 = D.decode(D.encode(right, rlen, left, llen, np.arange(50), np.arange(50) * 7, np.arange(50)))
     assert said == [bytes(x[:n]) for x, n in zip(right, rlen, strict=True)]
-    assert (left2 == left).all() and (r2 == rlen).all() and (l2 == llen).all() and (pos == np.arange(50)).all()
+    assert (left2 == left).all() and (r2 == rlen).all() and (l2 == llen).all() and (pos == np.arange(50)).all() and (th == pos).all() and (tb == 7 * pos).all()
 
 
 @pytest.mark.parametrize("seed", range(8))

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import _text as X
@@ -100,12 +100,16 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(did, th, text): rows are told apart by id and a hash of id and text."""
-    return docs.select(F.col(key).cast("long").alias("did"), F.xxhash64(F.col(key), F.col(text)).alias("th"), F.col(text).alias("text"))
+    """(did, th, tb, text): rows are told apart by 128 bits of hash of id and text. Half of them suffices to find places, for what is found there is compared byte by byte."""
+    return docs.select(F.col(key).cast("long").alias("did"), *_row(key, text), F.col(text).alias("text"))
 
 
-def _asked(fp: np.ndarray, fp2: np.ndarray, who: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """(pk, pk2, th, pos, m) of a batch's fingerprints, so that each is asked for once: m is -1 for a place that is known to repeat
+def _row(key: str, text: str) -> tuple[Column, Column]:
+    return F.xxhash64(F.col(key), F.col(text)).alias("th"), F.xxhash64(F.lit("second"), F.col(text), F.col(key)).alias("tb")
+
+
+def _asked(fp: np.ndarray, fp2: np.ndarray, who: np.ndarray, whob: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """(pk, pk2, th, tb, pos, m) of a batch's fingerprints, so that each is asked for once: m is -1 for a place that is known to repeat
     within the batch, 1 for one that asks, and the number of its places for the one that stands for a known fingerprint."""
     order = np.lexsort((fp2, fp))
     f, g = fp[order], fp2[order]
@@ -115,10 +119,10 @@ def _asked(fp: np.ndarray, fp2: np.ndarray, who: np.ndarray, pos: np.ndarray) ->
     known = np.repeat(size > 1, size) if len(f) else first
     rows = np.concatenate([order[known], order[at]])
     m = np.concatenate([np.full(int(known.sum()), -1), size]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(fp[rows].view(np.int64)), pa.array(fp2[rows].view(np.int64)), pa.array(who[rows]), pa.array(pos[rows].astype(np.int32)), pa.array(m)], names=["pk", "pk2", "th", "pos", "m"])
+    return pa.RecordBatch.from_arrays([pa.array(fp[rows].view(np.int64)), pa.array(fp2[rows].view(np.int64)), pa.array(who[rows]), pa.array(whob[rows]), pa.array(pos[rows].astype(np.int32)), pa.array(m)], names=["pk", "pk2", "th", "tb", "pos", "m"])
 
 
-_ASKED = "pk long, pk2 long, th long, pos int, m int"
+_ASKED = "pk long, pk2 long, th long, tb long, pos int, m int"
 
 
 def _fingerprints(rows: DataFrame) -> DataFrame:
@@ -136,34 +140,36 @@ def _fingerprints(rows: DataFrame) -> DataFrame:
                 pos.append(at - off[d])
             if fps:
                 fp = np.concatenate(fps)
-                yield _asked(fp, np.zeros_like(fp), np.concatenate(who), np.concatenate(pos))
+                yield _asked(fp, np.zeros_like(fp), np.concatenate(who), np.zeros(len(fp), np.int64), np.concatenate(pos))
 
     return rows.select("th", "text").mapInArrow(run, _ASKED)
 
 
 def _repeated(asked: DataFrame, hot: int, n: int) -> DataFrame:
-    """(th, pos, fp) of the places whose fingerprint comes at least twice, and a row without a place for each fingerprint of over `hot` places.
+    """(th, tb, pos, fp) of the places whose fingerprint comes at least twice, and a row without a place for each fingerprint of over `hot` places.
 
     At most one row of a fingerprint comes from each batch; known places don't travel to where their fingerprint is settled.
     """
 
+    names = ["th", "tb", "pos", "fp"]
+
     def settled(c: list[np.ndarray]) -> pa.RecordBatch:
-        pk, pk2, th, pos, m = c
+        pk, pk2, th, tb, pos, m = c
         first = np.concatenate([[True], (pk[1:] != pk[:-1]) | (pk2[1:] != pk2[:-1])])
         at = np.flatnonzero(first)
         size = np.diff(np.concatenate([at, [len(pk)]]))
         keep = np.repeat(size > 1, size) & (m == 1)
         over = pk[at[np.add.reduceat(m.astype(np.int64), at) > hot]]
-        n = len(over)
-        return pa.RecordBatch.from_arrays([pa.array([*th[keep].tolist(), *[None] * n], pa.int64()), pa.array([*pos[keep].tolist(), *[None] * n], pa.int32()), pa.array(np.concatenate([pk[keep], over]))], names=["th", "pos", "fp"])
+        none = [None] * len(over)
+        return pa.RecordBatch.from_arrays([pa.array([*th[keep].tolist(), *none], pa.int64()), pa.array([*tb[keep].tolist(), *none], pa.int64()), pa.array([*pos[keep].tolist(), *none], pa.int32()), pa.array(np.concatenate([pk[keep], over]))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for rb in batches:
             c = [x.to_numpy() for x in rb.columns]
-            known = c[4] < 0
+            known = c[5] < 0
             if known.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[2][known]), pa.array(c[3][known]), pa.array(c[0][known])], names=["th", "pos", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[k][known]) for k in (2, 3, 4, 0)], names=names)
             c = [x[~known] for x in c]
             if rest is not None:
                 c = [np.concatenate([a, b]) for a, b in zip(rest, c, strict=True)]
@@ -177,28 +183,27 @@ def _repeated(asked: DataFrame, hot: int, n: int) -> DataFrame:
             yield settled(rest)
 
     where = F.when(F.col("m") < 0, F.col("th")).otherwise(F.col("pk"))
-    return asked.repartition(n, where).sortWithinPartitions("pk", "pk2").mapInArrow(run, "th long, pos int, fp long")
+    return asked.repartition(n, where).sortWithinPartitions("pk", "pk2").mapInArrow(run, "th long, tb long, pos int, fp long")
 
 
 def _windows(joined: DataFrame) -> DataFrame:
-    """What is asked for every window around anchors (th, text, places): 128 bits of hash of its LEAST bytes."""
+    """What is asked for every window around anchors (th, tb, text, places): 128 bits of hash of its LEAST bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            ths = rb.column(0).to_numpy()
+            ths, tbs = rb.column(0).to_numpy(), rb.column(1).to_numpy()
             for i, j, buf, off in X.pieces(rb, "text"):
-                starts, who = [], []
-                for d, places in zip(range(j - i), rb.column(2).slice(i, j - i), strict=True):
+                starts = []
+                for d, places in zip(range(j - i), rb.column(3).slice(i, j - i), strict=True):
                     near = np.unique((places.values.to_numpy().astype(np.int64)[:, None] - np.arange(BEFORE + 1)[None, :]).ravel())
                     near = near[(near >= 0) & (near + LEAST <= off[d + 1] - off[d])]
                     starts.append(near + off[d])
-                    who.append(np.full(len(near), ths[i + d]))
-                at, who_ = np.concatenate(starts), np.concatenate(who)
-                own = off[np.searchsorted(off, at, "right") - 1]
+                at = np.concatenate(starts)
+                d = np.searchsorted(off, at, "right") - 1
                 h = X.spans_hash(buf, at, at + LEAST)
-                yield _asked(h, X.spans_hash(_TURNED[buf], at, at + LEAST), who_, at - own)
+                yield _asked(h, X.spans_hash(_TURNED[buf], at, at + LEAST), ths[i + d], tbs[i + d], at - off[d])
 
-    return joined.select("th", "text", "places", "did").mapInArrow(run, _ASKED)
+    return joined.select("th", "tb", "text", "places").mapInArrow(run, _ASKED)
 
 
 def _gather(buf: np.ndarray, starts: np.ndarray, size: np.ndarray, wide: int, back: bool) -> np.ndarray:
@@ -222,7 +227,7 @@ def _order(right: np.ndarray) -> np.ndarray:
     return np.argsort(np.ascontiguousarray(right).view(f"V{right.shape[1]}").ravel(), kind="stable")
 
 
-def encode(right: np.ndarray, rlen: np.ndarray, left: np.ndarray, llen: np.ndarray, th: np.ndarray, pos: np.ndarray) -> bytes:
+def encode(right: np.ndarray, rlen: np.ndarray, left: np.ndarray, llen: np.ndarray, th: np.ndarray, tb: np.ndarray, pos: np.ndarray) -> bytes:
     """A sorted run of suffixes, front-coded: what each has in common with the one before is not sent."""
     n = len(right)
     lcp = np.zeros(n, np.uint8)
@@ -230,17 +235,17 @@ def encode(right: np.ndarray, rlen: np.ndarray, left: np.ndarray, llen: np.ndarr
     j = np.arange(LEAST)
     tails = right[(j[None, :] >= lcp[:, None]) & (j[None, :] < rlen[:, None])]
     lefts = left[np.arange(BEFORE)[None, :] < llen[:, None]]
-    parts = [np.array([n], np.int64), lcp, rlen.astype(np.uint8), llen.astype(np.uint8), th.astype(np.int64), pos.astype(np.int32), tails, lefts]
+    parts = [np.array([n], np.int64), lcp, rlen.astype(np.uint8), llen.astype(np.uint8), th.astype(np.int64), tb.astype(np.int64), pos.astype(np.int32), tails, lefts]
     return b"".join(p.tobytes() for p in parts)
 
 
 def decode(block: bytes):
-    """The run of `encode`: lcp, rlen, llen, th, pos, suffixes as bytes, bytes before as rows."""
+    """The run of `encode`: lcp, rlen, llen, th, tb, pos, suffixes as bytes, bytes before as rows."""
     raw = io.BytesIO(block)
     get = lambda kind, n: np.frombuffer(raw.read(np.dtype(kind).itemsize * n), kind)
     n = int(get(np.int64, 1)[0])
     lcp, rlen, llen = (get(np.uint8, n).astype(np.int64) for _ in range(3))
-    th, pos = get(np.int64, n), get(np.int32, n)
+    th, tb, pos = get(np.int64, n), get(np.int64, n), get(np.int32, n)
     tails = raw.read(int((rlen - lcp).sum()))
     left = np.full((n, BEFORE), 0xFF, np.uint8)
     mask = np.arange(BEFORE)[None, :] < llen[:, None]
@@ -250,7 +255,7 @@ def decode(block: bytes):
         before = before[:c] + tails[at : at + r - c]
         at += r - c
         out.append(before)
-    return lcp, rlen, llen, th, pos, out, left
+    return lcp, rlen, llen, th, tb, pos, out, left
 
 
 def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[int, int]], list[int]]:
@@ -372,23 +377,26 @@ def reach(lcp: np.ndarray, rlen: np.ndarray, left: np.ndarray, llen: np.ndarray)
     return first, last
 
 
+_FOUND = "th long, tb long, start long, stop long"
+
+
 def _runs(joined: DataFrame, ranges: int) -> DataFrame:
-    """(part, kind, th, start, stop, block): front-coded sorted runs by bucket (kind 1), and spans that a batch settles by itself (kind 0)."""
+    """(part, kind, th, tb, start, stop, block): front-coded sorted runs by bucket (kind 1), and spans that a batch settles by itself (kind 0)."""
 
-    def send(right, rlen, left, llen, th, pos):
+    def send(right, rlen, left, llen, *row):
         enough = rlen + llen >= LEAST
-        right, rlen, left, llen, th, pos = (c[enough] for c in (right, rlen, left, llen, th, pos))
+        right, rlen, left, llen, th, tb, pos = (c[enough] for c in (right, rlen, left, llen, *row))
         if not len(th):
             return
         order = _order(np.concatenate([right, left, rlen[:, None].astype(np.uint8)], axis=1))
-        right, rlen, left, llen, th, pos = (c[order] for c in (right, rlen, left, llen, th, pos))
+        right, rlen, left, llen, th, tb, pos = (c[order] for c in (right, rlen, left, llen, th, tb, pos))
         same = (right[1:] == right[:-1]).all(axis=1) & (left[1:] == left[:-1]).all(axis=1)
         first = np.concatenate([[True], ~same])
         many = ~first
         many[:-1] |= same
-        spans = (th[many], (pos - llen)[many], (pos + rlen)[many])
+        spans = (th[many], tb[many], (pos - llen)[many], (pos + rlen)[many])
         right, rlen, left, llen = right[first], rlen[first], left[first], llen[first]
-        th, pos = th[first], np.where(many[first], -1, pos[first])  # -1: settled, stands for others to find
+        th, tb, pos = th[first], tb[first], np.where(many[first], -1, pos[first])  # -1: settled, stands for others to find
         with np.errstate(over="ignore"):
             part = (X.mix(right[:, :K].astype(np.uint64) @ _WEIGHT) % X.U(ranges)).astype(np.int64)
         by = np.argsort(part, kind="stable")
@@ -397,29 +405,30 @@ def _runs(joined: DataFrame, ranges: int) -> DataFrame:
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             w = by[a:b]
             parts.append(int(part[w[0]]))
-            blocks.append(encode(right[w], rlen[w], left[w], llen[w], th[w], pos[w]))
+            blocks.append(encode(right[w], rlen[w], left[w], llen[w], th[w], tb[w], pos[w]))
         n, m = len(spans[0]), len(parts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([*(spans[0] % ranges).tolist(), *parts], pa.int64()), pa.array([0] * n + [1] * m, pa.int8()), pa.array([*spans[0].tolist(), *[None] * m], pa.int64()),
-             pa.array([*spans[1].tolist(), *[None] * m], pa.int64()), pa.array([*spans[2].tolist(), *[None] * m], pa.int64()), pa.array([None] * n + blocks, pa.binary())],
-            names=["part", "kind", "th", "start", "stop", "block"],
+            [pa.array([*(spans[0] % ranges).tolist(), *parts], pa.int64()), pa.array([0] * n + [1] * m, pa.int8()), *(pa.array([*x.tolist(), *[None] * m], pa.int64()) for x in spans), pa.array([None] * n + blocks, pa.binary())],
+            names=["part", "kind", "th", "tb", "start", "stop", "block"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for rb in batches:
-            ths = rb.column(0).to_numpy()
-            places = rb.column(2)
+            ths, tbs = rb.column(0).to_numpy(), rb.column(1).to_numpy()
+            places = rb.column(3)
             for i, j, buf, off in X.pieces(rb, "text", RUN_BYTES):
                 p = places.slice(i, j - i)
                 count = np.array([len(x) for x in p], np.int64)
                 d = np.repeat(np.arange(j - i), count)
                 pos = p.flatten().to_numpy().astype(np.int64)
+                inside = pos + K <= np.diff(off)[d]  # places of another text of the same half hash may lie beyond
+                d, pos = d[inside], pos[inside]
                 for s in range(0, len(pos), 50_000):
                     ds, ps = d[s : s + 50_000], pos[s : s + 50_000]
                     at = off[ds] + ps
                     rlen, llen = np.minimum(off[ds + 1] - at, LEAST), np.minimum(ps, BEFORE)
-                    held.append((_gather(buf, at, rlen, LEAST, False), rlen, _gather(buf, at, llen, BEFORE, True), llen, ths[i + ds], ps))
+                    held.append((_gather(buf, at, rlen, LEAST, False), rlen, _gather(buf, at, llen, BEFORE, True), llen, ths[i + ds], tbs[i + ds], ps))
                     size += len(ds)
                     if size >= 50_000:
                         yield from send(*(np.concatenate(c) for c in zip(*held, strict=True)))
@@ -427,23 +436,24 @@ def _runs(joined: DataFrame, ranges: int) -> DataFrame:
         if held:
             yield from send(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    return joined.select("th", "text", "places", "did").mapInArrow(run, "part long, kind byte, th long, start long, stop long, block binary")
+    return joined.select("th", "tb", "text", "places").mapInArrow(run, f"part long, kind byte, {_FOUND}, block binary")
 
 
 def _merged(runs: DataFrame, n: int) -> DataFrame:
-    """(th, start, stop): repeated byte ranges, from the merged suffix array of each bucket of the exchange."""
+    """(th, tb, start, stop): repeated byte ranges, from the merged suffix array of each bucket of the exchange."""
+    names = ["th", "tb", "start", "stop"]
 
     def settle(blocks: list[bytes]):
         got = [decode(b) for b in blocks]
-        order, lcps = merge([(g[5], g[0].tolist()) for g in got])
+        order, lcps = merge([(g[6], g[0].tolist()) for g in got])
         base = np.cumsum([0, *(len(g[3]) for g in got)])
         at = np.array([base[r] + i for r, i in order], np.int64)
-        rlen, llen, th, pos, left = (np.concatenate([g[c] for g in got])[at] for c in (1, 2, 3, 4, 6))
+        rlen, llen, th, tb, pos, left = (np.concatenate([g[c] for g in got])[at] for c in (1, 2, 3, 4, 5, 7))
         lcp = np.array(lcps, np.int64)
         lcp[1:] = np.minimum(lcp[1:], np.minimum(rlen[1:], rlen[:-1]))
         first, last = reach(lcp, rlen, left, llen)
         use = (first <= last) & (pos >= 0)
-        return pa.RecordBatch.from_arrays([pa.array(th[use]), pa.array((pos - last)[use].astype(np.int64)), pa.array((pos - first + LEAST)[use].astype(np.int64))], names=["th", "start", "stop"])
+        return pa.RecordBatch.from_arrays([pa.array(th[use]), pa.array(tb[use]), pa.array((pos - last)[use].astype(np.int64)), pa.array((pos - first + LEAST)[use].astype(np.int64))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blocks = None, []
@@ -451,9 +461,9 @@ def _merged(runs: DataFrame, n: int) -> DataFrame:
             kind = rb.column(1).to_numpy()
             ready = rb.filter(pa.array(kind == 0))
             if ready.num_rows:
-                yield pa.RecordBatch.from_arrays([ready.column(c) for c in (2, 3, 4)], names=["th", "start", "stop"])
+                yield pa.RecordBatch.from_arrays([ready.column(c) for c in (2, 3, 4, 5)], names=names)
             sent = rb.filter(pa.array(kind == 1))
-            for p, b in zip(sent.column(0).to_pylist(), sent.column(5).to_pylist(), strict=True):
+            for p, b in zip(sent.column(0).to_pylist(), sent.column(6).to_pylist(), strict=True):
                 if p != now and blocks:
                     yield settle(blocks)
                     blocks = []
@@ -462,7 +472,7 @@ def _merged(runs: DataFrame, n: int) -> DataFrame:
         if blocks:
             yield settle(blocks)
 
-    return runs.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, "th long, start long, stop long")
+    return runs.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, _FOUND)
 
 
 def _union(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -477,7 +487,7 @@ def _union(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(did, th, text) of every row, and (th, ranges) with the repeated byte ranges of the rows that have any."""
+    """(did, th, tb, text) of every row, and (th, tb, ranges) with the repeated byte ranges of the rows that have any."""
     spark = docs.sparkSession
     rows = _keyed(docs, key, text)
     # an anchor of 32 bytes for about 77 bytes of text, which is a third of that in files
@@ -492,12 +502,12 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[
         hot = save(hot, "hot")
         listed = F.broadcast(hot) if many <= HOT_LIST else hot
         ask = _windows(together(found.join(listed, "fp", "left_semi")))
-        more = _repeated(ask, 1 << 62, n).where("th is not null").select("th", F.col("pos").cast("long").alias("start"), (F.col("pos") + LEAST).cast("long").alias("stop"))
+        more = _repeated(ask, 1 << 62, n).where("th is not null").select("th", "tb", F.col("pos").cast("long").alias("start"), (F.col("pos") + LEAST).cast("long").alias("stop"))
         found = found.join(listed, "fp", "left_anti")
     ranges = _merged(_runs(together(found), RANGES * n), n)
     ranges = ranges.unionByName(more) if many else ranges
     # sets, for each copy of a repeated row finds the same places and ranges
-    return rows, ranges.groupBy("th").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    return rows, ranges.groupBy("th", "tb").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -507,7 +517,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     A repeated row repeats all its strings. Rows of one id and different texts are told apart by their text.
     """
     rows, ranges = repeated(docs, key, text)
-    joined = rows.join(ranges, "th", "left").select("did", "text", "ranges")
+    joined = rows.join(ranges, ["th", "tb"], "left").select("did", "text", "ranges")
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -537,8 +547,9 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """`docs` with the repeated bytes cut out of `text`; bytes of a character cut in two are dropped, and so is a row of which nothing is left."""
     own = docs.columns
     _, ranges = repeated(docs, key, text)
-    th, found_in = fresh(docs, "th", "ranges")
-    joined = docs.withColumn(th, F.xxhash64(F.col(key), F.col(text))).join(ranges.select(F.col("th").alias(th), F.col("ranges").alias(found_in)), th, "left").select(*own, found_in)
+    th, tb, found_in = fresh(docs, "th", "tb", "ranges")
+    a, b = _row(key, text)
+    joined = docs.withColumns({th: a, tb: b}).join(ranges.select(F.col("th").alias(th), F.col("tb").alias(tb), F.col("ranges").alias(found_in)), [th, tb], "left").select(*own, found_in)
     where = own.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
