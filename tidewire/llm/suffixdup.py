@@ -203,7 +203,7 @@ def _windows(joined: DataFrame) -> DataFrame:
                 h = X.spans_hash(buf, at, at + LEAST)
                 yield _asked(h, X.spans_hash(_TURNED[buf], at, at + LEAST), ths[i + d], tbs[i + d], at - off[d])
 
-    return joined.select("th", "tb", "text", "places").mapInArrow(run, _ASKED)
+    return joined.select("th", "tb", "text", "places", "did").mapInArrow(run, _ASKED)
 
 
 def _gather(buf: np.ndarray, starts: np.ndarray, size: np.ndarray, wide: int, back: bool) -> np.ndarray:
@@ -436,7 +436,7 @@ def _runs(joined: DataFrame, ranges: int) -> DataFrame:
         if held:
             yield from send(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    return joined.select("th", "tb", "text", "places").mapInArrow(run, f"part long, kind byte, {_FOUND}, block binary")
+    return joined.select("th", "tb", "text", "places", "did").mapInArrow(run, f"part long, kind byte, {_FOUND}, block binary")
 
 
 def _merged(runs: DataFrame, n: int) -> DataFrame:
@@ -487,7 +487,7 @@ def _union(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(did, th, tb, text) of every row, and (th, tb, ranges) with the repeated byte ranges of the rows that have any."""
+    """(did, th, tb, text) of every row, and (th, ranges, each with the row's tb) with the repeated byte ranges of the rows that have any."""
     spark = docs.sparkSession
     rows = _keyed(docs, key, text)
     # an anchor of 32 bytes for about 77 bytes of text, which is a third of that in files
@@ -507,7 +507,14 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[
     ranges = _merged(_runs(together(found), RANGES * n), n)
     ranges = ranges.unionByName(more) if many else ranges
     # sets, for each copy of a repeated row finds the same places and ranges
-    return rows, ranges.groupBy("th", "tb").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    # one hash is the key here too, so that the texts are dealt out by it once; the other half is compared in `_own`
+    return rows, ranges.groupBy("th").agg(F.collect_set(F.struct("tb", "start", "stop")).alias("ranges"))
+
+
+def _own(ranges: str, tb: str) -> Column:
+    """The ranges of a row itself, null if it has none."""
+    mine = F.transform(F.filter(ranges, lambda x: x.tb == F.col(tb)), lambda x: F.struct(x.start.alias("start"), x.stop.alias("stop")))
+    return F.when(F.size(mine) > 0, mine)
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -517,7 +524,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     A repeated row repeats all its strings. Rows of one id and different texts are told apart by their text.
     """
     rows, ranges = repeated(docs, key, text)
-    joined = rows.join(ranges, ["th", "tb"], "left").select("did", "text", "ranges")
+    joined = rows.join(ranges, "th", "left").select("did", "text", _own("ranges", "tb").alias("ranges"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -549,7 +556,7 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     _, ranges = repeated(docs, key, text)
     th, tb, found_in = fresh(docs, "th", "tb", "ranges")
     a, b = _row(key, text)
-    joined = docs.withColumns({th: a, tb: b}).join(ranges.select(F.col("th").alias(th), F.col("tb").alias(tb), F.col("ranges").alias(found_in)), [th, tb], "left").select(*own, found_in)
+    joined = docs.withColumns({th: a, tb: b}).join(ranges.select(F.col("th").alias(th), F.col("ranges").alias(found_in)), th, "left").select(*own, _own(found_in, tb).alias(found_in))
     where = own.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
