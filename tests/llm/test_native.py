@@ -177,7 +177,7 @@ def test_a_single_sighting_is_no_rule(spark):
 
 
 def test_held_out_precision(spark):
-    """Rules mined on one half of the labelled pages, judged on the other."""
+    """Rules mined on one half of the labelled pages, judged on the other: all that are blocked are bad, and all bad ones are blocked."""
     p, labels, rows = pages(spark)
     out = {r["page_id"]: r for r in W.judged(p, labels, fit_on=lambda k: k % 2 == 0).collect()}
     held = [(i, u) for i, u in rows if i >= 100 and i % 2 and out[i]["rule"] is None]
