@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidewire.llm import chat, decontaminate, licences, neardup, quality, suffixdup, urls, warc
+from tidewire.llm import chat, decontaminate, infill, licences, neardup, quality, resample, suffixdup, urls, warc
 from tidewire.llm.chat import op2_chat_formatting
 from tidewire.llm.decontaminate import op5_decontamination
+from tidewire.llm.infill import op13_fill_in_middle
 from tidewire.llm.langid import op9_language_id
 from tidewire.llm.licences import op4_license_scan
 from tidewire.llm.mixing import op7_mixing
 from tidewire.llm.neardup import op3_minhash_near_dedup
 from tidewire.llm.quality import op6_quality_rules
+from tidewire.llm.resample import op12_importance_resampling
 from tidewire.llm.suffixdup import op1_suffix_array_dedup
 from tidewire.llm.urls import op8_url_filter
 from tidewire.llm.warc import op10_warc
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: SQL for DuckDB; op7 and op9 are fitted models, which SQL doesn't express: they are tested against brute force.
@@ -37,4 +41,6 @@ ORACLES: dict[str, str] = {
     "op6_quality_rules": quality.ORACLE_SQL,
     "op8_url_filter": urls.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
+    "op12_importance_resampling": resample.ORACLE_SQL,
+    "op13_fill_in_middle": infill.ORACLE_SQL,
 }
