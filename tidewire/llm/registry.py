@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import chat, decontaminate, infill, licences, neardup, quality, resample, suffixdup, urls, warc
+from tidewire.llm import chat, decontaminate, infill, licences, neardup, quality, resample, suffixdup, urls, vectordup, warc
 from tidewire.llm.chat import op2_chat_formatting
 from tidewire.llm.decontaminate import op5_decontamination
 from tidewire.llm.infill import op13_fill_in_middle
@@ -14,6 +14,7 @@ from tidewire.llm.quality import op6_quality_rules
 from tidewire.llm.resample import op12_importance_resampling
 from tidewire.llm.suffixdup import op1_suffix_array_dedup
 from tidewire.llm.urls import op8_url_filter
+from tidewire.llm.vectordup import op11_embedding_near_dedup
 from tidewire.llm.warc import op10_warc
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
+    "op11_embedding_near_dedup": op11_embedding_near_dedup,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
@@ -41,6 +43,7 @@ ORACLES: dict[str, str] = {
     "op6_quality_rules": quality.ORACLE_SQL,
     "op8_url_filter": urls.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
+    "op11_embedding_near_dedup": vectordup.ORACLE_SQL,
     "op12_importance_resampling": resample.ORACLE_SQL,
     "op13_fill_in_middle": infill.ORACLE_SQL,
 }
