@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewire import config as C
 from tidewire.operators import edition as E
+from tidewire.operators import graph
 from tidewire.operators.graph import components
 from tidewire.sources import feeds as I
 
@@ -74,8 +75,10 @@ def test_dedupe_does_not_depend_on_partitions(spark):
     assert ids(E.dedupe(df)) == ids(E.dedupe(df.repartition(7).orderBy(F.rand(1))))
 
 
+@pytest.mark.parametrize("one_task", [graph.ONE_TASK, 0])
 @pytest.mark.parametrize("seed", range(3))
-def test_components_are_brute_force(spark, seed):
+def test_components_are_brute_force(spark, monkeypatch, seed, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     r = random.Random(seed)
     edges = [(r.randrange(100), r.randrange(100)) for _ in range(70)] + [(200 + k, 201 + k) for k in range(40)] + [(5, 5), (300, 301), (None, 3)]
     got = {x["v"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}

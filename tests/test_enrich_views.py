@@ -35,6 +35,22 @@ def test_kev_gate(spark, bad, good, how, want):
     assert N.kev_gate(kev(spark, rows), min_entries=10, **how).first()["rejected"] == want
 
 
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ('{"count":2,"vulnerabilities":%s}', None), ('{"count":2.0,"vulnerabilities":%s}', None), ('{"vulnerabilities":%s}', None), ('{"count":3,"vulnerabilities":%s}', "count"), ('{"count":null,"vulnerabilities":%s}', "count"),
+        ('{"count":"2","vulnerabilities":%s}', "count"), ("[]", "not an object"), ("cut off", "not an object"), ('{"count":0}', "no entries"), ('{"vulnerabilities":{}}', "no entries"), ('{"vulnerabilities":[]}', "too few"),
+    ],
+)
+def test_kev_count_is_that_of_the_body(spark, body, want):
+    entry = {"dateAdded": "2023-01-01", "dueDate": "", "knownRansomwareCampaignUse": "Known"}
+    entries = json.dumps([{"cveID": f"CVE-2024-100{k}", **entry} for k in range(2)])
+    bodies = spark.createDataFrame([(7, body % entries if "%s" in body else body), (8, '{"count":2,"vulnerabilities":%s}' % entries)], "id int, body string")
+    out = {r["id"]: r["rejected"] for r in N.kev_gate(N.kev_entries(bodies, NOW, ["id"]), N.kev_declared(bodies, ["id"]), min_entries=1, by=["id"]).collect()}
+    assert out == {7: want, 8: None}
+
+
+
 def test_body_that_is_no_catalogue(spark):
     for body in ("[]", "no json", '{"vulnerabilities":{}}', "{}"):
         assert N.kev_slim(N.kev_entries(spark.createDataFrame([(body,)], "body string"), NOW)).count() == 0

@@ -1,10 +1,13 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewire import config as C
 from tidewire.operators import budget as B
+from tidewire.operators import ranking
+from tidewire.operators.ranking import dealt_in_order, medians, running_max
 from tidewire.plans.store import fresh, new_path
 from tidewire.sources import logs as L
 from tidewire.sources import sinks as K
@@ -65,6 +68,56 @@ def test_islands(spark):
     assert B.islands(df.limit(0)).count() == 0 and B.coverage(df.limit(0)).first()["covered_min"] == 0
 
 
+def test_failed_polls_cover_nothing(spark):
+    rows = [(0, "s", 0, 10 * MIN, True), (1, "s", 10 * MIN, 50 * MIN, False), (2, "s", 50 * MIN, 60 * MIN, True), (3, "s", 60 * MIN, 90 * MIN, None), (4, "t", 55 * MIN, 58 * MIN, True)]
+    df = spark.createDataFrame(rows, "pos int, stream string, from_ms long, to_ms long, ok boolean")
+    assert sorted(tuple(r) for r in B.islands(df).collect()) == [(0, 10 * MIN), (50 * MIN, 60 * MIN)]
+    assert tuple(B.coverage(df).first()) == (20.0, 60.0)
+    assert tuple(B.default_period(df.where("pos > 0")).first()) == (50 * MIN, 1490 * MIN)
+    assert [tuple(r) for r in B.missed_polls(df, 15 * MIN).collect()] == [("s", 10 * MIN, 50 * MIN)]
+    assert B.islands(df.where("not ok")).count() == 0 and B.default_period(df.where("pos = 1")).first()["from_ms"] is None
+
+
+def test_islands_of_one_stream_spread_over_tasks(spark):
+    """A million windows that are apart, and as many that are one stretch across all parts."""
+    n = 1_000_000
+    apart = spark.range(n).select((F.col("id") * 10).alias("from_ms"), (F.col("id") * 10 + 9).alias("to_ms"))
+    dealt, part = dealt_in_order(apart, [], [F.col("from_ms")])
+    sizes = [r["count"] for r in dealt.groupBy(part).count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < n / 2
+    got = B.islands(apart)
+    assert got.count() == n and got.agg(F.sum(F.col("stop") - F.col("start"))).first()[0] == 9 * n
+    one = apart.withColumn("to_ms", F.when(F.col("from_ms") == 0, 10 * n).otherwise(F.col("to_ms")))
+    assert [tuple(r) for r in B.islands(one.limit(n)).collect()] == [(0, 10 * n)]
+
+
+def test_running_max_takes_over_from_the_parts_before(spark):
+    r = random.Random(1)
+    rows = [(r.choice(["a", "b", None]), k, r.randrange(1000) if r.random() < 0.8 else None) for k in range(3000)]
+    dealt, part = dealt_in_order(spark.createDataFrame(rows, "g string, k int, v int"), ["g"], [F.col("k")])
+    got = {x["k"]: x["m"] for x in running_max(dealt, part, ["g"], [F.col("k")], "v", "m").collect()}
+    top, want = {}, {}
+    for g, k, v in rows:
+        want[k] = top.get(g)
+        top[g] = max((x for x in (top.get(g), v) if x is not None), default=None)
+    assert got == want
+
+
+@pytest.mark.parametrize("ranges", [7, 4096])
+def test_medians_by_counting(spark, monkeypatch, ranges):
+    monkeypatch.setattr(ranking, "RANGES", ranges)
+    r = random.Random(2)
+    rows = [("odd", r.randrange(-50, 10**12)) for _ in range(301)] + [("even", r.randrange(40)) for _ in range(200)] + [("one", 7), ("none", None), (None, 3), (None, 4), ("far", -(10**17)), ("far", 10**17)] + [("same", 5)] * 50
+    want = {}
+    for g in {g for g, _ in rows}:
+        v = sorted(x for y, x in rows if y == g and x is not None)
+        if v:
+            want[g] = (v[(len(v) - 1) // 2], v[len(v) // 2])
+    out = medians(spark.createDataFrame(rows, "g string, v long"), "g", "v")
+    assert {x["g"]: (x["lower"], x["upper"]) for x in out.collect()} == want
+    assert medians(spark.createDataFrame([], "g string, v long"), "g", "v").count() == 0
+
+
 def test_take_new(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None), (6, "c")], "pos int, key string")
     assert sorted(r["pos"] for r in B.take_new(rows).collect()) == [1, 3, 4, 5, 6]

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.plans import edition_queries, serving_queries
+from tidewire.plans import edition_queries, serving_queries, state_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**edition_queries.QUERIES, **serving_queries.QUERIES}
-ORACLES: dict[str, str] = {**edition_queries.ORACLES, **serving_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**edition_queries.QUERIES, **serving_queries.QUERIES, **state_queries.QUERIES}
+ORACLES: dict[str, str] = {**edition_queries.ORACLES, **serving_queries.ORACLES, **state_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

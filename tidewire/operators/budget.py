@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire import config as C
 from tidewire.functions import scalars as S
+from tidewire.operators.ranking import dealt_in_order, medians, running_max
+from tidewire.plans.store import save
 
 
 def take_new(rows: DataFrame, seen: DataFrame | None = None, order: str = "pos") -> DataFrame:
@@ -19,42 +21,50 @@ def take_new(rows: DataFrame, seen: DataFrame | None = None, order: str = "pos")
     return kept.select(*rows.columns).unionByName(rows.where("key is null"))
 
 
+def _successful(polls: DataFrame) -> DataFrame:
+    """Polls that succeeded; an unknown outcome is none. Polls without a column `ok` are taken for successful."""
+    return polls.where(F.coalesce("ok", F.lit(False))) if "ok" in polls.columns else polls
+
+
+def _windows(polls: DataFrame) -> DataFrame:
+    return _successful(polls).where("from_ms is not null and to_ms is not null and to_ms >= from_ms")
+
+
 def islands(polls: DataFrame, period: tuple[int, int] | None = None) -> DataFrame:
-    """(start, stop) of the maximal stretches that windows (from_ms, to_ms) cover, clipped to the period; touching windows join.
+    """(start, stop) of the maximal stretches that windows (from_ms, to_ms) of successful polls cover, clipped to the period; touching windows join.
 
-    Windows are first joined within hours of their start, each by itself, so that the one ordered pass over all sees few rows an hour.
+    Windows are dealt by range of their start. A part takes over from those before how far they reach, and then the start of the
+    stretch that is open at its end; so no task sees more than its part, however many windows a stretch has.
     """
-    rows = polls.where("from_ms is not null and to_ms is not null and to_ms >= from_ms").select(F.col("from_ms").alias("s"), F.col("to_ms").alias("e"))
+    rows = _windows(polls).select(F.col("from_ms").alias("s"), F.col("to_ms").alias("e"))
     if period is not None:
         rows = rows.select(F.greatest("s", F.lit(period[0])).alias("s"), F.least("e", F.lit(period[1])).alias("e"))
-    rows = rows.where("e > s").withColumn("hour", F.floor(F.col("s") / 3_600_000))
-
-    def joined(df: DataFrame, by: list[str]) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy("s", "e")
-        before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        marked = df.withColumn("new", F.when(before.isNull() | (F.col("s") > before), 1).otherwise(0)).withColumn("island", F.sum("new").over(order))
-        return marked.groupBy(*by, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
-
-    return joined(joined(rows, ["hour"]).select("s", "e"), []).select(F.col("s").alias("start"), F.col("e").alias("stop"))
+    order = [F.col("s"), F.col("e")]
+    dealt, part = dealt_in_order(rows.where("e > s"), [], order)
+    marked = running_max(dealt, part, [], order, "e", "reach")
+    marked = save(marked.withColumn("start", F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach")), F.col("s"))).drop("reach"), "marked")
+    begun = running_max(marked, part, [], order, "start", "open").select(F.coalesce("start", "open").alias("start"), "e")
+    return begun.groupBy("start").agg(F.max("e").alias("stop"))
 
 
 def coverage(polls: DataFrame, period: tuple[int, int] | None = None) -> DataFrame:
     """One row: covered_min and period_min."""
-    span = polls.where("from_ms is not null and to_ms is not null and to_ms >= from_ms").agg(F.coalesce(F.min("from_ms"), F.lit(0)).alias("a"), F.coalesce(F.max("to_ms"), F.lit(0)).alias("b"))
+    span = _windows(polls).agg(F.coalesce(F.min("from_ms"), F.lit(0)).alias("a"), F.coalesce(F.max("to_ms"), F.lit(0)).alias("b"))
     total = islands(polls, period).agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0)).alias("c"))
     long = (F.lit(period[1] - period[0]) if period else F.col("b") - F.col("a")) / 60000.0
     return span.join(total.hint("broadcast")).select((F.col("c") / 60000.0).alias("covered_min"), long.alias("period_min"))  # one row each
 
 
 def default_period(polls: DataFrame) -> DataFrame:
-    """One row (from_ms, to_ms): from the first window's start on, a day at least."""
-    span = polls.where("from_ms is not null and to_ms is not null and to_ms >= from_ms").agg(F.min("from_ms").alias("a"), F.max("to_ms").alias("b"))
+    """One row (from_ms, to_ms): from the first successful window's start on, a day at least."""
+    span = _windows(polls).agg(F.min("from_ms").alias("a"), F.max("to_ms").alias("b"))
     return span.select(F.col("a").alias("from_ms"), F.greatest("b", F.col("a") + C.DAY_MIN * 60000).alias("to_ms"))
 
 
-def median_up(c: Column) -> Column:
-    """The median, of two middle values their mean rounded up; 0 of none."""
-    return F.coalesce(F.ceil(F.percentile(c, 0.5)), F.lit(0)).cast("long")
+def median_bytes(rows: DataFrame) -> DataFrame:
+    """(p, median_bytes) of the successful rows of each producer: of two middle values their mean rounded up."""
+    both = medians(rows.where("ok = 1"), "p", "bytes")
+    return both.select("p", F.expr("lower + (upper - lower + 1) div 2").alias("median_bytes"))
 
 
 def producer_stats(rows: DataFrame) -> DataFrame:
@@ -62,10 +72,10 @@ def producer_stats(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     own = rows.groupBy("p").agg(
         F.count("*").alias("lines"), F.count_if(F.col("ok") == 1).alias("ok"), F.count_if(F.col("ok") == 0).alias("fail"), F.sum("rcW").alias("rcw"), F.sum(S.write_units("rcW", "bytes")).alias("units"),
-        median_up(F.when(F.col("ok") == 1, F.col("bytes"))).alias("median_bytes"), F.sum("cpuMs").alias("cpu_ms"),
+        F.sum("cpuMs").alias("cpu_ms"),
     )
     every = spark.createDataFrame(list(enumerate(C.PRODUCERS)), "pos int, p string")
-    return every.join(own, "p", "left").select("pos", "p", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("lines", "ok", "fail", "rcw", "units", "median_bytes", "cpu_ms")))
+    return every.join(own, "p", "left").join(median_bytes(rows), "p", "left").select("pos", "p", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("lines", "ok", "fail", "rcw", "units", "median_bytes", "cpu_ms")))
 
 
 def meter_status(total: Column, covered_min: Column, allot: Column) -> Column:
@@ -78,12 +88,13 @@ def meter_status(total: Column, covered_min: Column, allot: Column) -> Column:
 
 def read_units(rows: DataFrame, requests: DataFrame) -> DataFrame:
     """One row (units, known): modelled reads. Each render reads edition, catalogue and its look-ups; a stale or missed feed request an edition."""
-    size = lambda p: median_up(F.when((F.col("p") == p) & (F.col("ok") == 1), F.col("bytes")))
+    size = lambda p: F.coalesce(F.max(F.when(F.col("p") == p, F.col("median_bytes"))), F.lit(0)).alias("ed" if p == "edition" else "kv")
     unit = lambda c: F.ceil(F.col(c) / C.UNIT_BYTES)
-    sizes = rows.agg(size("edition").alias("ed"), size("kev").alias("kv"), F.count_if(F.col("p") == "render").alias("renders"), F.coalesce(F.sum(F.when(F.col("p") == "render", F.greatest(F.lit(0), F.col("rcR") - 2))), F.lit(0)).alias("more"))
+    sizes = median_bytes(rows.where("p in ('edition', 'kev')")).agg(size("edition"), size("kev"))
+    renders = rows.agg(F.count_if(F.col("p") == "render").alias("renders"), F.coalesce(F.sum(F.when(F.col("p") == "render", F.greatest(F.lit(0), F.col("rcR") - 2))), F.lit(0)).alias("more"))
     misses = requests.agg(F.count_if(F.col("path").rlike(r"^/feed(\.xml|\.json|/)") & F.col("cache").rlike(r"^(?i:stale|miss)\z")).alias("misses"))
     total = F.col("renders") * (unit("ed") + unit("kv")) + F.col("more") + F.col("misses") * unit("ed")
-    return sizes.join(misses.hint("broadcast")).select(F.when(F.col("ed") == 0, 0).otherwise(total).cast("long").alias("units"), (F.col("ed") != 0).alias("known"))  # one row each
+    return sizes.join(renders.hint("broadcast")).join(misses.hint("broadcast")).select(F.when(F.col("ed") == 0, 0).otherwise(total).cast("long").alias("units"), (F.col("ed") != 0).alias("known"))  # one row each
 
 
 def report(rows: DataFrame, requests: DataFrame, polls: DataFrame, allot: dict[str, float], least: float = 0.9, period: tuple[int, int] | None = None) -> list[str]:
@@ -128,10 +139,11 @@ def valid_capture(window_min: Column, interval_min: Column) -> Column:
 
 
 def missed_polls(polls: DataFrame, allowed_ms: int) -> DataFrame:
-    """(from_ms, to_ms) of the gaps between consecutive successful polls that are longer than allowed."""
-    order = Window.partitionBy("stream").orderBy("from_ms", "to_ms")
-    before = F.max("to_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return polls.withColumn("before", before).where(F.col("from_ms") - F.col("before") > allowed_ms).select("stream", F.col("before").alias("gap_from"), F.col("from_ms").alias("gap_to"))
+    """(stream, gap_from, gap_to) of the gaps between consecutive successful polls that are longer than allowed."""
+    order = [F.col("from_ms"), F.col("to_ms")]
+    dealt, part = dealt_in_order(_successful(polls).select("stream", "from_ms", "to_ms"), ["stream"], order)
+    rows = running_max(dealt, part, ["stream"], order, "to_ms", "before")
+    return rows.where(F.col("from_ms") - F.col("before") > allowed_ms).select("stream", F.col("before").alias("gap_from"), F.col("from_ms").alias("gap_to"))
 
 
 def gap_rows(polls: DataFrame, window_ms: int, interval_ms: int) -> DataFrame:
@@ -143,6 +155,7 @@ def gap_rows(polls: DataFrame, window_ms: int, interval_ms: int) -> DataFrame:
     failed = polls.where(~F.col("ok")).select("stream", F.col("from_ms").alias("gap_from"), F.col("to_ms").alias("gap_to"), F.coalesce("failure", F.lit("cli-exit")).alias("reason"))
     cut = polls.where("truncated").select("stream", F.col("from_ms").alias("gap_from"), F.col("to_ms").alias("gap_to"), F.lit("truncated").alias("reason"))
     out = polls.select("stream", "from_ms", "to_ms", F.explode("excluded").alias("x")).select("stream", F.coalesce("x.start", "from_ms").alias("gap_from"), F.coalesce("x.end", "to_ms").alias("gap_to"), F.lit("excluded").alias("reason"))
-    before = F.max(F.when(F.col("ok"), F.col("to_ms"))).over(Window.partitionBy("stream").orderBy("to_ms").rowsBetween(Window.unboundedPreceding, -1))
-    missed = polls.withColumn("before", before).where(F.col("to_ms") - F.col("before") > window_ms - interval_ms).select("stream", F.col("before").alias("gap_from"), F.col("to_ms").alias("gap_to"), F.lit("missed-poll").alias("reason"))
+    order = [F.col("to_ms"), F.col("from_ms")]
+    dealt, part = dealt_in_order(polls.select("stream", "from_ms", "to_ms", F.when(F.col("ok"), F.col("to_ms")).alias("read_to")), ["stream"], order)
+    missed = running_max(dealt, part, ["stream"], order, "read_to", "before").where(F.col("to_ms") - F.col("before") > window_ms - interval_ms).select("stream", F.col("before").alias("gap_from"), F.col("to_ms").alias("gap_to"), F.lit("missed-poll").alias("reason"))
     return failed.unionByName(cut).unionByName(out).unionByName(missed).distinct()

@@ -25,31 +25,58 @@ def _text(v: Column | str, path: str) -> Column:
     return F.when(_type(v, path) == "STRING", _get(v, path))
 
 
-def kev_entries(catalogue: DataFrame, now_ms: int) -> DataFrame:
-    """(pos, cve, added, due, ransomware, valid) of each entry of a catalogue (one row with text `body`)."""
+def kev_entries(catalogue: DataFrame, now_ms: int, by: list[str] | None = None) -> DataFrame:
+    """(by, pos, cve, added, due, ransomware, valid) of each entry of catalogues (a row with text `body` for each, told apart by the columns `by`)."""
+    by = by or []
     last = F.date_format(F.timestamp_millis(F.lit(now_ms + 86_400_000)), "yyyy-MM-dd")
-    doc = catalogue.select(F.try_parse_json("body").alias("doc"))
+    doc = catalogue.select(*by, F.try_parse_json("body").alias("doc"))
     each = doc.lateralJoin(_variant_explode(doc, "vulnerabilities"))
-    out = each.select(F.col("pos").cast("int"), _text("value", "$.cveID").alias("cve"), _text("value", "$.dateAdded").alias("added"), _text("value", "$.dueDate").alias("due"), F.coalesce(_text("value", "$.knownRansomwareCampaignUse") == "Known", F.lit(False)).alias("ransomware"))
+    out = each.select(*by, F.col("pos").cast("int"), _text("value", "$.cveID").alias("cve"), _text("value", "$.dateAdded").alias("added"), _text("value", "$.dueDate").alias("due"), F.coalesce(_text("value", "$.knownRansomwareCampaignUse") == "Known", F.lit(False)).alias("ransomware"))
     ok = S.is_cve("cve") & S.real_date("added") & (F.col("added") >= C.KEV_FIRST) & (F.col("added") <= last) & ((F.col("due") == "") | S.real_date("due"))
     return out.withColumn("valid", F.coalesce(ok, F.lit(False)))
 
 
+def kev_declared(catalogue: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, shape, declares, declared): what each body says of its entries' number. `declares` is whether it has a count at all; one that is no
+    number, null too, leaves `declared` null. shape is null, or why the body is none: not an object, or without a list of entries."""
+    doc = catalogue.select(*(by or []), F.try_parse_json("body").alias("doc"))
+    kind = F.coalesce(F.schema_of_variant("doc"), F.lit(""))
+    has_list = F.coalesce(_type("doc", "$.vulnerabilities").startswith("ARRAY"), F.lit(False))
+    count = _type("doc", "$.count")
+    number = F.when(count.isin("BIGINT", "DOUBLE") | count.startswith("DECIMAL"), _get("doc", "$.count", "double"))
+    shape = F.when(~kind.startswith("OBJECT"), "not an object").when(~has_list, "no entries")
+    return doc.select(*(by or []), shape.alias("shape"), count.isNotNull().alias("declares"), number.alias("declared"))
+
+
 def _variant_explode(doc: DataFrame, member: str) -> DataFrame:
     return doc.sparkSession.tvf.variant_explode(F.try_variant_get(F.col("doc").outer(), f"$.{member}", "variant"))
 
 
-def kev_slim(entries: DataFrame) -> DataFrame:
-    """(cve, added, due, ransomware): of each id its first valid entry."""
-    return entries.where("valid").groupBy("cve").agg(F.min_by(F.struct("added", "due", "ransomware"), "pos").alias("e")).select("cve", "e.*")
+def kev_slim(entries: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, cve, added, due, ransomware): of each id of a catalogue its first valid entry."""
+    by = by or []
+    return entries.where("valid").groupBy(*by, "cve").agg(F.min_by(F.struct("added", "due", "ransomware"), "pos").alias("e")).select(*by, "cve", "e.*")
 
 
-def kev_gate(entries: DataFrame, declared: int | None = None, min_entries: int = C.KEV_MIN, max_slim: int = C.KEV_SLIM_BYTES) -> DataFrame:
-    """One row: n, valid, skipped, slim_bytes and why the catalogue is rejected (null: taken)."""
-    sums = entries.agg(F.count("*").alias("n"), F.count_if(~F.col("valid")).alias("skipped"))
-    slim = kev_slim(entries).agg(F.count("*").alias("valid"), (F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("added", "due", "ransomware"))) + F.octet_length("cve") + 4), F.lit(0)) + 100).alias("slim_bytes"))
-    why = F.when(F.lit(declared).isNotNull() & (F.col("n") != F.lit(declared)), "count").when(F.col("skipped") > F.col("n") * C.KEV_SKIPPED, "schema drift").when((F.col("valid") == 0) | (F.col("valid") < min_entries), "too few").when(F.col("slim_bytes") > max_slim, "too large")
-    return sums.join(slim.hint("broadcast")).withColumn("rejected", why)  # one row each
+def kev_gate(entries: DataFrame, declared: DataFrame | int | None = None, min_entries: int = C.KEV_MIN, max_slim: int = C.KEV_SLIM_BYTES, by: list[str] | None = None) -> DataFrame:
+    """One row for each catalogue: n, valid, skipped, slim_bytes and why it is rejected (null: taken).
+
+    `declared` is what `kev_declared` reads from the bodies, so that a catalogue without entries has its row too, or the number itself.
+    A count that the body has but that isn't the number of its entries, null or text for instance, rejects it.
+    """
+    by = by or []
+    sums = entries.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(~F.col("valid")).alias("skipped"))
+    slim = kev_slim(entries, by).groupBy(*by).agg(F.count("*").alias("valid"), F.sum(F.octet_length(F.to_json(F.struct("added", "due", "ransomware"))) + F.octet_length("cve") + 4).alias("slim_bytes"))
+    if not isinstance(declared, DataFrame):
+        one = F.lit(declared).cast("double")
+        declared = sums.select(*by, F.lit(None).cast("string").alias("shape"), one.isNotNull().alias("declares"), one.alias("declared"))
+    out = declared
+    for part in (sums, slim):
+        out = out.join(part, by, "left") if by else out.join(part.hint("broadcast"))  # one row each
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "skipped", "valid")}).withColumn("slim_bytes", F.coalesce("slim_bytes", F.lit(0)) + 100)
+    off = F.col("declares") & ~F.coalesce(F.col("declared") == F.col("n"), F.lit(False))
+    why = F.coalesce("shape", F.when(off, "count").when(F.col("skipped") > F.col("n") * C.KEV_SKIPPED, "schema drift").when((F.col("valid") == 0) | (F.col("valid") < min_entries), "too few").when(F.col("slim_bytes") > max_slim, "too large"))
+    return out.select(*by, "n", "skipped", "valid", "slim_bytes", why.alias("rejected"))
 
 
 def epss_selected(ids: DataFrame, cap: int = C.EPSS_IDS, size: int = C.EPSS_BATCH) -> DataFrame:

@@ -75,34 +75,42 @@ def q20b(spark, sf):
 
 # ---- enrichment ----
 
-def _kev_body(spark, sf) -> DataFrame:
-    """A catalogue with entries of all parts; some ids, days and due days are bad, some ids come twice."""
+#: Entries of a catalogue.
+KEV_ENTRIES = 500
+
+
+def _kev_bodies(spark, sf) -> DataFrame:
+    """Catalogues with the entries of all parts, KEV_ENTRIES each. Some ids, days and due days are bad, some ids come twice, and the declared count is right, absent, wrong or null."""
     part = spark.read.parquet(f"{sf}/part.parquet")
-    k = F.col("p_partkey")
+    k, c = F.col("p_partkey"), F.floor(F.col("p_partkey") / KEV_ENTRIES)
+    bad = c % 3 != 1
     entry = F.struct(
-        F.when(k % 97 == 0, F.concat(F.lit("CVE-24-"), k.cast("string"))).otherwise(F.concat(F.lit("CVE-2024-"), (F.lit(10000) + k - k % 7 % 2).cast("string"))).alias("cveID"),
-        F.when(k % 89 == 0, "2024-02-30").otherwise(F.concat(F.lit("2023-"), F.lpad((F.col("p_size") % 12 + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))).alias("dateAdded"),
+        F.when(bad & (k % 97 == 0), F.concat(F.lit("CVE-24-"), k.cast("string"))).otherwise(F.concat(F.lit("CVE-2024-"), (F.lit(10000) + k - k % 7 % 2).cast("string"))).alias("cveID"),
+        F.when(bad & (k % 89 == 0), "2024-02-30").otherwise(F.concat(F.lit("2023-"), F.lpad((F.col("p_size") % 12 + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))).alias("dateAdded"),
         F.when(k % 3 == 0, "").otherwise("2024-03-01").alias("dueDate"), F.when(k % 2 == 0, "Known").otherwise("Unknown").alias("knownRansomwareCampaignUse"),
     )
-    each = part.select(k.alias("k"), entry.alias("e"))
-    return each.agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("x"))).alias("j")).select(F.concat(F.lit('{"vulnerabilities":'), F.to_json(F.transform(F.from_json("j", "x array<struct<k:long,e:struct<cveID:string,dateAdded:string,dueDate:string,knownRansomwareCampaignUse:string>>>").x, lambda x: x.e)), F.lit("}")).alias("body"))
+    lists = part.select(c.alias("catalogue"), k.alias("k"), F.to_json(entry).alias("e")).groupBy("catalogue").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "e"))), lambda x: x["e"]), ",").alias("list"), F.count("*").alias("n"))
+    kind, n = F.col("catalogue") % 4, F.col("n").cast("string")
+    count = F.when(kind == 0, F.concat(F.lit('"count":'), n, F.lit(","))).when(kind == 1, "").when(kind == 2, F.concat(F.lit('"count":'), (F.col("n") + 1).cast("string"), F.lit(","))).otherwise('"count":null,')
+    return lists.select("catalogue", F.concat(F.lit("{"), count, F.lit('"vulnerabilities":['), "list", F.lit("]}")).alias("body"))
 
 
 def q21(spark, sf):
-    return N.kev_slim(N.kev_entries(_kev_body(spark, sf), NOW))
+    return N.kev_slim(N.kev_entries(_kev_bodies(spark, sf), NOW, ["catalogue"]), ["catalogue"])
 
 
 def q21g(spark, sf):
-    """The gate: counts and why the catalogue is rejected."""
-    return N.kev_gate(N.kev_entries(_kev_body(spark, sf), NOW), min_entries=1500, max_slim=1 << 30).select("n", "valid", "skipped", "rejected")
+    """The gate of each catalogue: counts and why it is rejected."""
+    bodies = _kev_bodies(spark, sf)
+    return N.kev_gate(N.kev_entries(bodies, NOW, ["catalogue"]), N.kev_declared(bodies, ["catalogue"]), min_entries=450, max_slim=1 << 30, by=["catalogue"]).select("catalogue", "n", "valid", "skipped", "rejected")
 
 
-_KEV_SQL = """
-e AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 97 = 0 THEN 'CVE-24-' || p_partkey ELSE 'CVE-2024-' || (10000 + p_partkey - p_partkey % 7 % 2) END AS cve,
-  CASE WHEN p_partkey % 89 = 0 THEN '2024-02-30' ELSE '2023-' || lpad((p_size % 12 + 1)::VARCHAR, 2, '0') || '-' || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') END AS added,
+_KEV_SQL = f"""
+e AS (SELECT p_partkey AS k, p_partkey // {KEV_ENTRIES} AS catalogue, CASE WHEN p_partkey // {KEV_ENTRIES} % 3 <> 1 AND p_partkey % 97 = 0 THEN 'CVE-24-' || p_partkey ELSE 'CVE-2024-' || (10000 + p_partkey - p_partkey % 7 % 2) END AS cve,
+  CASE WHEN p_partkey // {KEV_ENTRIES} % 3 <> 1 AND p_partkey % 89 = 0 THEN '2024-02-30' ELSE '2023-' || lpad((p_size % 12 + 1)::VARCHAR, 2, '0') || '-' || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') END AS added,
   CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '2024-03-01' END AS due, p_partkey % 2 = 0 AS ransomware FROM part),
-v AS (SELECT *, regexp_full_match(cve, 'CVE-[0-9]{4}-[0-9]{4,7}') AND try_cast(added AS DATE) IS NOT NULL AS valid FROM e),
-s AS (SELECT cve, arg_min(added, k) AS added, arg_min(due, k) AS due, arg_min(ransomware, k) AS ransomware FROM v WHERE valid GROUP BY cve)
+v AS (SELECT *, regexp_full_match(cve, 'CVE-[0-9]{{4}}-[0-9]{{4,7}}') AND try_cast(added AS DATE) IS NOT NULL AS valid FROM e),
+s AS (SELECT catalogue, cve, arg_min(added, k) AS added, arg_min(due, k) AS due, arg_min(ransomware, k) AS ransomware FROM v WHERE valid GROUP BY catalogue, cve)
 """
 
 
@@ -464,7 +472,7 @@ _ITEMS01 = f"""WITH items AS ({A.duck_sql(A.ITEMS)}), x AS (SELECT *, CAST(subst
 SELECT source_id, nth AS pos, trim(title) AS title, trim(link) AS link, CASE WHEN kind = 0 THEN {_RFC.format(ms='published_ms')} END AS pub_date, CASE WHEN kind > 0 THEN {_ISO.format(ms='published_ms')} END AS iso_date, {Q._trim("substr(coalesce(snippet, ''), 1, 200)")} AS snippet FROM x"""
 _REPORT = f"""WITH b AS ({A.duck_sql(A.BUDGET)}), s0 AS (SELECT p, count(*) AS lines, count_if(ok = 1) AS ok, count_if(ok = 0) AS fail, sum(rcW)::BIGINT AS rcw, sum({_UNITS})::BIGINT AS units, coalesce(ceil(quantile_cont(bytes, 0.5) FILTER (WHERE ok = 1)), 0)::BIGINT AS mb, sum(cpuMs)::BIGINT AS cpu FROM b GROUP BY p),
 ps(k, p) AS (VALUES {', '.join(f"({k}, '{p}')" for k, p in enumerate(C.PRODUCERS))}), s AS (SELECT k, p, coalesce(lines, 0) AS lines, coalesce(ok, 0) AS ok, coalesce(fail, 0) AS fail, coalesce(rcw, 0) AS rcw, coalesce(units, 0) AS units, coalesce(mb, 0) AS mb, coalesce(cpu, 0) AS cpu FROM ps LEFT JOIN s0 USING (p)),
-w AS ({A.duck_sql(A.POLLS)}), o AS (SELECT from_ms AS s, to_ms AS e, max(to_ms) OVER (ORDER BY from_ms, to_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM w WHERE to_ms > from_ms), i AS (SELECT s, e, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o),
+w AS (SELECT * FROM ({A.duck_sql(A.POLLS)}) WHERE ok), o AS (SELECT from_ms AS s, to_ms AS e, max(to_ms) OVER (ORDER BY from_ms, to_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM w WHERE to_ms > from_ms), i AS (SELECT s, e, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o),
 c AS (SELECT (SELECT sum(d) FROM (SELECT max(e) - min(s) AS d FROM i GROUP BY k)) / 60000.0 AS c, (greatest(max(to_ms), min(from_ms) + 86400000) - min(from_ms)) / 60000.0 AS w FROM w),
 m AS (SELECT ceil(ceil(quantile_cont(bytes, 0.5) FILTER (WHERE ok = 1 AND p = 'edition')) / 8192.0) AS ed, ceil(ceil(quantile_cont(bytes, 0.5) FILTER (WHERE ok = 1 AND p = 'kev')) / 8192.0) AS kv, count_if(p = 'render') AS n, sum(greatest(0, rcR - 2)) FILTER (WHERE p = 'render') AS more FROM b), r AS (SELECT count(*) AS miss FROM events WHERE event_type = 'purchase' AND event_id % 5 IN (0, 1) AND event_id % 4 IN (0, 1)),
 mt AS (SELECT 12 AS line, 'writes' AS name, (SELECT sum(units) FROM s)::DOUBLE AS t, 200000 AS most UNION ALL SELECT 13, 'reads', (SELECT n * (ed + kv) + more + miss * ed FROM m, r), 1000000 UNION ALL SELECT 14, 'compose cpu ms', (SELECT cpu FROM s WHERE p = 'edition'), 14400000)
@@ -485,8 +493,8 @@ ORACLES = {
     "q02_body_gates": f"WITH s AS ({A.duck_sql(A.SOURCES)}), b AS ({A.duck_sql(_BODIES)}) SELECT doc_id, CASE WHEN status <> 200 THEN 'status' WHEN NOT (contains(lower(content_type), 'xml') OR (allow_html AND contains(lower(content_type), 'html'))) THEN 'content type' WHEN strlen(body) > coalesce(max_body_bytes, 2097152) THEN 'size' ELSE 'ok' END AS outcome FROM b JOIN s USING (source_id)",
     "q20_json_gate": "WITH a AS (" + A.duck_sql(_ANSWERS) + ") SELECT event_id, reason IS NULL AS ok, reason FROM (SELECT event_id, CASE WHEN status IS NULL THEN 'network' WHEN status <> 200 THEN 'status' WHEN strlen(body) > 9 THEN 'size' WHEN body LIKE '<%' THEN 'json' END AS reason FROM a)",
     "q20_redirects": "WITH h AS (" + A.duck_sql(_HOPS) + "), x AS (SELECT chain, hop, lower(regexp_extract(url, '^https://([^/?#]+)', 1)) AS host FROM h), f AS (SELECT chain, arg_min(host, hop) AS first FROM x GROUP BY chain) SELECT chain, bool_and(host = first AND host <> '') AND max(hop) <= 5 AS ok FROM x JOIN f USING (chain) GROUP BY chain",
-    "q21_kev": f"WITH {_KEV_SQL} SELECT cve, added, due, ransomware FROM s",
-    "q21_kev_gate": f"WITH {_KEV_SQL} SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM s) AS valid, (SELECT count(*) FROM v WHERE NOT valid) AS skipped, CASE WHEN (SELECT count(*) FROM v WHERE NOT valid) > (SELECT count(*) FROM v) * 0.01 THEN 'schema drift' WHEN (SELECT count(*) FROM s) < 1500 THEN 'too few' END AS rejected",
+    "q21_kev": f"WITH {_KEV_SQL} SELECT catalogue, cve, added, due, ransomware FROM s",
+    "q21_kev_gate": f"WITH {_KEV_SQL}, n AS (SELECT catalogue, count(*) AS n, count_if(NOT valid) AS skipped FROM v GROUP BY catalogue), m AS (SELECT catalogue, count(*) AS valid FROM s GROUP BY catalogue) SELECT catalogue, n, coalesce(valid, 0) AS valid, skipped, CASE WHEN catalogue % 4 IN (2, 3) THEN 'count' WHEN skipped > n * 0.01 THEN 'schema drift' WHEN coalesce(valid, 0) < 450 THEN 'too few' END AS rejected FROM n LEFT JOIN m USING (catalogue)",
     "q22_epss": f"WITH {_EPSS_SQL} SELECT cve, state, CASE WHEN state = 'scored' THEN score END AS score, CASE WHEN state = 'scored' THEN day END AS date FROM epss",
     "q23_ssvc": f"WITH {_PRE} SELECT sel.cve, choice, priority, state FROM sel JOIN ssvc USING (cve)",
     "q24_enrichment": f"WITH {_PRE} SELECT cve, kev_state, added, epss_state, score, ssvc_state, ssvc FROM states",
@@ -507,12 +515,12 @@ ORACLES = {
     "q40_log_rows": f"WITH {_LINE} SELECT strftime(make_timestamp(s * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts, 'r' || pos AS rid, '/p' || pos % 3 AS path, '' AS dep, p, ok, ms, cpuMs, n, bytes, rcW, rcR, kvCmd, st FROM ln WHERE pos % 11 <> 0 AND NOT (pos % 13 = 0 AND ok = 1)",
     "q41_take_new": f"WITH b AS ({A.duck_sql(A.BUDGET)}), r AS (SELECT pos, sha1('budget|' || pos % 400 || '|' || p || '|' || pos % 7) AS k FROM b), x AS (SELECT pos, CASE WHEN pos % 100 <> 99 THEN k END AS key FROM r) SELECT pos, key FROM x WHERE key IS NULL OR (key NOT IN (SELECT k FROM r WHERE pos < 50) AND pos IN (SELECT min(pos) FROM x WHERE key IS NOT NULL GROUP BY key))",
     "q42_budget_line": f"""WITH {_LINE} SELECT pos, 'budget {{"p":"' || p || '","ok":' || ok || ',"ms":' || ms || ',"cpuMs":' || cpuMs || ',"n":' || n || ',"bytes":' || bytes || ',"rcW":' || rcW || ',"rcR":' || rcR || ',"kvCmd":' || kvCmd || CASE WHEN p = 'ssvc' THEN ',"st":"' || st || '"}}' ELSE '}}' END AS message, bytes, st, 2 + least(n * 3, 100) + ceil(least(bytes % 700, 500) / 50.0)::BIGINT AS reads, n >= 1 AND rcR >= 1 AND n <= 50 AND n >= rcR + 5 AS valid FROM ln""",
-    "q43_islands": f"WITH w AS (SELECT greatest(from_ms, {NOW - 20 * DAY}) AS s, least(to_ms, {NOW - 5 * DAY}) AS e FROM ({A.duck_sql(A.POLLS)})), o AS (SELECT s, e, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM w WHERE e > s), i AS (SELECT s, e, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT min(s) AS start, max(e) AS stop FROM i GROUP BY k",
-    "q43_coverage": f"WITH w AS ({A.duck_sql(A.POLLS)}), o AS (SELECT from_ms AS s, to_ms AS e, max(to_ms) OVER (ORDER BY from_ms, to_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM w WHERE to_ms > from_ms), i AS (SELECT s, e, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o), c AS (SELECT max(e) - min(s) AS d FROM i GROUP BY k) SELECT round((SELECT sum(d) FROM c) / 60000.0, 6) AS covered_min, round((max(to_ms) - min(from_ms)) / 60000.0, 6) AS period_min, min(from_ms) AS from_ms, greatest(max(to_ms), min(from_ms) + 86400000) AS to_ms FROM w",
+    "q43_islands": f"WITH w AS (SELECT greatest(from_ms, {NOW - 20 * DAY}) AS s, least(to_ms, {NOW - 5 * DAY}) AS e FROM ({A.duck_sql(A.POLLS)}) WHERE ok), o AS (SELECT s, e, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM w WHERE e > s), i AS (SELECT s, e, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT min(s) AS start, max(e) AS stop FROM i GROUP BY k",
+    "q43_coverage": f"WITH w AS (SELECT * FROM ({A.duck_sql(A.POLLS)}) WHERE ok), o AS (SELECT from_ms AS s, to_ms AS e, max(to_ms) OVER (ORDER BY from_ms, to_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM w WHERE to_ms > from_ms), i AS (SELECT s, e, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o), c AS (SELECT max(e) - min(s) AS d FROM i GROUP BY k) SELECT round((SELECT sum(d) FROM c) / 60000.0, 6) AS covered_min, round((max(to_ms) - min(from_ms)) / 60000.0, 6) AS period_min, min(from_ms) AS from_ms, greatest(max(to_ms), min(from_ms) + 86400000) AS to_ms FROM w",
     "q44_producers": f"WITH b AS ({A.duck_sql(A.BUDGET)}), s AS (SELECT p, count(*) AS lines, count_if(ok = 1) AS ok, count_if(ok = 0) AS fail, sum(rcW)::BIGINT AS rcw, sum({_UNITS})::BIGINT AS units, ceil(quantile_cont(bytes, 0.5) FILTER (WHERE ok = 1))::BIGINT AS median_bytes, sum(cpuMs)::BIGINT AS cpu_ms FROM b GROUP BY p) SELECT *, round(units * 100.0 / (SELECT sum(units) FROM s WHERE p <> 'render'), 1) AS split_pct, CASE WHEN units > 9000 THEN 'OVER-100' WHEN units > 5400 THEN 'OVER-60' ELSE 'OK' END AS status FROM s",
     "q44_reads": f"WITH b AS ({A.duck_sql(A.BUDGET)}), m AS (SELECT ceil(ceil(quantile_cont(bytes, 0.5) FILTER (WHERE ok = 1 AND p = 'edition')) / 8192.0) AS ed, ceil(ceil(quantile_cont(bytes, 0.5) FILTER (WHERE ok = 1 AND p = 'kev')) / 8192.0) AS kv, count_if(p = 'render') AS n, sum(greatest(0, rcR - 2)) FILTER (WHERE p = 'render') AS more FROM b), r AS (SELECT count(*) AS miss FROM events WHERE event_type = 'purchase' AND event_id % 5 IN (0, 1) AND event_id % 4 IN (0, 1)) SELECT (n * (ed + kv) + more + miss * ed)::BIGINT AS units, true AS known FROM m, r",
     "q46_capture": "SELECT event_type, count(DISTINCT (strftime(ts, '%Y-%m-%d %H:%M:%S'), user_id)) AS n, count(DISTINCT (strftime(ts, '%Y-%m-%d %H:%M:%S'), user_id)) AS n_keys FROM events GROUP BY event_type",
-    "q46_missed_polls": f"WITH w AS ({A.duck_sql(A.POLLS)}) SELECT stream, b AS gap_from, from_ms AS gap_to FROM (SELECT stream, from_ms, max(to_ms) OVER (ORDER BY from_ms, to_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM w) WHERE from_ms - b > 1800000",
+    "q46_missed_polls": f"WITH w AS (SELECT * FROM ({A.duck_sql(A.POLLS)}) WHERE ok) SELECT stream, b AS gap_from, from_ms AS gap_to FROM (SELECT stream, from_ms, max(to_ms) OVER (ORDER BY from_ms, to_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM w) WHERE from_ms - b > 1800000",
     "q47_refresh": chain(*TO_EDITION) + "SELECT edition_pos, section, id FROM ed",
     "q48_windows": "SELECT epoch_ms(time_bucket(INTERVAL 15 MINUTE, ts)) AS window_ms, event_type, count(*) AS n FROM events GROUP BY ALL",
     "q49_cube": chain(*TO_EDITION) + "SELECT coalesce(section, '*') AS section, coalesce(importance, '*') AS importance, coalesce(source_type, '*') AS source_type, count(*) AS n FROM ed GROUP BY CUBE (section, importance, source_type)",

@@ -44,9 +44,20 @@ def save(df: DataFrame, name: str) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _place(spark: SparkSession, path: str):
+    """A path and its file system."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = _place(spark, path)
+    return files.exists(where)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where, files = _place(spark, path)
+    files.delete(where, True)
     if path in _WRITTEN:
         _WRITTEN.remove(path)
 
