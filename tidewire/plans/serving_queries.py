@@ -29,11 +29,15 @@ _BODIES = """SELECT d.doc_id, d.source AS source_id, CASE d.doc_id % 8 WHEN 0 TH
   CASE d.doc_id % 5 WHEN 0 THEN 'text/HTML; charset=utf-8' WHEN 1 THEN 'application/json' ELSE 'application/rss+XML' END AS content_type, d.text AS body FROM {documents} d"""
 
 
+#: Numbers of items that a feed covers.
+FEED_ITEMS = 1000
+
+
 def _feed_bodies(spark, sf) -> DataFrame:
-    """A feed of each source, its items in order: RSS 2.0, RSS 1.0 and Atom by the source's number, with marked-up snippets."""
+    """Feeds of each source, each of the items of FEED_ITEMS numbers in order: RSS 2.0, RSS 1.0 and Atom by the source's number, with marked-up snippets."""
     tag = lambda name, value: F.concat(F.lit(f"<{name}>"), S.escape_xml(value), F.lit(f"</{name}>"))
     at = F.col("iso_date").cast("timestamp")
-    html = F.concat(F.lit("<p class='a'>"), S.escape_xml(F.substring(F.coalesce("snippet", F.lit("")), 1, 200)), F.lit("</p><i></i>&nbsp;"))
+    html = F.concat(F.lit("<p class='a'>"), S.escape_xml(F.coalesce("snippet", F.lit(""))), F.lit("</p><i></i>&nbsp;"))
     rows = Q.items(spark, sf).withColumn("kind", F.substring("source_id", 4, 9).cast("int") % 3)
     own = F.concat(tag("title", F.col("title")), tag("link", F.col("link")), tag("description", html))
     rss = F.concat(F.lit("<item>"), own, tag("media:title", F.lit("other")), tag("pubDate", S.rfc822(at)), F.lit("</item>"))
@@ -41,6 +45,7 @@ def _feed_bodies(spark, sf) -> DataFrame:
     link = F.concat(F.lit("<link rel='replies' href='https://e.org/r'/><link rel='alternate' href='"), S.escape_xml(F.trim("link")), F.lit("'/><link rel='edit' href='https://e.org/e'/>"))
     atom = F.concat(F.lit("<entry>"), tag("title", F.col("title")), link, tag("updated", F.col("iso_date")), tag("summary", F.lit("short")), F.lit("<content type='html'>"), S.escape_xml(html), F.lit("</content></entry>"))
     rows = rows.withColumn("item", F.when(F.col("kind") == 0, rss).when(F.col("kind") == 1, rdf).otherwise(atom))
+    rows = rows.withColumn("source_id", F.concat_ws("/", "source_id", F.floor(F.col("pos") / FEED_ITEMS).cast("string")))
     body = rows.groupBy("source_id", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]), "").alias("items"))
     head = F.when(F.col("kind") == 0, '<rss version="2.0" xmlns:media="urn:m"><channel>').when(F.col("kind") == 1, '<rdf:RDF xmlns="http://purl.org/rss/1.0/" xmlns:rdf="urn:r" xmlns:dc="urn:d"><channel><title>c</title></channel>').otherwise('<feed xmlns="http://www.w3.org/2005/Atom">')
     tail = F.when(F.col("kind") == 0, "</channel></rss>").when(F.col("kind") == 1, "</rdf:RDF>").otherwise("</feed>")
@@ -468,8 +473,8 @@ _JSON = f"""SELECT slug, '{{"version":"https://jsonfeed.org/version/1.1","title"
 SELECT slug, said, feed_rank, '{{"id":' || {_J.format('url')} || ',"url":' || {_J.format('url')} || ',"title":' || {_J.format('title')} || CASE WHEN summary <> '' THEN ',"summary":' || {_J.format('summary')} || ',"content_text":' || {_J.format('summary')} ELSE ',"content_text":' || {_J.format('title')} END
   || ',"date_published":"' || {_ISO.format(ms='published_ms')} || '","authors":[{{"name":' || {_J.format('source')} || '}}],"tags":' || {_J.format("list_concat([section, importance], cves)")} || ',"_tidewire":{{"source":' || {_J.format('source')} || ',"source_tier":' || {_J.format('tier')} || ',"source_type":' || {_J.format('source_type')} || ',"section":' || {_J.format('section')}
   || ',"importance":' || {_J.format('importance')} || ',"importance_reason":' || coalesce({_J.format('importance_reason')}, 'null') || ',"cves":' || {_J.format('cves')} || '}}}}' AS item FROM fi) GROUP BY slug"""
-_ITEMS01 = f"""WITH items AS ({A.duck_sql(A.ITEMS)}), x AS (SELECT *, CAST(substr(source_id, 4) AS INT) % 3 AS kind, row_number() OVER (PARTITION BY source_id ORDER BY pos) - 1 AS nth FROM items)
-SELECT source_id, nth AS pos, trim(title) AS title, trim(link) AS link, CASE WHEN kind = 0 THEN {_RFC.format(ms='published_ms')} END AS pub_date, CASE WHEN kind > 0 THEN {_ISO.format(ms='published_ms')} END AS iso_date, {Q._trim("substr(coalesce(snippet, ''), 1, 200)")} AS snippet FROM x"""
+_ITEMS01 = f"""WITH items AS ({A.duck_sql(A.ITEMS)}), x AS (SELECT *, CAST(substr(source_id, 4) AS INT) % 3 AS kind, row_number() OVER (PARTITION BY source_id, pos // {FEED_ITEMS} ORDER BY pos) - 1 AS nth FROM items)
+SELECT source_id || '/' || pos // {FEED_ITEMS} AS source_id, nth AS pos, trim(title) AS title, trim(link) AS link, CASE WHEN kind = 0 THEN {_RFC.format(ms='published_ms')} END AS pub_date, CASE WHEN kind > 0 THEN {_ISO.format(ms='published_ms')} END AS iso_date, {Q._trim("coalesce(snippet, '')")} AS snippet FROM x"""
 _REPORT = f"""WITH b AS ({A.duck_sql(A.BUDGET)}), s0 AS (SELECT p, count(*) AS lines, count_if(ok = 1) AS ok, count_if(ok = 0) AS fail, sum(rcW)::BIGINT AS rcw, sum({_UNITS})::BIGINT AS units, coalesce(ceil(quantile_cont(bytes, 0.5) FILTER (WHERE ok = 1)), 0)::BIGINT AS mb, sum(cpuMs)::BIGINT AS cpu FROM b GROUP BY p),
 ps(k, p) AS (VALUES {', '.join(f"({k}, '{p}')" for k, p in enumerate(C.PRODUCERS))}), s AS (SELECT k, p, coalesce(lines, 0) AS lines, coalesce(ok, 0) AS ok, coalesce(fail, 0) AS fail, coalesce(rcw, 0) AS rcw, coalesce(units, 0) AS units, coalesce(mb, 0) AS mb, coalesce(cpu, 0) AS cpu FROM ps LEFT JOIN s0 USING (p)),
 w AS (SELECT * FROM ({A.duck_sql(A.POLLS)}) WHERE ok), o AS (SELECT from_ms AS s, to_ms AS e, max(to_ms) OVER (ORDER BY from_ms, to_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM w WHERE to_ms > from_ms), i AS (SELECT s, e, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o),

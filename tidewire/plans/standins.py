@@ -44,16 +44,16 @@ SELECT d.doc_id AS pos, d.source AS source_id, {_phrase()} || ' ' || split_part(
 FROM {{documents}} d JOIN {{events}} e ON e.event_id = d.doc_id JOIN {{pages}} p ON p.page_id = d.doc_id % (SELECT count(*) FROM {{pages}})
 """
 
-#: Catalogue entries from parts.
+#: Catalogue entries, each of a part: one in five ids is listed, two of three have a score, half an assessment.
 KEV = """
-SELECT 'CVE-2024-' || CAST(10000 + p_partkey AS STRING) AS cve, '2023-' || lpad(CAST(1 + p_size % 12 AS STRING), 2, '0') || '-' || lpad(CAST(1 + p_partkey % 28 AS STRING), 2, '0') AS added, p_size % 2 = 0 AS ransomware
-FROM {part} WHERE p_partkey % 5 = 0
+SELECT 'CVE-2024-' || CAST(10000 + 5 * p_partkey AS STRING) AS cve, '2023-' || lpad(CAST(1 + p_size % 12 AS STRING), 2, '0') || '-' || lpad(CAST(1 + p_partkey % 28 AS STRING), 2, '0') AS added, p_size % 2 = 0 AS ransomware
+FROM {part}
 """
 EPSS = """
-SELECT 'CVE-2024-' || CAST(10000 + p_partkey AS STRING) AS cve, round((p_retailprice - 900) / 100, 4) AS score, '2024-01-31' AS day FROM {part} WHERE p_partkey % 3 <> 1
+SELECT 'CVE-2024-' || CAST(10000 + CAST(floor(p_partkey * 1.5) AS BIGINT) AS STRING) AS cve, round((p_retailprice - 900) / 100, 4) AS score, '2024-01-31' AS day FROM {part}
 """
 SSVC = """
-SELECT 'CVE-2024-' || CAST(10000 + p_partkey AS STRING) AS cve, CASE p_size % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'poc' ELSE 'none' END AS exploitation FROM {part} WHERE p_partkey % 2 = 0
+SELECT 'CVE-2024-' || CAST(10000 + 2 * p_partkey AS STRING) AS cve, CASE p_size % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'poc' ELSE 'none' END AS exploitation FROM {part}
 """
 
 #: Costs of producers from events.
