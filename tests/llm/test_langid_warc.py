@@ -38,6 +38,18 @@ def test_predictions_of_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in out.values())
 
 
+def test_the_fit_takes_a_repeated_row_once(spark, monkeypatch):
+    """Copies neither reach the driver nor crowd out other documents."""
+    rows = [r for r in docs(120) if zlib.crc32(str(r[0]).encode()) % 5]
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(spark.range(4000).selectExpr("id % 10 * 1000 + 1 as doc_id", f"'{rows[1][1]}' as text", "'aa' as lang"))
+    kind, sizes = type(many), []
+    real = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: (out := real(self), sizes.append(len(out)))[0])
+    a, b = G.fit(many, docs_each=20), G.fit(many.distinct(), docs_each=20)
+    assert sizes == [80, 80]
+    assert all((x == y).all() for x, y in ((a.roots, b.roots), (a.only, b.only), (a.link, b.link), (a.ways, b.ways)))
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_phrases_are_greedy_longest_matches(seed):
     r = random.Random(seed)

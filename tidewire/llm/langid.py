@@ -209,17 +209,19 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Automata of labelled text that isn't held out: of each language the documents of the least hashes, until their symbols suffice.
 
     Every language of a labelled row has one. Bounds: `docs_each` documents and `symbols_each` symbols of a language, of the first
-    `symbols_each` characters of each, and MODEL_SYMBOLS of all.
+    `symbols_each` characters of each, and MODEL_SYMBOLS of all. A document is a distinct id and text, so repeated rows count once.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(lang).alias("g"))
+    t = F.col(text)
+    rows = docs.where(F.col(lang).isNotNull() & t.isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(lang).alias("g"), F.xxhash64(key, t).alias("row"), F.xxhash64(F.lit("second"), t, key).alias("rowb"))
+    rows = rows.distinct()
     symbols_each = max(1, min(symbols_each, MODEL_SYMBOLS // max(1, rows.select("g").distinct().count())))
     # the least hashes of each part of a language first, so that a language of any number of rows meets one task with a few rows only
-    chosen = rows.withColumn("h", F.xxhash64("k")).withColumn("salt", F.pmod("h", F.lit(64)))
+    chosen = rows.withColumn("h", F.xxhash64("k")).withColumn("salt", F.pmod("row", F.lit(64)))
     for by in (["g", "salt"], ["g"]):
-        chosen = chosen.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "k"))).where(F.col("r") <= docs_each)
-    chosen = chosen.select("g", "k", "r")
-    named = docs.where(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("g"), F.substring(F.col(text), 1, symbols_each).alias("t"))
-    got = named.join(F.broadcast(chosen), ["g", "k"]).select("g", "r", "t").collect()  # docs_each rows a language at most
+        chosen = chosen.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "k", "row", "rowb"))).where(F.col("r") <= docs_each)
+    chosen = chosen.select("g", "row", "rowb", "r")
+    named = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("g"), F.xxhash64(key, t).alias("row"), F.xxhash64(F.lit("second"), t, key).alias("rowb"), F.substring(t, 1, symbols_each).alias("t"))
+    got = named.join(F.broadcast(chosen), ["g", "row", "rowb"]).groupBy("g", "r").agg(F.first("t").alias("t")).collect()  # docs_each rows a language at most
     samples: dict[str, np.ndarray] = {}
     for r in sorted(got, key=lambda r: (r["g"], r["r"], r["t"])):
         raw = np.frombuffer(f" {r['t']} ".encode(), np.uint8)
