@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewire import config as C
 from tidewire.functions import scalars as S
 from tidewire.operators.ranking import dealt_in_order, medians, running_max
+from tidewire.plans import keyed as K
 from tidewire.plans.store import save
 
 
@@ -21,6 +22,18 @@ def take_new(rows: DataFrame, seen: DataFrame | None = None, order: str = "pos")
     return kept.select(*rows.columns).unionByName(rows.where("key is null"))
 
 
+def take_new_kept(rows: DataFrame, history: str, number: int, order: str = "pos", buckets: int = K.BUCKETS) -> DataFrame:
+    """`take_new` as batch `number` of a capture whose keys of all batches are kept in the table at `history`, which then has this one's too.
+
+    Of the history only the buckets are read that may hold a key of the rows. A batch that comes again gives the same rows.
+    """
+    rows = save(rows, "rows")
+    seen = K.held(rows.where("key is not null").select("key").distinct(), history, number, "key string", "key", buckets)
+    new = save(take_new(rows, seen, order), "new")
+    K.append(new.where("key is not null").select("key").distinct(), history, number, "key", buckets)
+    return new
+
+
 def _successful(polls: DataFrame) -> DataFrame:
     """Polls that succeeded; an unknown outcome is none. Polls without a column `ok` are taken for successful."""
     return polls.where(F.coalesce("ok", F.lit(False))) if "ok" in polls.columns else polls

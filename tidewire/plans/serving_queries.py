@@ -334,8 +334,12 @@ def _req(spark, sf) -> DataFrame:
     return rel(spark, sf, "SELECT e.event_id AS pos, CASE e.event_id % 5 WHEN 0 THEN '/feed.xml' WHEN 1 THEN '/feed/all.json' WHEN 2 THEN '/feeds' ELSE '/' END AS path, CASE e.event_id % 4 WHEN 0 THEN 'STALE' WHEN 1 THEN 'miss' ELSE 'HIT' END AS cache FROM {events} e WHERE e.event_type = 'purchase'")
 
 
+def keyed_rows(spark, sf) -> DataFrame:
+    return _messages(spark, sf).select(F.col("pos"), L.row_key(F.lit("budget"), (F.col("pos") % 400).cast("string"), F.col("p"), (F.col("pos") % 7).cast("string")).alias("key"))
+
+
 def q41(spark, sf):
-    rows = _messages(spark, sf).select(F.col("pos"), L.row_key(F.lit("budget"), (F.col("pos") % 400).cast("string"), F.col("p"), (F.col("pos") % 7).cast("string")).alias("key"))
+    rows = keyed_rows(spark, sf)
     seen = rows.where("pos < 50").select("key")
     return B.take_new(rows.withColumn("key", F.when(F.col("pos") % 100 != 99, F.col("key"))), seen)
 
@@ -423,14 +427,14 @@ def q41r(spark, sf):
     return L.read_rows(lines).groupBy(F.coalesce("k", F.lit("-")).alias("k"), "valid").agg(F.count("*").alias("n"))
 
 
-_GAPS = """SELECT 'capture' AS stream, CAST({epoch} AS BIGINT) * 1000 - 600000 AS from_ms, CAST({epoch} AS BIGINT) * 1000 + event_id % 7 AS to_ms, event_id % 5 <> 0 AS ok, CASE WHEN event_id % 10 = 0 THEN 'timeout' END AS failure, event_id % 11 = 0 AS truncated, event_id % 13 = 0 AS ex, event_id FROM {events} e WHERE event_type = 'error'"""
+GAPS = """SELECT 'capture' AS stream, CAST({epoch} AS BIGINT) * 1000 - 600000 AS from_ms, CAST({epoch} AS BIGINT) * 1000 + event_id % 7 AS to_ms, event_id % 5 <> 0 AS ok, CASE WHEN event_id % 10 = 0 THEN 'timeout' END AS failure, event_id % 11 = 0 AS truncated, event_id % 13 = 0 AS ex, event_id FROM {events} e WHERE event_type = 'error'"""
 
 
 def q46p(spark, sf):
     """What a capture couldn't read."""
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
     one = F.array(F.struct((F.col("from_ms") + 5).alias("start"), F.lit(None).cast("long").alias("end")))
-    polls = rel(spark, sf, _GAPS).withColumn("excluded", F.when(F.col("ex"), one).otherwise(none))
+    polls = rel(spark, sf, GAPS).withColumn("excluded", F.when(F.col("ex"), one).otherwise(none))
     return B.gap_rows(polls, 600_000, 60_000)
 
 
@@ -494,7 +498,7 @@ ORACLES = {
     "q22_epss_urls": f"WITH {_EPSS_SQL} SELECT batch, 'https://scores.example.org/epss?cve=' || string_agg(cve, ',' ORDER BY cve) || '&limit=100' AS url FROM b WHERE batch IS NOT NULL GROUP BY batch",
     "q38_mark_shown": f"WITH {_VIEW} SELECT user_id, article AS article_id, kind, at_ms FROM lm UNION ALL SELECT user_id, id, 'read', {NOW + 2} FROM vw WHERE ok AND NOT r AND (len(sections) = 0 OR list_contains(sections, section))",
     "q41_read_rows": "SELECT CASE WHEN event_id % 9 = 0 THEN '-' WHEN event_id % 7 = 0 THEN 'other' ELSE 'budget' END AS k, event_id % 9 <> 0 AND event_id % 7 <> 0 AS valid, count(*) AS n FROM events GROUP BY ALL",
-    "q46_gap_rows": "WITH p AS (" + A.duck_sql(_GAPS) + "), m AS (SELECT *, max(CASE WHEN ok THEN to_ms END) OVER (ORDER BY to_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p) SELECT DISTINCT * FROM (SELECT stream, from_ms AS gap_from, to_ms AS gap_to, coalesce(failure, 'cli-exit') AS reason FROM p WHERE NOT ok UNION ALL SELECT stream, from_ms, to_ms, 'truncated' FROM p WHERE truncated UNION ALL SELECT stream, from_ms + 5, to_ms, 'excluded' FROM p WHERE ex UNION ALL SELECT stream, b, to_ms, 'missed-poll' FROM m WHERE to_ms - b > 540000)",
+    "q46_gap_rows": "WITH p AS (" + A.duck_sql(GAPS) + "), m AS (SELECT *, max(CASE WHEN ok THEN to_ms END) OVER (ORDER BY to_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p) SELECT DISTINCT * FROM (SELECT stream, from_ms AS gap_from, to_ms AS gap_to, coalesce(failure, 'cli-exit') AS reason FROM p WHERE NOT ok UNION ALL SELECT stream, from_ms, to_ms, 'truncated' FROM p WHERE truncated UNION ALL SELECT stream, from_ms + 5, to_ms, 'excluded' FROM p WHERE ex UNION ALL SELECT stream, b, to_ms, 'missed-poll' FROM m WHERE to_ms - b > 540000)",
     "q02_body_gates": f"WITH s AS ({A.duck_sql(A.SOURCES)}), b AS ({A.duck_sql(_BODIES)}) SELECT doc_id, CASE WHEN status <> 200 THEN 'status' WHEN NOT (contains(lower(content_type), 'xml') OR (allow_html AND contains(lower(content_type), 'html'))) THEN 'content type' WHEN strlen(body) > coalesce(max_body_bytes, 2097152) THEN 'size' ELSE 'ok' END AS outcome FROM b JOIN s USING (source_id)",
     "q20_json_gate": "WITH a AS (" + A.duck_sql(_ANSWERS) + ") SELECT event_id, reason IS NULL AS ok, reason FROM (SELECT event_id, CASE WHEN status IS NULL THEN 'network' WHEN status <> 200 THEN 'status' WHEN strlen(body) > 9 THEN 'size' WHEN body LIKE '<%' THEN 'json' END AS reason FROM a)",
     "q20_redirects": "WITH h AS (" + A.duck_sql(_HOPS) + "), x AS (SELECT chain, hop, lower(regexp_extract(url, '^https://([^/?#]+)', 1)) AS host FROM h), f AS (SELECT chain, arg_min(host, hop) AS first FROM x GROUP BY chain) SELECT chain, bool_and(host = first AND host <> '') AND max(hop) <= 5 AS ok FROM x JOIN f USING (chain) GROUP BY chain",

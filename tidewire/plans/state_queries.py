@@ -1,18 +1,20 @@
-"""Queries of what is kept from batch to batch: stories, versions of dimensions and polls, each with its SQL."""
+"""Queries of what is kept from batch to batch: stories, versions of dimensions, polls, histories, marks and published sets, each with its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.operators import budget as B
 from tidewire.operators import dimensions as D
 from tidewire.plans import edition_queries as Q
+from tidewire.plans import keyed, serving_queries
 from tidewire.plans import standins as A
 from tidewire.plans.edition_queries import TO_DEDUPE, chain, rel
 from tidewire.plans.store import new_path, save
-from tidewire.sources import paged
+from tidewire.sources import paged, publish
 from tidewire.streaming import refresh as R
-from tidewire.streaming import stories
+from tidewire.streaming import stories, timers
 
 NOW, HOUR = A.NOW_MS, 3_600_000
 BATCHES = 10
@@ -112,7 +114,55 @@ def q53(spark, sf):
     return spark.read.schema(rows.schema).parquet(out).select("kind", "id", "event", "gap_from", "gap_to", "reason")
 
 
-QUERIES = {"q50_incremental_dedupe": q50, "q51_versions_as_of": q51, "q52_states_as_of": q52, "q53_paged_capture": q53}
+# ---- history, timers, marks and published sets ----
+
+def q54(spark, sf):
+    """New rows of a capture against a long history: keys of the first events and of all line items."""
+    rows, history = serving_queries.keyed_rows(spark, sf), new_path(spark, "history")
+    old = rel(spark, sf, "SELECT sha1(CAST(concat(l_orderkey, '-', l_linenumber) AS BINARY)) AS key FROM {lineitem}")
+    keyed.append(old.unionByName(rows.where("pos < 50").select("key")).distinct(), history, 0)
+    return B.take_new_kept(rows.withColumn("key", F.when(F.col("pos") % 100 != 99, F.col("key"))), history, 1)
+
+
+def _streamed(rows: DataFrame, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    path = new_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(path)
+
+
+def _collected(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream appends, when it has taken all that is there."""
+    out, check = new_path(stream.sparkSession, name), new_path(stream.sparkSession, f"{name}-state")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def q55(spark, sf):
+    """Missed polls as a stream finds them by its timers."""
+    polls = rel(spark, sf, serving_queries.GAPS).select("stream", "to_ms", "ok")
+    return _collected(timers.overdue_polls(_streamed(polls, "polls"), 540_000), "gaps").where("reason = 'missed-poll'").select("stream", "gap_from", "gap_to").distinct()
+
+
+def q56(spark, sf):
+    """Marks by a stream of actions with state that expires: marks of old, then toggles, then additions."""
+    old = rel(spark, sf, A.MARKS).select("user_id", F.col("article").alias("article_id"), "kind", F.lit("add").alias("action"), "at_ms")
+    change = rel(spark, sf, "SELECT DISTINCT user_id, event_id % 97 AS article_id, 'read' AS kind FROM {events} WHERE event_type = 'view'")
+    later = [change.select("*", F.lit(a).alias("action"), F.lit(NOW + d).cast("long").alias("at_ms")) for a, d in (("toggle", 1), ("add", 2))]
+    actions = old.unionByName(later[0]).unionByName(later[1])
+    return timers.latest_marks(_collected(timers.live_marks(_streamed(actions, "actions")), "marks"))
+
+
+def q57(spark, sf):
+    """All feeds of both kinds, published as one set over an older one and read back."""
+    path = new_path(spark, "feeds")
+    publish.publish(spark.createDataFrame([("old.xml", "of the set before")], "name string, body string"), path)
+    both = [q(spark, sf).select(F.concat("slug", F.lit(kind)).alias("name"), "body") for q, kind in ((serving_queries.q31, ".xml"), (serving_queries.q32, ".json"))]
+    publish.publish(both[0].unionByName(both[1]), path)
+    return publish.published(spark, path)
+
+
+QUERIES = {"q50_incremental_dedupe": q50, "q51_versions_as_of": q51, "q52_states_as_of": q52, "q53_paged_capture": q53, "q54_take_new_history": q54, "q55_overdue_polls": q55, "q56_live_marks": q56, "q57_published_feeds": q57}
 
 _STATES = f"""
 WITH rows AS ({A.duck_sql(_ROWS)}), ids AS ({A.duck_sql(_ASKED)}), clocks(clock_ms) AS (VALUES {', '.join(f'({NOW - h * HOUR}::BIGINT)' for h in _MOMENTS)}),
@@ -133,4 +183,8 @@ ORACLES = {
       k AS (SELECT id, event, (t - s) // {_EVERY} AS k, (t - s) % {_EVERY} < {_LONG - _EVERY} AS again FROM e, b), w AS (SELECT s + k * {_EVERY} AS a, k FROM b, range(0, (SELECT (z - s) // {_EVERY} + 1 FROM b)) r(k))
       SELECT 'line' AS kind, id, event, NULL::BIGINT AS gap_from, NULL::BIGINT AS gap_to, NULL AS reason FROM k WHERE k % 7 <> 3 OR (again AND k > 0 AND (k - 1) % 7 <> 3)
       UNION ALL SELECT 'gap', NULL, NULL, a, a + {_LONG}, 'cli-exit' FROM w WHERE k % 7 = 3 UNION ALL SELECT 'gap', NULL, NULL, a + 1000, a + {_LONG}, 'excluded' FROM w WHERE k % 7 <> 3 AND k % 5 = 2""",
+    "q54_take_new_history": serving_queries.ORACLES["q41_take_new"],
+    "q55_overdue_polls": f"WITH p AS ({A.duck_sql(serving_queries.GAPS)}), m AS (SELECT *, max(CASE WHEN ok THEN to_ms END) OVER (ORDER BY to_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p) SELECT DISTINCT stream, b AS gap_from, to_ms AS gap_to FROM m WHERE to_ms - b > 540000",
+    "q56_live_marks": serving_queries.ORACLES["q38_marks"].replace(f"{NOW} + 1", f"{NOW} + 2").replace(f"THEN {NOW} ", f"THEN {NOW} + 1 "),
+    "q57_published_feeds": f"SELECT slug || '.xml' AS name, body FROM ({serving_queries.ORACLES['q31_rss']}) UNION ALL SELECT slug || '.json', body FROM ({serving_queries.ORACLES['q32_json_feed']})",
 }
