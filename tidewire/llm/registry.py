@@ -13,7 +13,7 @@ from tidewire.llm.neardup import op3_minhash_near_dedup
 from tidewire.llm.quality import op6_quality_rules
 from tidewire.llm.resample import op12_importance_resampling
 from tidewire.llm.suffixdup import op1_suffix_array_dedup
-from tidewire.llm.urls import op8_url_filter
+from tidewire.llm.urls import op8_url_filter, planted_url_rules
 from tidewire.llm.vectordup import op11_embedding_near_dedup
 from tidewire.llm.warc import op10_warc
 
@@ -31,6 +31,7 @@ QUERIES = {
     "op11_embedding_near_dedup": op11_embedding_near_dedup,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_fill_in_middle": op13_fill_in_middle,
+    "planted_url_rules": planted_url_rules,
 }
 
 #: SQL for DuckDB; op7 and op9 are fitted models, which SQL doesn't express: they are tested against brute force.
@@ -46,4 +47,5 @@ ORACLES: dict[str, str] = {
     "op11_embedding_near_dedup": vectordup.ORACLE_SQL,
     "op12_importance_resampling": resample.ORACLE_SQL,
     "op13_fill_in_middle": infill.ORACLE_SQL,
+    "planted_url_rules": urls.PLANTED_SQL,
 }
