@@ -186,6 +186,19 @@ def test_refresh_keeps_a_horizon_of_batches(spark):
     assert R.current(spark, versions).first()["s"] == 6
 
 
+def test_refresh_deletes_what_is_older_than_its_horizon(spark, monkeypatch):
+    from pathlib import Path
+
+    monkeypatch.setattr(R, "EDITIONS", 2)
+    source, versions, check = (new_path(spark, n) for n in "abc")
+    for value in (1, 2, 4, 8):
+        spark.createDataFrame([(value,)], "x int").coalesce(1).write.mode("append").parquet(source)
+        R.refresh(spark.readStream.schema("x int").parquet(source), lambda b: b.agg(F.sum("x").alias("s")), versions, check, keep=2).awaitTermination()
+    there = Path(versions.removeprefix("file://"))
+    assert sorted(p.name for p in (there / "items").iterdir()) == ["batch=2", "batch=3"]
+    assert len(list(there.glob("v0*"))) == 2 and R.current(spark, versions).first()["s"] == 12
+
+
 def test_sinks(spark):
     kind = "slug string, feed_title string, feed_rank int, title string, url string, summary string, source string, tier string, source_type string, section string, importance string, importance_reason string, cves array<string>, published_ms long"
     items = spark.createDataFrame([("all", "All", 2, "b", "https://e/2", "", "Other", "T", "news", "S", "normal", None, [], 0), ("all", "All", 1, "a <b>", "https://e/1", "s\x07", "Known", "T", "news", "S", "high", "Breach", ["CVE-2024-1111"], 0)], kind)

@@ -55,7 +55,8 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
     where, files = _place(spark, path)
     files.delete(where, True)
     if path in _WRITTEN:
@@ -64,7 +65,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def discard(saved: DataFrame) -> None:
     """Delete what `save` wrote, where nothing that is still to be computed reads it."""
-    _delete(saved.sparkSession, saved._written_to)
+    remove(saved.sparkSession, saved._written_to)
 
 
 @contextmanager
@@ -75,7 +76,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in [x for x in _WRITTEN if x not in before]:
-            _delete(spark, path)
+            remove(spark, path)
 
 
 def tasks(spark: SparkSession, size: float = 0) -> int:
