@@ -59,7 +59,7 @@ def states_at(ids: DataFrame, clocks: DataFrame, rows: DataFrame) -> DataFrame:
     have = clocks.groupBy("clock_ms").pivot("dimension", ["kev", "epss", "ssvc"]).agg(F.max("version_ms"))
     moments = have.agg(F.collect_list(F.struct(*have.columns)).alias("moments"))  # one row: the clocks are few
     asked = ids.select("cve").join(F.broadcast(moments)).select("cve", F.inline("moments"))
-    said = seen_at(clocks, rows)
+    said = seen_at(F.broadcast(clocks), rows)  # not the rows: written ones may look small enough by their compressed files
     for d, value in (("kev", F.lit(True)), ("epss", F.col("score")), ("ssvc", F.col("exploitation"))):
         asked = asked.join(said.where(F.col("dimension") == d).select("clock_ms", "cve", value.alias(f"{d}_said")), ["clock_ms", "cve"], "left")
     state = lambda d, yes, no: F.when(F.col(d).isNull(), "unavailable").when(F.col(f"{d}_said").isNotNull(), yes).otherwise(no)

@@ -62,7 +62,7 @@ _ASKED = "SELECT DISTINCT 'CVE-2024-' || CAST(10000 + (doc_id * 7) % 900 AS STRI
 def q52(spark, sf):
     """What three catalogues in three versions each say of the ids at several moments."""
     rows = save(rel(spark, sf, _ROWS), "versions")
-    at = D.as_of(_clocks(spark.createDataFrame([(NOW - h * HOUR,) for h in _MOMENTS], "clock_ms long"), ["kev", "epss", "ssvc"]), rows.select("dimension", "version_ms").distinct())
+    at = save(D.as_of(_clocks(spark.createDataFrame([(NOW - h * HOUR,) for h in _MOMENTS], "clock_ms long"), ["kev", "epss", "ssvc"]), rows.select("dimension", "version_ms").distinct()), "seen")
     health = at.groupBy("clock_ms").pivot("dimension", ["kev", "epss", "ssvc"]).agg(F.max("state"))
     health = health.select("clock_ms", F.concat_ws(",", "kev", "epss", "ssvc").alias("health"))
     return D.states_at(rel(spark, sf, _ASKED), at, rows).join(F.broadcast(health), "clock_ms")  # a row for each moment
