@@ -56,38 +56,46 @@ def live_marks(actions: DataFrame, delay: str = "0 seconds", keep_ms: int = C.MA
     """(user_id, article_id, kind, at_ms, moment_ms) of each change of a mark by a stream of actions (user_id, article_id, kind, action, at_ms).
 
     `toggle` sets a mark that isn't there and removes one that is; `add` sets one that isn't there and leaves one that is. at_ms is null where a mark
-    goes; the latest moment_ms of a key tells what holds. A mark lives `keep_ms`: its state goes with the timer of its end, so
+    goes; the latest moment_ms of a key tells what holds. A mark lives `keep_ms`: it goes with the timer of its end, so
     that state grows with the marks that live and not with all that ever were, and an action after the end finds none. Actions of one key are taken by
     their time within a batch, an `add` after a `toggle` of the same moment, and batches in the order in which they come. Rows with a null in any
-    column or another action do nothing, nor do those that the watermark had passed.
+    column or another action do nothing, nor do those that the watermark had passed. State is by reader: one call takes all that a batch has of a reader,
+    and holds the marks of the last `keep_ms`.
     """
 
     def act(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (at,) = state.get if state.exists else (None,)
-        out = []
-        if state.hasTimedOut:
-            out.append((None, at + keep_ms))
-            at = None
-        else:
-            rows = pd.concat(list(chunks)).sort_values(["at_ms", "action"], ascending=[True, False])
-            for action, moment in zip(rows["action"].tolist(), rows["at_ms"].tolist(), strict=True):
+        marks = {(a, k): at for a, k, at in zip(*state.get, strict=True)} if state.exists else {}
+        now, out, seen = state.getCurrentWatermarkMs(), [], set()
+        if not state.hasTimedOut:
+            rows = [r for c in chunks for r in zip(*(c[x].tolist() for x in ("article_id", "kind", "action", "at_ms")), strict=True)]
+            rows.sort(key=lambda r: (r[3], r[2] == "add"))
+            for article, kind, action, moment in rows:
+                mark = (article, kind)
+                at = marks.pop(mark, None)
                 if at is not None and moment - at >= keep_ms:
                     at = None
                 was, at = at, None if at is not None and action == "toggle" else moment if at is None else at
-                if at != was or not out:
-                    out.append((at, moment))
-        if at is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((at,))
-            state.setTimeoutTimestamp(max(at + keep_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(*key, *x) for x in out], columns=["user_id", "article_id", "kind", "at_ms", "moment_ms"]).astype({"at_ms": "Int64"})
+                if at != was or mark not in seen:
+                    out.append((*mark, at, moment))
+                seen.add(mark)
+                if at is not None:
+                    marks[mark] = at
+        for mark, at in [x for x in marks.items() if x[0] not in seen and x[1] + keep_ms <= now]:
+            del marks[mark]
+            out.append((*mark, None, at + keep_ms))
+        if marks:
+            state.update(([a for a, _ in marks], [k for _, k in marks], list(marks.values())))
+            state.setTimeoutTimestamp(max(min(marks.values()) + keep_ms, now + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            articles, kinds, ats, moments = zip(*out, strict=True)
+            yield pd.DataFrame({"user_id": key[0], "article_id": articles, "kind": kinds, "at_ms": pd.array(ats, "Int64"), "moment_ms": moments})
 
     columns = ["user_id", "article_id", "kind", "action", "at_ms"]
     good = actions.where(" and ".join(f"{c} is not null" for c in columns)).where(F.col("action").isin("toggle", "add"))
-    rows = good.select(*columns, F.timestamp_millis("at_ms").alias("at")).withWatermark("at", delay).groupBy("user_id", "article_id", "kind")
-    return rows.applyInPandasWithState(act, "user_id long, article_id long, kind string, at_ms long, moment_ms long", "at_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = good.select(*columns, F.timestamp_millis("at_ms").alias("at")).withWatermark("at", delay).groupBy("user_id")
+    return rows.applyInPandasWithState(act, "user_id long, article_id long, kind string, at_ms long, moment_ms long", "articles array<long>, kinds array<string>, ats array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_marks(changes: DataFrame) -> DataFrame:
