@@ -228,6 +228,12 @@ def q32(spark, sf):
     return K.json_feed(V.feed_items(edition(spark, sf), V.feeds_df(spark)), NOW, *_SITE)
 
 
+def feeds(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """RSS and JSON Feed texts of each feed, of one edition."""
+    items = save(V.feed_items(edition(spark, sf), V.feeds_df(spark)), "feed-items")
+    return K.rss(items, sources(spark, sf), NOW, *_SITE), K.json_feed(items, NOW, *_SITE)
+
+
 def q33(spark, sf):
     return V.section_plan(edition(spark, sf))
 

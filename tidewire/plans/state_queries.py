@@ -157,8 +157,8 @@ def q57(spark, sf):
     """All feeds of both kinds, published as one set over an older one and read back."""
     path = new_path(spark, "feeds")
     publish.publish(spark.createDataFrame([("old.xml", "of the set before")], "name string, body string"), path)
-    both = [q(spark, sf).select(F.concat("slug", F.lit(kind)).alias("name"), "body") for q, kind in ((serving_queries.q31, ".xml"), (serving_queries.q32, ".json"))]
-    publish.publish(both[0].unionByName(both[1]), path)
+    rss, json_feed = serving_queries.feeds(spark, sf)
+    publish.publish(rss.select(F.concat("slug", F.lit(".xml")).alias("name"), "body").unionByName(json_feed.select(F.concat("slug", F.lit(".json")).alias("name"), "body")), path)
     return publish.published(spark, path)
 
 

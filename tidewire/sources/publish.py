@@ -4,98 +4,57 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
 
-from pyarrow import fs
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-
-from tidewire.plans.store import exists
 
+from tidewire.plans.store import _place, exists, remove
 
 #: Sets that are kept, the present one included, so that a reader who has found one can read it to its end.
 KEPT = 8
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    names: list[str]
-
-
-class _Writer(DataSourceWriter):
-    """Tasks write bodies under a version's folder; the commit, a small file, is what makes it the present one."""
-
-    def __init__(self, path: str, version: str, kept: int):
-        self.path, self.version, self.kept = path.rstrip("/"), version, kept
-
-    def _open(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.path)
-
-    def write(self, iterator: Iterator[Row]) -> _Written:
-        files, root = self._open()
-        at = f"{root}/versions/{self.version}"
-        files.create_dir(at, recursive=True)
-        names = []
-        for row in iterator:
-            name = f"{row['name']}-{uuid.uuid4().hex}"  # a task that is run twice leaves two files, of which one is committed
-            with files.open_output_stream(f"{at}/{name}") as out:
-                out.write((row["body"] or "").encode())
-            names.append(name)
-        return _Written(names)
+def _commits(spark: SparkSession, path: str) -> list[int]:
+    where, files = _place(spark, f"{path}/commits")
+    files.mkdirs(where)
+    return sorted(int(n) for n in (f.getPath().getName() for f in files.listStatus(where)) if n.isdigit())
 
-    def commit(self, messages: list[_Written | None]) -> None:
-        files, root = self._open()
-        at = f"{root}/commits"
-        files.create_dir(at, recursive=True)
-        found = [int(f.base_name) for f in files.get_file_info(fs.FileSelector(at)) if f.base_name.isdigit()]
-        text = json.dumps({"version": self.version, "names": sorted(n for m in messages if m for n in m.names)})
-        with files.open_output_stream(f"{at}/.{self.version}") as out:
-            out.write(text.encode())
-        files.move(f"{at}/.{self.version}", f"{at}/{max(found, default=-1) + 1:012d}")
-        for old in sorted(found)[: max(0, len(found) + 1 - self.kept)]:
-            files.delete_file(f"{at}/{old:012d}")
-        held = {json.loads(files.open_input_stream(f.path).read())["version"] for f in files.get_file_info(fs.FileSelector(at)) if f.base_name.isdigit()}
-        for f in files.get_file_info(fs.FileSelector(f"{root}/versions", allow_not_found=True)):
-            if f.base_name not in held:  # of an old set, or of a failed one whose last tasks wrote after its abort
-                files.delete_dir(f.path)
 
-    def abort(self, messages: list[_Written | None]) -> None:
-        files, root = self._open()
-        at = f"{root}/versions/{self.version}"
-        if files.get_file_info(at).type != fs.FileType.NotFound:
-            files.delete_dir(at)
-
-
-class FeedSet(DataSource):
-    """`df.write.format("feed_set").mode("append").option("path", uri)`: rows (name, body), all under one version. One publisher at a time; `path` is a folder by the URI of a file system that Arrow writes."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "feed_set"
-
-    def schema(self) -> str:
-        return "name string, body string"
-
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], self.options.get("version") or uuid.uuid4().hex, int(self.options.get("kept", KEPT)))
+def _version(spark: SparkSession, path: str, number: int) -> str:
+    return json.loads(spark.read.text(f"{path}/commits/{number:012d}", wholetext=True).first()["value"])["version"]
 
 
 def publish(bodies: DataFrame, path: str, kept: int = KEPT) -> None:
-    """Publish bodies (name, body) as the present set, and let all but the last `kept` go; a failure leaves the one before."""
-    bodies.sparkSession.dataSource.register(FeedSet)
-    bodies.select("name", "body").write.format("feed_set").mode("append").option("path", path).option("kept", kept).save()
+    """Publish bodies (name, body) as the present set, and let all but the last `kept` go; a failure leaves the one before.
+
+    Tasks write a text file for each body under a version's folder; the commit, a small file, is what makes it the present one. One
+    publisher at a time.
+    """
+    spark, path, version = bodies.sparkSession, path.rstrip("/"), uuid.uuid4().hex
+    try:
+        bodies.select("name", F.coalesce("body", F.lit("")).alias("value")).write.partitionBy("name").option("maxRecordsPerFile", 1).text(f"{path}/versions/{version}")
+    except Exception:
+        remove(spark, f"{path}/versions/{version}")
+        raise
+    found = _commits(spark, path)
+    draft, files = _place(spark, f"{path}/commits/.{version}")
+    out = files.create(draft)
+    out.write(bytearray(json.dumps({"version": version}).encode()))
+    out.close()
+    number = found[-1] + 1 if found else 0
+    if not files.rename(draft, _place(spark, f"{path}/commits/{number:012d}")[0]):
+        raise RuntimeError(f"set {number} of {path} was not committed")
+    for old in found[: max(0, len(found) + 1 - kept)]:
+        remove(spark, f"{path}/commits/{old:012d}")
+    held = {_version(spark, path, n) for n in _commits(spark, path)}
+    for f in files.listStatus(_place(spark, f"{path}/versions")[0]):
+        if f.getPath().getName() not in held:  # of an old set, or of one whose publisher failed
+            files.delete(f.getPath(), True)
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
     """(name, body) of the present set; no rows before the first one."""
-    if not exists(spark, f"{path}/commits"):
-        return spark.createDataFrame([], "name string, body string")
-    commits = spark.read.text(f"{path}/commits", wholetext=True).select("value", F.col("_metadata.file_name").alias("f"))
-    said = json.loads(commits.orderBy(F.desc("f")).first()["value"])
-    if not said["names"]:
+    if not exists(spark, f"{path}/commits") or not (found := _commits(spark, path)):
         return spark.createDataFrame([], "name string, body string")
-    names = spark.createDataFrame([(n,) for n in said["names"]], "f string")  # as many as there are feeds
-    rows = spark.read.text(f"{path}/versions/{said['version']}", wholetext=True).select("value", F.col("_metadata.file_name").alias("f"))
-    return rows.join(F.broadcast(names), "f").select(F.regexp_replace("f", "-[0-9a-f]{32}$", "").alias("name"), F.col("value").alias("body"))
+    rows = spark.read.schema("value string, name string").text(f"{path}/versions/{_version(spark, path, found[-1])}", wholetext=True)
+    return rows.select("name", F.left("value", F.length("value") - 1).alias("body"))  # a text file ends with a line feed of its own
