@@ -146,3 +146,59 @@ def test_bands_grow_slowly(n, most):
     bits, count = D.bands(n)
     assert count <= most and n / 2**bits <= D.DENSE
     assert (1 - (1 - math.acos(0.95) / math.pi) ** bits) ** count <= D.MISS
+
+
+def _joined(n, links):
+    """The component of each of `n` places."""
+    root = list(range(n))
+    for x, y in links:
+        a, b = sorted((root[x], root[y]))
+        root = [a if r == b else r for r in root]
+    return root
+
+
+def _loose(rng, n):
+    """Vectors around two centres, of which many are near few others, and copies of their sides in a chain."""
+    out = []
+    for k in range(2):
+        base = rng.standard_normal(32)
+        out += near(rng, base, rng.uniform(0.9, 0.999, n))
+    return out
+
+
+def test_a_crowded_region_loses_no_pair(monkeypatch):
+    """Rows that differ early in the region's order and lie far from each other in it."""
+    monkeypatch.setattr(D, "REGION", 40)
+    rng = np.random.default_rng(7)
+    most = D.most_apart(256)
+    for share in (0.12, 0.13, 0.14):
+        base = rng.integers(0, 256, 32, dtype=np.uint8)
+        rows = np.tile(base, (300, 1)) ^ np.packbits(rng.random((300, 256)) < share, axis=1)
+        rows = rows[np.lexsort(rows.T[::-1])]
+        code = D._words(rows)
+        pairs = np.argwhere(np.bitwise_count(code[:, None] ^ code[None, :]).sum(axis=2) <= most).tolist()
+        assert _joined(300, D._region(code, rows, most)) == _joined(300, pairs)
+
+
+@pytest.mark.parametrize("region", [4, 50, 8192])
+def test_regions_of_any_size_and_of_several_tasks_lose_no_candidate(spark, monkeypatch, region):
+    monkeypatch.setattr(D, "REGION", region)
+    rng = np.random.default_rng(8)
+    x = _loose(rng, 150)
+    bits, count = D.bands(len(x))
+    total = max(D.LEAST_BITS, bits * count)
+    signs = D.codes(D.unit(x), total)
+    apart = (signs[:, None] != signs[None, :]).sum(axis=2)
+    shared = np.zeros(apart.shape, bool)
+    for band in range(count):
+        own = np.roll(signs, -band * bits, axis=1)[:, :bits]
+        shared |= (own[:, None] == own[None, :]).all(axis=2)
+    want = np.argwhere(shared & (apart <= D.most_apart(total))).tolist()
+    found = D.candidates(spark.createDataFrame(list(enumerate(x)), "skey long, v array<double>"), len(x)).collect()
+    assert _joined(len(x), [(r["a"], r["b"]) for r in found]) == _joined(len(x), want)
+
+
+def test_crowded_regions_link_like_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(D, "REGION", 8)
+    rows = list(enumerate(_loose(np.random.default_rng(9), 120)))
+    assert got(spark, rows) == brute(rows)

@@ -33,8 +33,8 @@ MISS, DENSE = 1e-5, 32
 ANGLE_SD, PRODUCT_SD = 5.0, 6.0
 #: Bits of all bands together at least, so that unrelated vectors of a small table are told apart too.
 LEAST_BITS = 256
-#: Rows that one region compares at once; vectors of a cluster that one task compares, about.
-REGION, BLOCK = 1024, 1024
+#: Rows of a region that one task compares by itself; vectors of a cluster that one task compares, about.
+REGION, BLOCK = 8192, 1024
 #: What sums of single-precision products may be off by.
 SLACK = 1e-4
 
@@ -196,59 +196,141 @@ def _forest(code: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def _region(code: np.ndarray, rest: np.ndarray, most: int, depth: int = 0) -> list[tuple[int, int]]:
-    """Candidates of a region in its sorted order; one beyond REGION rows is split where its next byte changes, and neighbours are compared."""
-    n = len(code)
-    if n <= REGION:
-        return _forest(code, most)
-    if depth >= rest.shape[1]:
-        return [(i - 1, i) for i in range(1, n)]  # one and the same code
-    out = []
-    cut = np.flatnonzero(np.concatenate([[True], rest[1:, depth] != rest[:-1, depth], [True]]))
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        out += [(a + x, a + y) for x, y in _region(code[a:b], rest[a:b], most, depth + 1)]
-    near = np.flatnonzero(np.bitwise_count(code[1:] ^ code[:-1]).sum(axis=1) <= most)
-    return out + [(i, i + 1) for i in near.tolist()]
+def _region(code: np.ndarray, rest: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Candidates of a whole region in its sorted order: a spanning forest of its rows, of which equal ones are taken once."""
+    first = np.concatenate([[True], (rest[1:] != rest[:-1]).any(axis=1)])
+    at = np.flatnonzero(first)
+    return [(i - 1, i) for i in np.flatnonzero(~first).tolist()] + [(int(at[x]), int(at[y])) for x, y in _forest(code[at], most)]
+
+
+def _ords(c: pa.Array) -> np.ndarray:
+    """A column of equally long binaries as rows of bytes."""
+    return np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1)
+
+
+def _apart(q: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Differing bits of each row of `q` and each of `a`."""
+    return sum(np.bitwise_count(q[:, k, None] ^ a[None, :, k]).astype(np.uint16) for k in range(q.shape[1]))
+
+
+def _dense(rows: DataFrame, head: int, most: int) -> DataFrame:
+    """Candidate links (a, b) of whole regions of any size (region, ord, skey), no pair left out.
+
+    A region of up to REGION rows is settled by one task. Of a larger one the rows within half of `most` bits of one of them are linked to that one: any two
+    of them are candidates. Only the rest is compared with all rows, in blocks.
+    """
+    sizes = save(rows.groupBy("region").agg(F.count("*").alias("m"), F.min_by(F.struct("ord", "skey"), F.xxhash64("skey")).alias("pivot")), "regions")
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0).cast("long")
+    named, links, size = rows.join(sizes.select("region", "m"), "region"), None, 0.0
+    units = named.where(f"m <= {REGION}").select("region", zero.alias("i"), zero.alias("j"), "ord", "skey", yes.alias("asks"), yes.alias("answers"))
+    if not sizes.where(f"m > {REGION}").isEmpty():
+
+        def cored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rb in batches:
+                if rb.num_rows:
+                    own, pivot = (_words(_ords(rb.column(k))[:, 6:]) for k in (1, 3))
+                    core = np.bitwise_count(own ^ pivot).sum(axis=1) <= most // 2
+                    yield pa.RecordBatch.from_arrays([*(rb.column(k) for k in (0, 1, 2, 4, 5)), pa.array(core)], names=["region", "ord", "skey", "pivot_key", "m", "core"])
+
+        large = rows.join(sizes.where(f"m > {REGION}"), "region").select("region", "ord", "skey", F.col("pivot.ord").alias("pivot"), F.col("pivot.skey").alias("pivot_key"), "m")
+        large = save(large.mapInArrow(cored, "region binary, ord binary, skey long, pivot_key long, m long, core boolean"), "large-regions")
+        outside = save(large.groupBy("region").agg(F.count_if(~F.col("core")).alias("n_out"), F.max("m").alias("size")).where("n_out > 0"), "outside")
+        block = max(1, REGION // 2)
+        blocks = lambda c: F.ceil(F.col(c) / block).cast("long")
+        mine = lambda c: F.pmod(F.xxhash64("skey"), blocks(c)).cast("long")
+        open_ = large.join(outside, "region")
+        asks = open_.where("not core").withColumn("j", F.explode(F.sequence(zero, blocks("size") - 1))).select("region", mine("n_out").alias("i"), "j", "ord", "skey", yes.alias("asks"), no.alias("answers"))
+        answers = open_.withColumn("i", F.explode(F.sequence(zero, blocks("n_out") - 1))).select("region", "i", mine("size").alias("j"), "ord", "skey", no.alias("asks"), yes.alias("answers"))
+        units = units.unionByName(asks).unionByName(answers)
+        links = large.where("core and skey <> pivot_key").select(F.col("pivot_key").alias("a"), F.col("skey").alias("b"))
+        copies = outside.agg(F.sum(F.col("n_out") * blocks("size") + F.col("size") * blocks("n_out"))).first()[0] or 0
+        size = 128.0 * copies
+
+    def made(o: np.ndarray, k: np.ndarray, asks: np.ndarray, answers: np.ndarray) -> pa.RecordBatch:
+        code = _words(o[:, 6:])
+        if asks.all() and answers.all():
+            at = np.array(_region(code, o[:, head:], most), np.int64).reshape(-1, 2)
+            found = k[at]
+        else:
+            q, a = np.flatnonzero(asks), np.flatnonzero(answers)
+            near = np.zeros((len(q), len(a)), bool)
+            for x in range(0, len(q), 128):
+                near[x : x + 128] = _apart(code[q[x : x + 128]], code[a]) <= most
+            found = np.array(spanning(near, k[q], k[a]), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            o, k, i, j, asks, answers = _ords(rb.column(3)), rb.column(4).to_numpy(), *(rb.column(c).to_numpy() for c in (1, 2)), *(rb.column(c).to_numpy(zero_copy_only=False) for c in (5, 6))
+            change = (o[1:, :head] != o[:-1, :head]).any(axis=1) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            cut = np.flatnonzero(np.concatenate([[True], change, [True]]))
+            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                unit = (o[x, :head].tobytes(), int(i[x]), int(j[x]))
+                if held and unit != now:
+                    yield made(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held = []
+                now = unit
+                held.append((o[x:y], k[x:y], asks[x:y], answers[x:y]))
+        if held:
+            yield made(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    parts = tasks(rows.sparkSession, size)
+    found = units.repartition(parts, "region", "i", "j").sortWithinPartitions("region", "i", "j", "ord").mapInArrow(run, "a long, b long")
+    return found if links is None else found.unionByName(links)
 
 
 def candidates(classes: DataFrame, n: int, similar: float = SIMILAR) -> DataFrame:
-    """Candidate links (a, b) of classes (skey, v): a spanning forest of each band's regions, never all pairs."""
+    """Candidate links (a, b) of classes (skey, v): a spanning forest of each band's regions, never all pairs.
+
+    Rows are dealt by range of their order. A region that lies within one task and has REGION rows at most is settled there; others, each task's
+    first and last region among them, are handed on whole.
+    """
     bits, count = bands(n, similar)
     total = max(LEAST_BITS, bits * count)
     head, most = 6 + -(-bits // 8), most_apart(total, similar)
     wide = head + -(-(total - bits) // 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_o, rest_k = np.zeros((0, wide), np.uint8), np.zeros(0, np.int64)
+        rest_o, rest_k, handed = np.zeros((0, wide), np.uint8), np.zeros(0, np.int64), None
 
-        def links(o, k):
-            change = (o[1:, :head] != o[:-1, :head]).any(axis=1)
-            cut = np.flatnonzero(np.concatenate([[True], change, [True]]))
-            code = _words(o[:, 6:])
-            found = []
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if b - a > 1:
-                    found += [(a + x, a + y) for x, y in _region(code[a:b], o[a:b, head:], most)]
-            at = np.array(found, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(k[at[:, 0]]), pa.array(k[at[:, 1]])], names=["a", "b"])
+        def rows(a, b, o) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(o, pa.binary())], names=["a", "b", "ord"])
+
+        def hand_on(o, k) -> pa.RecordBatch:
+            return rows(k, [None] * len(k), [x.tobytes() for x in o])
 
         for rb in batches:
             if not rb.num_rows:
                 continue
-            o = np.concatenate([rest_o, np.frombuffer(b"".join(rb.column(0).to_pylist()), np.uint8).reshape(rb.num_rows, -1)])
-            k = np.concatenate([rest_k, rb.column(1).to_numpy()])
-            last = int(np.argmax((o[:, :head] == o[-1, :head]).all(axis=1)))  # the last region may go on in the next batch
-            done = last
-            if len(o) - last > 16 * REGION:  # a very dense region is read in overlapping stretches of its order
-                last, done = len(o) - REGION, len(o)
-            if done:
-                yield links(o[:done], k[:done])
-            rest_o, rest_k = o[last:], k[last:]
+            o, k = np.concatenate([rest_o, _ords(rb.column(0))]), np.concatenate([rest_k, rb.column(1).to_numpy()])
+            if handed is None:
+                handed = o[0, :head].tobytes()  # the task before may have the beginning of the first region
+            cut = np.flatnonzero(np.concatenate([[True], (o[1:, :head] != o[:-1, :head]).any(axis=1), [True]])).tolist()
+            code, found = _words(o[:, 6:]), []
+            for a, b in zip(cut[:-2], cut[1:-1], strict=True):
+                if b - a > REGION or (a == 0 and o[0, :head].tobytes() == handed):
+                    yield hand_on(o[a:b], k[a:b])
+                elif b - a > 1:
+                    found += [(a + x, a + y) for x, y in _region(code[a:b], o[a:b, head:], most)]
+            if found:
+                at = np.array(found, np.int64)
+                yield rows(k[at[:, 0]], k[at[:, 1]], [None] * len(at))
+            rest_o, rest_k = o[cut[-2] :], k[cut[-2] :]  # the last region may go on in the next batch
+            if len(rest_k) > REGION or rest_o[0, :head].tobytes() == handed:
+                handed = rest_o[0, :head].tobytes()
+                yield hand_on(rest_o, rest_k)
+                rest_o, rest_k = rest_o[:0], rest_k[:0]
         if len(rest_k):
-            yield links(rest_o, rest_k)
+            yield hand_on(rest_o, rest_k)  # the task after may have its end
 
     parts = tasks(classes.sparkSession, float(n) * count * (wide + 16))
-    return _banded(classes, bits, count, total).repartitionByRange(parts, "ord").sortWithinPartitions("ord").mapInArrow(run, "a long, b long")
+    found = _banded(classes, bits, count, total).repartitionByRange(parts, "ord").sortWithinPartitions("ord").mapInArrow(run, "a long, b long, ord binary")
+    found = save(found, "candidates")
+    dense = found.where("ord is not null").select(F.substring("ord", 1, head).alias("region"), "ord", F.col("a").alias("skey"))
+    return found.where("ord is null").select("a", "b").unionByName(_dense(dense, head, most))
 
 
 # ---- links within clusters ----
