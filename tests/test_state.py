@@ -97,3 +97,19 @@ def test_the_last_batch_reads_no_old_article(spark, monkeypatch):
     asked = spark.createDataFrame([(999,)], "idx long").selectExpr("md5(cast('uhttps://e.org/17' as binary)) as key")
     assert len(K.touched(asked, f"{state}/keys", 3, "key", 16)) <= 2  # of 48 folders
     assert not {"url", "title"} & {c for t in ("keys", "roots") for c in spark.read.parquet(f"{state}/{t}/rows").columns}
+
+
+def test_links_of_a_batch_beyond_those_of_the_plain_bound_are_settled_by_one_task(spark, monkeypatch):
+    """No rounds for a batch of a few links more than ONE_TASK of the graph; with less allowed there are some, and the result is the same."""
+    from tidewire.operators import graph
+
+    rows = articles(4, 90)
+    want = sorted(r["idx"] for r in E.dedupe(spark.createDataFrame(rows, ARTICLE)).collect())
+    rounds, real = [], graph._stars
+    monkeypatch.setattr(graph, "ONE_TASK", 3)
+    monkeypatch.setattr(graph, "_stars", lambda e: rounds.append(1) or real(e))
+    for bound, some in ((1 << 18, False), (3, True)):
+        monkeypatch.setattr(S, "ONE_TASK", bound, raising=False)
+        rounds.clear()
+        assert survivors(spark, rows, [rows[:60], rows[60:]], new_path(spark, "stories")) == want
+        assert bool(rounds) == some

@@ -28,7 +28,7 @@ def _stars(edges: DataFrame) -> bool:
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(v, root) of up to ONE_TASK links (u, v)."""
+    """(v, root) of few links (u, v), which one task settles."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -43,16 +43,16 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([find(x) for x in list(root)], pa.int64())], names=["v", "root"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, one_task: int | None = None) -> DataFrame:
     """(v, root) of every vertex that has an edge in `edges` (a, b: long); root is the least vertex of its component.
 
     Alternates large and small stars. Each half-step is a pre-aggregated minimum and a join that adaptive
     execution can split, so a hub of any degree meets no single task. Each round is written to the shared folder, and then the one before is deleted;
-    there is none once all links are stars. Few links, ONE_TASK at most, are settled by one task.
+    there is none once all links are stars. Few links, `one_task` or ONE_TASK at most, are settled by one task.
     Null ends and self links are ignored.
     """
     e = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct(), "links")
-    if e.count() <= ONE_TASK:
+    if e.count() <= (ONE_TASK if one_task is None else one_task):
         return e.coalesce(1).mapInArrow(_settled, "v long, root long")
     for _ in range(rounds):
         if _stars(e):
