@@ -28,6 +28,37 @@ def trim(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(C.SPACES))
 
 
+#: An entity of HTML, text without an ampersand, or an ampersand that begins no entity.
+_PIECE = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});|[^&]+|&"
+
+
+def character(point: Column) -> Column:
+    """The character of a code point (long), made of its UTF-8 bytes; null for what is none."""
+
+    def bytes_of(mark: int, more: int) -> Column:
+        code = F.lit(mark) + F.shiftright(point, 6 * more) * F.lit(1 << 8 * more)
+        for k in range(more):
+            code = code + F.shiftright(point, 6 * k).bitwiseAND(F.lit(0x3F)) * F.lit(1 << 8 * k)
+        return code
+
+    code = F.when(point < 0x80, point).when(point < 0x800, bytes_of(0xC080, 1)).when(point < 0x10000, bytes_of(0xE08080, 2)).otherwise(bytes_of(0xF0808080, 3))
+    return F.when(point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF), F.unhex(F.hex(code)).cast("string"))
+
+
+def decode_entities(c: Column | str) -> Column:
+    """HTML entities in one pass; what comes out isn't looked at again, unknown ones stay."""
+    names = F.create_map(*(F.lit(x) for pair in C.ENTITIES.items() for x in pair))
+
+    def one(x: Column) -> Column:
+        said = F.lower(x.substr(F.lit(2), F.length(x) - 2))
+        point = lambda s: F.when(s.startswith("#x"), F.conv(F.substring(s, 3, 6), 16, 10)).otherwise(F.substring(s, 2, 7)).try_cast("long")
+        known = let(said, lambda s: F.when(s.startswith("#"), let(point(s), character)).otherwise(F.try_element_at(names, s)))
+        return F.when(x.startswith("&") & (F.length(x) > 1), F.coalesce(known, x)).otherwise(x)
+
+    whole = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit(_PIECE), F.lit(0)), one), "")
+    return let(col(c), lambda t: F.when(F.contains(t, F.lit("&")), whole(t)).otherwise(t))
+
+
 def keyword(word: str) -> tuple[str, str, str]:
     """What a keyword's pattern has before, within and after it: whole words, an optional plural ending; `re:` marks a pattern. \\b is for the engine to fit."""
     if word.startswith("re:"):

@@ -14,22 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewire import config as C
 from tidewire.functions import scalars as S
-
-_ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});", re.A)
-
-
-def decode(text: str | None) -> str | None:
-    """HTML entities in one pass; what comes out isn't looked at again, unknown ones stay."""
-
-    def one(m: re.Match) -> str:
-        said = m[1]
-        if said[0] == "#":
-            point = int(said[2:], 16) if said[1] in "xX" else int(said[1:])
-            return chr(point) if 1 <= point <= 0x10FFFF and not 0xD800 <= point <= 0xDFFF else m[0]
-        return C.ENTITIES.get(said.lower(), m[0])
-
-    return None if text is None else _ENTITY.sub(one, text)
-
+from tidewire.functions.scalars import decode_entities  # noqa: F401
 
 def unescaped(text: str | None) -> str | None:
     return None if text is None else html.unescape(text)
@@ -84,12 +69,6 @@ def _only(rows: Column, value: Column, f, rest: Column) -> Column:
     return F.when(rows, f(F.when(rows, value))).otherwise(rest)
 
 
-def decode_entities(c: Column | str) -> Column:
-    """`decode` of the texts with an ampersand; others are as they are."""
-    c = S.col(c)
-    return _only(F.contains(c, F.lit("&")), c, _vector(decode), c)
-
-
 def unescape(c: Column | str) -> Column:
     """All entities of HTML, of texts with an ampersand."""
     c = S.col(c)

@@ -50,7 +50,7 @@ def normalize(items: DataFrame, sources: DataFrame) -> DataFrame:
     # word boundaries of title patterns are those of ASCII words
     include = F.replace("title_include", F.lit(r"\b"), F.lit(S.BOUNDARY)).alias("title_include")
     rows = items.join(F.broadcast(sources.select("source_id", "source_pos", "name", "tier", "source_type", "max_items", include)), "source_id")
-    rows = rows.withColumn("title", S.trim(U.decode_entities("title"))).withColumn("url", S.trim("link")).withColumn("ts", S.published("iso_date", "pub_date"))
+    rows = rows.withColumn("title", S.trim(S.decode_entities("title"))).withColumn("url", S.trim("link")).withColumn("ts", S.published("iso_date", "pub_date"))
     rows = rows.where((F.col("title") != "") & F.col("url").rlike(r"^(?i:https?)://[^/?#\s]+") & F.col("ts").isNotNull())
     return rows.select(
         (F.col("source_pos") * F.lit(STRIDE) + F.col("pos")).alias("idx"), "source_id", F.col("name").alias("source"), "tier", "source_type", "title", "url",
@@ -101,7 +101,7 @@ def dedupe(articles: DataFrame) -> DataFrame:
     A key's articles link to its first one: no more links than articles, whatever the size of a group. An empty title key
     joins nothing. Articles that no key links are out of it from there on; the others meet by a pre-aggregated minimum, not in a window.
     """
-    articles = save(articles, "windowed")  # the keys and the survivors are read from it, and its Python stages run once
+    articles = save(articles, "windowed")  # the keys and the survivors are read from it
     keys = with_keys(articles).select("idx", F.explode(F.array(F.concat(F.lit("u"), "url_key"), F.when(F.col("title_key") != "", F.concat(F.lit("t"), "title_key")))).alias("key")).where("key is not null")
     keys = save(keys.select("idx", F.md5(F.col("key").cast("binary")).alias("key")), "keys")
     first = keys.groupBy("key").agg(F.min("idx").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")

@@ -18,7 +18,10 @@ def feeds() -> list[tuple[str, str, int | None, str | None]]:
 
 
 def feeds_df(spark) -> DataFrame:
-    return spark.createDataFrame(feeds(), "slug string, feed_title string, min_rank int, feed_section string")
+    """The feeds as rows of an expression: rows of a list would be read by Python workers."""
+    kinds = {"slug": "string", "feed_title": "string", "min_rank": "int", "feed_section": "string"}
+    rows = (F.struct(*(F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(feed, kinds.items(), strict=True))) for feed in feeds())
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
 
 
 def feed_items(edition: DataFrame, variants: DataFrame) -> DataFrame:
